@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 from pathlib import Path
 from tempfile import gettempdir
 
@@ -36,18 +35,10 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def session_settings(spark: SparkSession, **extra: str):
-    """SESSION and extra hold inside; what was set before is put back."""
-    new = SESSION | {k.replace("__", "."): v for k, v in extra.items()}
-    old = {k: spark.conf.get(k, None) for k in new}
-    for k, v in new.items():
+def configure(spark: SparkSession) -> None:
+    """Set SESSION, for this and all later jobs of the session."""
+    for k, v in SESSION.items():
         spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def fold(doc_id: Column, folds: int) -> Column:
