@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text in one go; a longer text goes alone.
 CHUNK = 2 << 20
@@ -54,7 +55,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about size bytes of text each."""
     for batch in batches:
-        lengths = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0))
+        lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0))
         ends = np.cumsum(lengths)
         i = 0
         while i < batch.num_rows:
