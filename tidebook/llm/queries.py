@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import decontaminate, quality, toxicity
 from .tables import configure, fold, table
 
 
@@ -18,7 +18,33 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    configure(spark)
+    documents = table(spark, sf_dir, "documents")
+    net = toxicity.fit(documents, table(spark, sf_dir, "labels"), folds=3, left_out=1)
+    scored = toxicity.score(documents, net, cut=0.7)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the longest matches as text."""
+    configure(spark)
+    found = decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        F.to_json("matches").alias("matches"),
+    )
+
+
 QUERIES = {
+    "op6_toxicity": op6_toxicity,
+    "op7_decontamination": op7_decontamination,
     "op10_quality": op10_quality,
 }
 
