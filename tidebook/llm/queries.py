@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, simhash, toxicity
+from . import decontaminate, packing, quality, simhash, toxicity, urls
 from .tables import configure, fold, table
 
 
@@ -55,7 +55,23 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [
+    urls.Rule("com", "/en/", "block"),
+    urls.Rule("example.com", "/en/7", "allow"),
+    urls.Rule("net", "/de/", "allow"),
+    urls.Rule("example.net", "/de/8", "block"),
+    urls.Rule("org", "/es/", "block"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, template, purity."""
+    configure(spark)
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op3_simhash": op3_simhash,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
