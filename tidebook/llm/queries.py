@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, simhash, toxicity, urls
+from . import decontaminate, packing, pii, quality, simhash, toxicity, urls
 from .tables import configure, fold, table
 
 
@@ -18,6 +18,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text with surrogates, n_entities, and the surrogates' places as text."""
+    configure(spark)
+    done = pii.rewritten(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("row.doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.to_json("entities").alias("entities"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id."""
     configure(spark)
@@ -72,6 +79,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
