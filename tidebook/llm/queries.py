@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, simhash, toxicity, urls
+from . import decontaminate, packing, pii, quality, simhash, sketch, toxicity, urls
 from .tables import configure, fold, table
 
 
@@ -62,6 +62,21 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    configure(spark)
+    found = sketch.against_edited(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        sketch.as_text(F.col("sketch")).alias("fingerprint"),
+        sketch.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketch.containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        F.coalesce(sketch.containment(F.col("sketch"), F.col("next_sketch")), F.lit(0.0)).alias("near_next"),
+    )
+
+
 URL_RULES = [
     urls.Rule("com", "/en/", "block"),
     urls.Rule("example.com", "/en/7", "allow"),
@@ -78,6 +93,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_sketch": op8_sketch,
     "op1_url_filter": op1_url_filter,
     "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
