@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, simhash, sketch, toxicity, urls
+from . import decontaminate, packing, pii, quality, simhash, sketch, substrings, toxicity, urls
 from .tables import configure, fold, table
 
 
@@ -32,6 +32,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256."""
+    configure(spark)
+    done = substrings.dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     configure(spark)
@@ -97,6 +104,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
+    "op4_substrings": op4_substrings,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
