@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, simhash, sketch, substrings, toxicity, urls
+from . import decontaminate, language_model, packing, pii, quality, simhash, sketch, substrings, toxicity, urls
 from .tables import configure, fold, table
 
 
@@ -84,6 +84,15 @@ def op8_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and bits a byte."""
+    configure(spark)
+    scored = language_model.score(table(spark, sf_dir, "documents"), folds=5, left_out=1)
+    held = (fold(F.col("doc_id"), 5) == 1).alias("held_out")
+    rate = (-F.col("score") * F.lit(3.321928094887362) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte")
+    return scored.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score", rate)
+
+
 URL_RULES = [
     urls.Rule("com", "/en/", "block"),
     urls.Rule("example.com", "/en/7", "allow"),
@@ -100,6 +109,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op9_language_model": op9_language_model,
     "op8_sketch": op8_sketch,
     "op1_url_filter": op1_url_filter,
     "op2_pii": op2_pii,

@@ -118,3 +118,18 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in batches of about size bytes of text, joined where they are smaller."""
+    held: list[pa.RecordBatch] = []
+    full = 0
+    for part in chunks(batches, column, size):
+        length = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+        if held and full + length > size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, full = [], 0
+        held.append(part)
+        full += length
+    if held and (joined := pa.Table.from_batches(held).combine_chunks().to_batches()):
+        yield joined[0]
