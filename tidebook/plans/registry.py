@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from . import wallet_queries
+
+QUERIES: dict = wallet_queries.QUERIES
+ORACLE_SQL: dict[str, str] = wallet_queries.ORACLE_SQL
+FLAGSHIP = "top_wallets"
