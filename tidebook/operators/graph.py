@@ -1,0 +1,79 @@
+"""Similar questions, clusters of markets and lead-lag between them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+
+
+def similar_pairs(markets: DataFrame, id_: str, least: float = 0.35) -> DataFrame:
+    """a, b (a < b), shared, similarity of questions that share a word and are at least so alike.
+
+    Questions are those of a market dimension, so their number is that of markets; pairs meet on words that are no
+    stop words.
+    """
+    rows = markets.select(F.col(id_).alias("id"), "category", X.tokens(F.col("question")).alias("words")).where(F.size("words") > 0)
+    each = rows.select("id", F.explode(F.array_distinct("words")).alias("word"))
+    found = each.select(F.col("id").alias("a"), "word").join(each.select(F.col("id").alias("b"), "word"), "word").where("a < b").select("a", "b").distinct()
+    both = found.join(rows.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.col("category").alias("ca")), "a").join(rows.select(F.col("id").alias("b"), F.col("words").alias("wb"), F.col("category").alias("cb")), "b")
+    shared = F.size(F.filter("wa", lambda w: F.array_contains(F.col("wb"), w))) / F.size("wa")
+    scored = both.withColumns({"shared": shared, "similarity": X.pair_similarity(F.col("wa"), F.col("wb"))}).where(F.col("similarity") >= least)
+    same = F.col("ca") == F.col("cb")
+    s = F.col("similarity")
+    kind = F.when((s >= 0.65) & same, "same_event").when((s >= 0.5) & same & (F.col("shared") >= 0.4), "complementary").when((s >= 0.45) & ~same, "causal").otherwise("semantic")
+    return scored.select("a", "b", "shared", "similarity", kind.alias("kind"))
+
+
+def clusters(nodes: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
+    """id, cluster: the smallest id of each connected part; nodes without an edge are their own.
+
+    Labels fall to the smallest of the neighbours' and then to that label's own label, until none changes; each
+    round is written to `folder`, which all executors share.
+    """
+    spark = nodes.sparkSession
+    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = nodes.select("id", F.col("id").alias("cluster"))
+    for k in range(64):
+        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("cluster").alias("near"))
+        new = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("cluster", F.coalesce("near", "cluster")).alias("mid"), F.col("cluster").alias("old"))
+        up = new.select(F.col("id").alias("mid"), F.col("mid").alias("up"))
+        path = f"{folder}/round{k}"
+        new.join(up, "mid").select("id", F.least("mid", "up").alias("cluster"), "old").write.mode("overwrite").parquet(path)
+        labels = spark.read.parquet(path)
+        if labels.where("cluster <> old").isEmpty():
+            break
+        labels = labels.drop("old")
+    return labels.select("id", "cluster")
+
+
+def moves(prices: DataFrame, window: int = 500, least: int = 11, floor: float = 0.005) -> DataFrame:
+    """series, ts, move: changes of at least one rolling deviation (this change included) and the floor."""
+    w = W.partitionBy("series").orderBy("ts", "event_id")
+    rows = prices.withColumn("move", F.col("price") - F.lag("price").over(w))
+    frame = w.rowsBetween(-(window - 2), 0)
+    rows = rows.withColumns({"sd": F.stddev_samp("move").over(frame), "k": F.count("*").over(frame)})
+    return rows.where((F.col("k") >= least) & (F.col("sd") > 0) & (F.abs("move") >= F.col("sd")) & (F.abs("move") >= floor)).select("series", "event_id", "ts", "move")
+
+
+def propagation(found: DataFrame, within: int, share: float = 0.1) -> DataFrame:
+    """source, target, event_id, lag, efficiency: the first later move of another series in the same direction within the time.
+
+    Moves meet by time slot, so a slot and the next one are all that is compared.
+    """
+    src = found.select(F.col("series").alias("source"), "event_id", F.col("ts").alias("t0"), F.col("move").alias("m0"), F.explode(F.array(F.floor(F.col("ts") / within), F.floor(F.col("ts") / within) + 1)).alias("slot"))
+    dst = found.select(F.col("series").alias("target"), F.col("event_id").alias("to_id"), F.col("ts").alias("t1"), F.col("move").alias("m1"), F.floor(F.col("ts") / within).alias("slot"))
+    both = src.join(dst, "slot").where("source <> target and t1 > t0 and signum(m1) = signum(m0)").where((F.col("t1") - F.col("t0") <= within) & (F.abs("m1") >= share * F.abs("m0")))
+    first = both.groupBy("source", "target", "event_id").agg(F.min_by(F.struct((F.col("t1") - F.col("t0")).alias("lag"), F.least(F.abs(F.col("m1") / F.col("m0")), F.lit(5.0)).alias("efficiency")), F.struct("t1", "to_id")).alias("x"))
+    return first.select("source", "target", "event_id", "x.lag", "x.efficiency")
+
+
+def pair_stats(events: DataFrame, exec_ms: int, least: int = 3) -> DataFrame:
+    """source, target, n, quartiles of the lag (upper, by place), mean efficiency, exploitable."""
+    from ..functions.stats import upper_quantile
+
+    lags = F.collect_list("lag")
+    agg = events.groupBy("source", "target").agg(F.count("*").alias("n"), *(upper_quantile(lags, q).alias(c) for q, c in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))), F.avg("efficiency").alias("efficiency"))
+    return agg.where(F.col("n") >= least).withColumn("exploitable", F.col("median") > exec_ms)

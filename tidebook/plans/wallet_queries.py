@@ -27,7 +27,7 @@ def fifo_match(spark, sf_dir):
 
 def wallet_stats(spark, sf_dir):
     s = wallets.statistics(pairs(spark, sf_dir))
-    return s.select("wallet", "n", "pnl_ticks", "median_hold_ms", *(r(c) for c in ("win_rate", "avg_hold_ms", "avg_size", "sharpe", "sortino", "t", "p", "d")))
+    return s.select("wallet", "n", "pnl_ticks", "median_hold_ms", r("avg_hold_ms", 3), *(r(c) for c in ("win_rate", "avg_size", "sharpe", "sortino", "t", "p", "d")))
 
 
 def top_wallets(spark, sf_dir):
@@ -123,7 +123,7 @@ QUERIES = {f.__name__: f for f in (fifo_match, wallet_stats, top_wallets, wallet
 
 ORACLE_SQL = {
     "fifo_match": f"WITH {sql.PAIRS} SELECT * FROM pairs",
-    "wallet_stats": f"{_STATS} SELECT wallet, n, pnl_ticks, median_hold_ms, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('win_rate', 'avg_hold_ms', 'avg_size', 'sharpe', 'sortino', 't', 'p', 'd'))} FROM s",
+    "wallet_stats": f"{_STATS} SELECT wallet, n, pnl_ticks, median_hold_ms, round(avg_hold_ms, 3) + 0.0 AS avg_hold_ms, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('win_rate', 'avg_size', 'sharpe', 'sortino', 't', 'p', 'd'))} FROM s",
     "top_wallets": f"{_STATS} SELECT wallet, n, pnl_ticks, round(win_rate, 6) + 0.0 AS win_rate FROM s WHERE n >= 5 ORDER BY pnl_ticks DESC, wallet LIMIT 20",
     "wallet_hhi": f"""WITH {sql.TRADES}, e AS (SELECT wallet, market, sum(ticks * size) AS notional FROM v_trades GROUP BY ALL),
       s AS (SELECT *, notional / sum(notional) OVER (PARTITION BY wallet) AS share, row_number() OVER (PARTITION BY wallet ORDER BY notional DESC, market) AS rk FROM e)
