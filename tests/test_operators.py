@@ -123,3 +123,32 @@ def test_book_stream(spark, tmp_path):
     spark.createDataFrame([("t", 1, "bid", 0.4, 5.0, 1), ("t", 1, "ask", 0.6, 5.0, 1), ("t", 2, "bid", 0.5, 1.0, 0), ("t", 3, "ask", 0.6, 0.0, 0)], "token string, s long, side string, price double, size double, full long").selectExpr("token", "timestamp_seconds(s) ts", "side", "price", "size", "full").coalesce(1).write.parquet(str(tmp_path / "in"))
     (r,) = run(streams.book_state(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), "bk", "update")
     assert (r.best_bid, r.best_ask, r.levels) == (0.5, 1.0, 2)
+
+
+def test_bootstrap_is_the_sequential_generator():
+    import numpy as np
+
+    from tidebook.operators.research import bootstrap_interval
+
+    values, seed, means = [0.5, -0.25, 1.75, 3.0], 42, []
+    wrap = lambda x: ((x + (1 << 31)) & 0xFFFFFFFF) - (1 << 31)
+    for v in values:
+        seed = wrap(seed * 1597 + math.floor(v * 1e8 + 0.5))
+    seed = abs(seed) or 1
+    for _ in range(500):
+        total = 0.0
+        for _ in values:
+            seed = wrap(seed * 1664525 + 1013904223)
+            total += values[(seed & 0xFFFFFFFF) % 4]
+        means.append(total / 4)
+    means.sort()
+    assert bootstrap_interval(np.array(values), draws=500) == pytest.approx((means[12], means[487]))
+    assert math.isnan(bootstrap_interval(np.array([]))[0]) and bootstrap_interval(np.array([2.0])) == (2.0, 2.0)
+
+
+def test_gates(spark):
+    from tidebook.operators.research import gates
+
+    rows = [(0.01, 50, 0.5, 0.9, False, 0.1, 0.8, 1.0), (0.2, 50, 0.5, 0.9, False, 0.1, 0.8, 1.0), (0.2, 5, 0.1, 0.9, True, 0.1, 0.8, 1.0)]
+    df = spark.createDataFrame(rows, "p double, n long, d double, oos_sharpe double, cliff boolean, sensitivity double, regimes_robust double, pnl_after_costs double")
+    assert [r.verdict for r in gates(df).collect()] == ["validated", "marginal", "rejected"]
