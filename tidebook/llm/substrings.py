@@ -7,10 +7,10 @@ agree over the whole corpus without asking anyone, and equal passages have equal
 symbols but for a few at their ends. How far from a symbol the text can change it
 is tracked with it (its context).
 
-Symbols are counted over the corpus. A window that holds a symbol with its context
-is no repeat if that symbol occurs once. Neighbouring symbols whose first
-occurrences are neighbours too, at one place, verify a passage of any length at
-once. Only windows that neither settles, which are the first occurrence of what is
+Symbols are counted over the corpus together with the words of their context, on
+which they depend alone. A window that holds one which occurs once is no repeat.
+Symbols in a row whose first occurrences lie in a row too, at one place, verify a
+passage of any length at once. Only windows that neither settles, which are the first occurrence of what is
 repeated and the ends of passages, are compared one by one, by a 128-bit hash.
 
 Windows are judged on the input, not on what is left. Defined cases: null and
@@ -35,6 +35,8 @@ from .tables import materialize
 WINDOW = 20
 #: After so many rounds a symbol stands for 3 to 4 words and, with its context, for about 10.
 ROUNDS = 4
+#: Shorter symbols are not counted: nearly every window holds a longer one.
+LEAST = 3
 
 
 @dataclass
@@ -107,35 +109,46 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return W.span_hashes(data, starts, ends), first
 
 
-def occurrences(documents: DataFrame) -> DataFrame:
-    """name, doc_id, low, high of every symbol."""
+def anchors(hashes: np.ndarray, first: np.ndarray, window: int) -> Symbols:
+    """The symbols to count: of some length, with a context that a window can hold. The name covers the context."""
+    s = recompress(hashes, first)
+    base, end = first[:-1][s.text], first[1:][s.text]
+    keep = (s.high - s.low >= LEAST) & (s.context_low >= base) & (s.context_high <= end) & (s.context_high - s.context_low <= window)
+    s = Symbols(*(x[keep] for x in (s.name, s.low, s.high, s.context_low, s.context_high, s.text)))
+    place = (s.low - s.context_low) * (window + 1) + s.high - s.low
+    s.name = W.mix(W.span_hashes(hashes, s.context_low, s.context_high) + W.mix(place.astype(W.U64)))
+    return s
+
+
+def occurrences(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+    """name, doc_id, low of every symbol that counts."""
 
     def run(batches):
         for part in W.chunks(batches):
             hashes, first = _words(part.column("text"))
-            s = recompress(hashes, first)
+            s = anchors(hashes, first, window)
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)[s.text]
             base = first[:-1][s.text]
-            yield pa.RecordBatch.from_arrays([pa.array(s.name.view(np.int64)), pa.array(ids), pa.array((s.low - base).astype(np.int32)), pa.array((s.high - base).astype(np.int32))], names=["name", "doc_id", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(s.name.view(np.int64)), pa.array(ids), pa.array((s.low - base).astype(np.int32))], names=["name", "doc_id", "low"])
 
-    return documents.where("doc_id is not null").mapInArrow(run, "name long, doc_id long, low int, high int")
+    return documents.where("doc_id is not null").mapInArrow(run, "name long, doc_id long, low int")
 
 
-def repeated(documents: DataFrame) -> DataFrame:
-    """doc_id, low, high, from_doc, from_low: symbols that occur more than once, with their first occurrence.
+def repeated(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, low, from_doc, from_low: symbols that occur more than once, with their first occurrence.
 
     The counts alone go first; only what is repeated goes on with its places.
     """
-    counts = occurrences(documents).groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    again = materialize(occurrences(documents).join(materialize(counts, "names"), "name"), "repeated")
+    counts = occurrences(documents, window).groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    again = materialize(occurrences(documents, window).join(materialize(counts, "names"), "name"), "repeated")
     first = again.groupBy("name").agg(F.min(F.struct("doc_id", "low")).alias("first"))
-    return materialize(again.join(first, "name").select("doc_id", "low", "high", F.col("first.doc_id").alias("from_doc"), F.col("first.low").alias("from_low")), "aligned")
+    return materialize(again.join(first, "name").select("doc_id", "low", F.col("first.doc_id").alias("from_doc"), F.col("first.low").alias("from_low")), "aligned")
 
 
 def settle(ids: np.ndarray, column: pa.Array, known: list, window: int = WINDOW) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """From texts and, for each, what `repeated` has of it: open windows (hash, hash, id, position) and covered (id, low, high)."""
     hashes, first = _words(column)
-    s = recompress(hashes, first)
+    s = anchors(hashes, first, window)
     n = len(hashes)
     base, end = first[:-1], first[1:]
     # What is known, at the symbols that it is known of; a symbol is found by its first word.
@@ -151,9 +164,8 @@ def settle(ids: np.ndarray, column: pa.Array, known: list, window: int = WINDOW)
     # Windows that hold a symbol which occurs once, with its context.
     killed = np.zeros(n + 1, np.int64)
     a, b = np.maximum(s.context_high - window, base[s.text]), s.context_low
-    inside = ~seen & (a <= b) & (s.context_low >= base[s.text]) & (s.context_high <= end[s.text])
-    np.add.at(killed, a[inside], 1)
-    np.add.at(killed, b[inside] + 1, -1)
+    np.add.at(killed, a[~seen], 1)
+    np.add.at(killed, b[~seen] + 1, -1)
     killed = np.cumsum(killed)[:n] > 0
     covered: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
     whole = np.zeros(n + 1, np.int64)
@@ -162,10 +174,10 @@ def settle(ids: np.ndarray, column: pa.Array, known: list, window: int = WINDOW)
         source = np.where(seen, from_doc[k], 0)
         moved = seen & ((source != ids[s.text]) | (shift != 0))
         goes_on = np.zeros(len(k), bool)
-        goes_on[1:] = moved[1:] & moved[:-1] & (s.text[1:] == s.text[:-1]) & (source[1:] == source[:-1]) & (shift[1:] == shift[:-1])
+        goes_on[1:] = moved[1:] & moved[:-1] & (s.text[1:] == s.text[:-1]) & (source[1:] == source[:-1]) & (shift[1:] == shift[:-1]) & (s.context_low[1:] <= s.context_high[:-1])
         heads = np.flatnonzero(moved & ~goes_on)
         stops = np.flatnonzero(moved & ~np.append(goes_on[1:], False))
-        low, high, text = s.low[heads], s.high[stops], s.text[heads]
+        low, high, text = s.context_low[heads], s.context_high[stops], s.text[heads]
         long = high - low >= window
         low, high, text = low[long], high[long], text[long]
         covered = [ids[text], low - base[text], high - base[text]]
@@ -206,7 +218,7 @@ def found(documents: DataFrame, known: DataFrame, window: int = WINDOW) -> DataF
 
 def passages(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, low, high: words low to high of a document occur earlier. Passages may overlap."""
-    known = repeated(documents)
+    known = repeated(documents, window)
     places = materialize(found(documents, known, window), "places")
     opened = places.where("h1 is not null")
     first = opened.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "low")).alias("first")).where("n > 1").drop("n")
