@@ -85,13 +85,16 @@ def against_edited(documents: DataFrame, fraction: float = FRACTION) -> DataFram
     The edited text has the first characters of the next document in place of its last quarter. Texts are dealt
     by doc_id once; only the few characters needed and a sketch go on to the preceding document.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    every = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = every.where("doc_id is not null")
     order = materialize(following(rows), "order")
     preceding = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), "k")
     heads = with_sketch(rows.join(preceding, "doc_id"), "text", "next_sketch", fraction)
     heads = heads.select("prev_id", F.struct(F.left("text", F.col("k")).alias("head"), "next_sketch").alias("next"))
     heads = heads.groupBy(F.col("prev_id").alias("doc_id")).agg(F.min("next").alias("next"))
+    # Both joins take the same rows dealt by doc_id, so the texts are shuffled once.
     both = rows.join(heads, "doc_id", "left")
+    both = both.unionByName(every.where("doc_id is null"), allowMissingColumns=True)
     k = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.left("text", F.length("text") - k), F.coalesce(F.left("next.head", k), F.lit("")))
     both = both.withColumn("edited", edited)
