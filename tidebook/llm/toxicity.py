@@ -105,6 +105,8 @@ class Net:
         x = np.zeros((starts[-1] + pad, HASHES * DIM), np.float32)
         x[place] = self.look_up(ids)
         r = self.responses(x)
+        for k in range(1, pad + 1):  # these reach into the next text
+            r[starts[1:] - k] = -np.inf
         pooled = np.maximum(np.maximum.reduceat(r, starts[:-1], axis=0) if n else np.zeros((0, r.shape[1])), 0)
         return pooled @ self.out + self.out_bias, pooled, x, r
 
