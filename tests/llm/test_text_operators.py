@@ -332,6 +332,28 @@ def test_pii_detects_each_type_alone():
         assert pii.detect(text) == want and [w[0] for w in want] == [kind]
 
 
+def test_pii_of_other_scripts_and_null_ids(spark):
+    phone, arabic = "+49 30 1234 5678", "+٤٩ ٣٠ ١٢٣٤ ٥٦٧٨"
+    # The first surrogate of this name is itself in the corpus, so the name is redrawn wherever it occurs.
+    taken = pii.dress("name", "Boris Petrov", pii.surrogate("name", "boris petrov"))
+    texts = ["Dr İlker Kaya", f"1: {phone}", f"1: {arabic}", "card ٤١١١ ١١١١ ١١١١ ١١١١ or 4111 1111 1111 1111", "ssn ٠٧٨-٠٥-١١٢٠, ip ١٠.2.3.4 and 10.2.3.4", "DE٨٩ 3704 0044 0532 0130 00", "Dr Boris Petrov", "Dr Boris Petrov", f"Dr {taken}"]
+    docs = frame(spark, [(None if i == 7 else i, t, "en", f"s{i}", len(t)) for i, t in enumerate(texts)])
+    new = {r.source: r.text for r in pii.anonymize(docs).collect()}
+    new = [new[f"s{i}"] for i in range(len(texts))]
+    for old, text in zip(texts, new, strict=True):
+        assert old != text and pii.detect(old)
+        for kind, a, b in pii.detect(old):
+            assert old[a:b] not in text, kind
+    assert new[0].startswith("Dr İ") and len(new[0]) == len(texts[0])
+    digits = lambda t: "".join(str(int(c)) for c in t[3:] if c.isdecimal())
+    assert digits(new[1]) == digits(new[2]) and all(c.isascii() == d.isascii() for c, d in zip(texts[2], new[2], strict=True))
+    a, b = new[3].removeprefix("card ").split(" or ")
+    assert digits("   " + a) == b.replace(" ", "") and not any(c.isascii() for c in a if c.isdecimal()) and pii.luhn(b.replace(" ", "")) == 0
+    a, b = new[4].split("ip ")[1].split(" and ")
+    assert [int(x) for x in a.split(".")] == [int(x) for x in b.split(".")]
+    assert new[6] == new[7] != f"Dr {taken}"
+
+
 # -- classifiers
 
 

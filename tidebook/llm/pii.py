@@ -14,6 +14,7 @@ surrogate that is its own entity, another entity's surrogate or an entity that
 occurs somewhere is drawn again, until no such case is left.
 
 Defined cases: null stays null and has no entities; repeated rows get equal texts;
+digits of any script are digits, and a surrogate has those of the mention's script;
 an empty table gives no rows; `anonymize` keeps every column, whatever its name.
 """
 
@@ -24,7 +25,7 @@ import hmac
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,10 +56,11 @@ TITLES_F = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Seño
 TITLES = TITLES_M + TITLES_F + ["Dr", "Prof"]
 
 _NAME = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]+"
+_SECRET = r"(?i:password|passwd|token|secret|api[_-]?key)\s*[=:]"
 PATTERNS = {
     "email": r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",
     "key": r"(?P<key>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)",
-    "secret": r"(?:(?i:password|passwd|token|secret|api[_-]?key)\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9+/_-]{8,})",
+    "secret": rf"(?:{_SECRET}\s*[\"']?)(?P<secret>[A-Za-z0-9+/_-]{{8,}})",
     "iban": r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
     "ip": r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))",
     "phone": r"(?P<phone>(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}(?![\d-]))",
@@ -69,20 +71,44 @@ PATTERNS = {
 ANY = re.compile("|".join(PATTERNS.values()))
 
 
+#: What every match has: a digit of any script or @ (email and all numbers), or one of these words (key, name).
+SIGN, WORDS = re.compile(r"[\d@]"), ("AKIA", "ASIA", *TITLES)
+SECRET = re.compile(_SECRET)
+
+
+def may_have(text: str) -> bool:
+    """False only if no pattern matches: a cheap test derived from each of them."""
+    return bool(SIGN.search(text)) or any(w in text for w in WORDS) or ((":" in text or "=" in text) and bool(SECRET.search(text)))
+
+
 def detect(text: str) -> list[tuple[str, int, int]]:
     """(type, start, end) of the entities, from left to right; none overlap."""
+    if not may_have(text):
+        return []
     return [(m.lastgroup, m.start(m.lastgroup), m.end(m.lastgroup)) for m in ANY.finditer(text)]
 
 
+def _ascii(text: str) -> str:
+    """Decimal digits of any script as those of ASCII."""
+    return text if text.isascii() else "".join(str(int(c)) if c.isdecimal() else c for c in text)
+
+
+def _like(old: str, new: str) -> str:
+    """The digits of new in the script of the digit old."""
+    zero = ord(old) - int(old)
+    return "".join(chr(zero + int(c)) for c in new)
+
+
 def identity(kind: str, found: str) -> str:
     """What makes two mentions the same entity."""
     if kind in ("phone", "ssn", "card"):
-        return re.sub(r"\D", "", found)
+        return _ascii(re.sub(r"\D", "", found))
     if kind == "iban":
-        return found.replace(" ", "")
+        return _ascii(found.replace(" ", ""))
     if kind in ("email", "name"):
-        return found.lower()
-    return found
+        # The only letter whose lower case is longer stays as it is, so that each place keeps its letter.
+        return "İ".join(part.lower() for part in found.split("İ"))
+    return _ascii(found) if kind == "ip" else found
 
 
 def _number(key: bytes, what: str, n: int) -> int:
@@ -159,7 +185,9 @@ def dress(kind: str, found: str, new: str) -> str:
     """A surrogate identity with the case, spacing and punctuation of the mention that it replaces."""
     if kind in ("phone", "ssn", "card", "iban"):
         rest = iter(new)
-        return "".join(next(rest) if c.isalnum() else c for c in found)
+        return "".join((_like(c, next(rest)) if c.isdecimal() else next(rest)) if c.isalnum() else c for c in found)
+    if kind == "ip" and not found.isascii():
+        return ".".join(_like(o[0], n) for o, n in zip(found.split("."), new.split("."), strict=True))
     if kind in ("email", "name"):
         return "".join(n.upper() if c.isupper() and len(n.upper()) == 1 else n for c, n in zip(found, new, strict=True))
     return new
@@ -178,15 +206,23 @@ def replace(text: str, again: dict[tuple[str, str], int], key: bytes = KEY) -> t
     return "".join([*out, text[last:]]), spans
 
 
+def _id(doc_id: str, text: str) -> Column:
+    """What a document's entities are found by again: its doc_id, or where that is null a hash of the text.
+
+    Texts that share one get each other's attempts as well, which are the same for an entity wherever it occurs.
+    """
+    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text))
+
+
 def entities(documents: DataFrame) -> DataFrame:
-    """doc_id, kind, who: each entity once a document."""
+    """doc_id (or what stands for it), kind, who: each entity once a document."""
 
     def run(batches):
         for part in W.chunks(batches):
             rows = sorted({(doc, kind, identity(kind, text[a:b])) for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True) if text for kind, a, b in detect(text)}, key=str)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "kind", "who"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, kind string, who string")
+    return documents.select(_id("doc_id", "text").alias("doc_id"), "text").mapInArrow(run, "doc_id long, kind string, who string")
 
 
 def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
@@ -236,7 +272,7 @@ def rewritten(documents: DataFrame, key: bytes = KEY) -> DataFrame:
     else:
         each = found.join(changed, ["kind", "who"]).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "who", "attempt")).alias("again"))
         each = materialize(each.withColumnRenamed("doc_id", "id"), "again")
-        out = out.join(F.broadcast(each) if each.count() <= SENT else each, F.col("row.doc_id").cast("long") == F.col("id"), "left").drop("id")
+        out = out.join(F.broadcast(each) if each.count() <= SENT else each, _id("row.doc_id", "row.text") == F.col("id"), "left").drop("id")
 
     def run(batches):
         for batch in batches:
