@@ -5,13 +5,18 @@ case, a number without its punctuation. A keyed permutation of all strings with
 the same format gives its surrogate, so the same entity has the same surrogate in
 every document (coreference) and different entities have different ones
 (distinctness). Digits stay digits, hexadecimal stays hexadecimal, letters stay in
-their script, case and class of vowels or consonants; card numbers keep their
-checksum's validity, names their gendered ending and title, and punctuation and
-spacing are those found.
+their script, case and class of vowels or consonants (or, in other scripts, in
+their category and block of Unicode); card numbers keep their checksum's validity.
+A given name of the lists below becomes another one of the same gender, other names
+keep a gendered ending; title, punctuation and spacing are those found.
 
 What a permutation cannot promise is checked over all entities of the corpus: a
 surrogate that is its own entity, another entity's surrogate or an entity that
-occurs somewhere is drawn again, until no such case is left.
+occurs somewhere is drawn again, until no such case is left. Where a format has too
+few strings, later draws are one character longer, so there always is one.
+
+Names are those after a title, and a given name of the lists with what follows it;
+a name with neither is not found.
 
 Defined cases: null stays null and has no entities; repeated rows get equal texts;
 digits of any script are digits, and a surrogate has those of the mention's script;
@@ -23,18 +28,24 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
+import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
 from .tables import materialize
 
-KEY = b"tidebook surrogates"
+#: The session's setting that holds the key.
+KEY_SETTING = "spark.tidebook.surrogateKey"
 #: Redrawn surrogates sent to all executors; if there are more, they are joined instead.
 SENT = 100_000
+#: After so many draws a surrogate gets one character more.
+DRAWS = 8
 
 DIGITS, HEX = "0123456789", "0123456789abcdef"
 #: Letters that may stand for one another: vowels and consonants of each script.
@@ -54,6 +65,14 @@ LETTERS = [
 TITLES_M = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"]
 TITLES_F = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Sra", "Госпожа"]
 TITLES = TITLES_M + TITLES_F + ["Dr", "Prof"]
+#: Given names, by gender and script; one becomes another of its list.
+GIVEN = [
+    "Anna Maria Laura Julia Sarah Emma Sophie Claudia Helena Martina Charlotte Isabel Carmen Lucia Elena Camille Chantal Monique Sabine Ingrid Heike Emily Jessica Karen Nancy Susan Linda Patricia Elizabeth Barbara".split(),
+    "John Peter Thomas Michael David James Robert William Richard Joseph Hans Jürgen Stefan Andreas Wolfgang Klaus Pierre Jacques François Michel Philippe Carlos Miguel Antonio Javier Pedro Daniel Martin Paul George".split(),
+    "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(),
+    "Иван Пётр Сергей Андрей Дмитрий Алексей Николай Владимир".split(),
+]
+GIVEN_OF = {name.lower(): names for names in ([n.lower() for n in g] for g in GIVEN) for name in names}
 
 _NAME = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]+"
 _SECRET = r"(?i:password|passwd|token|secret|api[_-]?key)\s*[=:]"
@@ -66,13 +85,13 @@ PATTERNS = {
     "phone": r"(?P<phone>(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}(?![\d-]))",
     "ssn": r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
     "card": r"(?P<card>(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d))",
-    "name": rf"\b(?:{'|'.join(TITLES)})\.?\s+(?P<name>{_NAME}(?:[ -]{_NAME}){{0,2}})",
+    "name": rf"\b(?:(?:{'|'.join(TITLES)})\.?\s+|(?=(?:{'|'.join(n for g in GIVEN for n in g)})[ -]{_NAME}))(?P<name>{_NAME}(?:[ -]{_NAME}){{0,2}})",
 }
 ANY = re.compile("|".join(PATTERNS.values()))
 
 
 #: What every match has: a digit of any script or @ (email and all numbers), or one of these words (key, name).
-SIGN, WORDS = re.compile(r"[\d@]"), ("AKIA", "ASIA", *TITLES)
+SIGN, WORDS = re.compile(r"[\d@]"), ("AKIA", "ASIA", *TITLES, *(n for g in GIVEN for n in g))
 SECRET = re.compile(_SECRET)
 
 
@@ -106,8 +125,8 @@ def identity(kind: str, found: str) -> str:
     if kind == "iban":
         return _ascii(found.replace(" ", ""))
     if kind in ("email", "name"):
-        # The only letter whose lower case is longer stays as it is, so that each place keeps its letter.
-        return "İ".join(part.lower() for part in found.split("İ"))
+        # Letter by letter, and a letter whose lower case is longer stays, so that each place keeps its letter.
+        return "".join(low if len(low := c.lower()) == 1 else c for c in found)
     return _ascii(found) if kind == "ip" else found
 
 
@@ -144,8 +163,48 @@ def permute(text: str, alphabets: list[str | None], key: bytes, tweak: str) -> s
     return "".join(out)
 
 
-def _letters(text: str, digits: bool = True) -> list[str | None]:
-    return [next((a for a in ([DIGITS] if digits else []) + LETTERS if c in a), None) for c in text]
+def _stable(c: str) -> bool:
+    """Whether upper and then lower case give the letter back."""
+    return c.upper().lower() == c
+
+
+@lru_cache(maxsize=4_000)
+def _alphabets(block: int) -> dict[str, str]:
+    """The alphabet of each letter of a block of 256: its script's letters of its category there that are no capitals."""
+    classes: dict[tuple, list[str]] = {}
+    for c in map(chr, range(block << 8, (block + 1) << 8)):
+        if c.isalnum() and not c.isdecimal() and c.lower() == c and not any(c in a for a in LETTERS):
+            classes.setdefault((unicodedata.category(c), unicodedata.name(c, "").split(" ")[0], _stable(c)), []).append(c)
+    return {c: "".join(own) for own in classes.values() if len(own) > 1 for c in own}
+
+
+def alphabet(c: str) -> str | None:
+    """The letters that may stand for c; None if it is alone. They all have this alphabet, so a permutation can be undone."""
+    return next((a for a in LETTERS if c in a), None) or (None if c.isascii() else _alphabets(ord(c) >> 8).get(c))
+
+
+def _letters(text: str) -> list[str | None]:
+    return [DIGITS if c in DIGITS else alphabet(c) for c in text]
+
+
+@lru_cache(maxsize=1_000)
+def _given(names: tuple[str, ...], key: bytes, tweak: str) -> dict[str, str]:
+    """A keyed permutation of a list of given names."""
+    order = sorted(names, key=lambda n: hmac.new(key, f"{tweak}|{n}".encode(), hashlib.sha256).digest())
+    return dict(zip(names, order, strict=True))
+
+
+WORD = re.compile(r"[^ -]+")
+
+
+def _person(who: str, key: bytes, tweak: str) -> str:
+    """Given names of the lists from their list; the other letters permuted, but for the last one if it tells the gender."""
+    listed = [m for m in WORD.finditer(who) if m.group() in GIVEN_OF]
+    kept = {i for m in listed for i in range(*m.span())} | {m.end() - 1 for m in WORD.finditer(who) if m.group()[-1] in "ao" and m.end() - m.start() > 1}
+    out = permute(who, [None if i in kept else a for i, a in enumerate(_letters(who))], key, tweak)
+    for m in reversed(listed):
+        out = out[: m.start()] + _given(tuple(GIVEN_OF[m.group()]), key, tweak)[m.group()] + out[m.end() :]
+    return out
 
 
 def luhn(digits: str) -> int:
@@ -153,8 +212,20 @@ def luhn(digits: str) -> int:
     return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(digits)))) % 10
 
 
-def surrogate(kind: str, who: str, attempt: int = 0, key: bytes = KEY) -> str:
-    """The identity that stands for `who`."""
+def surrogate(kind: str, who: str, key: bytes, attempt: int = 0) -> str:
+    """The identity that stands for `who`. Draws after the first DRAWS have more characters, as its format may be used up."""
+    new, more = _surrogate(kind, who, key, attempt), attempt // DRAWS
+    if not more:
+        return new
+    if kind == "ip":
+        return new + "".join(f".{_number(key, f'{attempt}|{i}|{who}', 256)}" for i in range(more))
+    own = next((a for c in reversed(who) if kind == "name" and (a := alphabet(c))), LETTERS[0])
+    letters = DIGITS if kind in ("phone", "ssn", "card", "iban") else own
+    extra = "".join(letters[_number(key, f"{kind}|{attempt}|{i}|{who}", len(letters))] for i in range(more))
+    return extra + new if kind in ("email", "name") else new + extra
+
+
+def _surrogate(kind: str, who: str, key: bytes, attempt: int) -> str:
     tweak = f"{kind}|{attempt}"
     if kind == "email":
         local, _, domain = who.rpartition("@")
@@ -167,12 +238,13 @@ def surrogate(kind: str, who: str, attempt: int = 0, key: bytes = KEY) -> str:
         return ".".join(str(int(new[i : i + 8], 2)) for i in range(0, 32, 8))
     if kind == "phone":
         lead = len(who) - 10 if len(who) > 10 else 0
-        return permute(who, [None] * lead + ["23456789" if c in "23456789" and i == lead else DIGITS for i, c in enumerate(who) if i >= lead], key, tweak)
+        first = "23456789" if who[lead] in "23456789" else "01"
+        return permute(who, [None] * lead + [first] + [DIGITS] * (len(who) - lead - 1), key, tweak)
     if kind == "card":
         middle = permute(who[1:-1], [DIGITS] * (len(who) - 2), key, tweak)
         return next(x for d in DIGITS if luhn(x := who[0] + middle + d) == luhn(who))
     if kind == "name":
-        return permute(who, [None if c in "ao" and (i + 1 == len(who) or not who[i + 1].isalpha()) else a for i, (c, a) in enumerate(zip(who, _letters(who), strict=True))], key, tweak)
+        return _person(who, key, tweak)
     if kind == "secret" and set(who) <= set(HEX):
         return permute(who, [HEX] * len(who), key, tweak)
     if kind == "iban":
@@ -181,24 +253,50 @@ def surrogate(kind: str, who: str, attempt: int = 0, key: bytes = KEY) -> str:
     return permute(who, [None] * kept + [DIGITS if c in DIGITS else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isupper() else None for c in who[kept:]], key, tweak)
 
 
+def _cased(found: str, new: str) -> str:
+    """new in the case of found: letter by letter from the right, a longer front as one that starts a word."""
+    more = max(len(new) - len(found), 0)
+    like = found[len(found) - (len(new) - more) :] if len(new) < len(found) else found
+    out = [n.upper() if c.isupper() and len(n.upper()) == 1 and _stable(n) else n for c, n in zip(like, new[more:], strict=True)]
+    if more and found[:1].isupper() and not found[1:2].isupper():
+        out[0] = new[more]
+        return new[:more].capitalize() + "".join(out)
+    return (new[:more].upper() if found[:2].isupper() else new[:more]) + "".join(out)
+
+
 def dress(kind: str, found: str, new: str) -> str:
     """A surrogate identity with the case, spacing and punctuation of the mention that it replaces."""
     if kind in ("phone", "ssn", "card", "iban"):
         rest = iter(new)
-        return "".join((_like(c, next(rest)) if c.isdecimal() else next(rest)) if c.isalnum() else c for c in found)
+        return "".join((_like(c, next(rest)) if c.isdecimal() else next(rest)) if c.isalnum() else c for c in found) + "".join(rest)
     if kind == "ip" and not found.isascii():
-        return ".".join(_like(o[0], n) for o, n in zip(found.split("."), new.split("."), strict=True))
-    if kind in ("email", "name"):
-        return "".join(n.upper() if c.isupper() and len(n.upper()) == 1 else n for c, n in zip(found, new, strict=True))
+        parts, own = new.split("."), [o[0] for o in found.split(".")]
+        return ".".join(_like(own[min(i, 3)], n) for i, n in enumerate(parts))
+    if kind == "email":
+        return _cased(found, new)
+    if kind == "name":
+        # Words stand for words, in order, with what is between them as found.
+        words = iter(WORD.findall(new))
+        return WORD.sub(lambda m: _title(m.group(), next(words)), found)
     return new
 
 
-def replace(text: str, again: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str, list[tuple[str, int, int, str]]]:
+def _title(found: str, new: str) -> str:
+    if len(found) == len(new):
+        return _cased(found, new)
+    fits = len(new.upper()) == len(new) and all(map(_stable, new))
+    if fits and len(found) > 1 and found.isupper():
+        return new.upper()
+    first = new[0].upper() if found[0].isupper() and len(new[0].upper()) == 1 and _stable(new[0]) else new[0]
+    return first + new[1:]
+
+
+def replace(text: str, again: dict[tuple[str, str], int], key: bytes) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with surrogates, and (type, start, length, surrogate) in the new text."""
     out, spans, last, size = [], [], 0, 0
     for kind, a, b in detect(text):
         who = identity(kind, text[a:b])
-        new = dress(kind, text[a:b], surrogate(kind, who, again.get((kind, who), 0), key))
+        new = dress(kind, text[a:b], surrogate(kind, who, key, again.get((kind, who), 0)))
         out += [text[last:a], new]
         size += a - last
         spans.append((kind, size, len(new), new))
@@ -206,6 +304,16 @@ def replace(text: str, again: dict[tuple[str, str], int], key: bytes = KEY) -> t
     return "".join([*out, text[last:]]), spans
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key of KEY_SETTING. Where the session has none, one is drawn at random for it, so nobody can undo its
+    surrogates and those of another session differ; to get the same ones in several sessions, set it."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key.encode()
+
+
 def _id(doc_id: str, text: str) -> Column:
     """What a document's entities are found by again: its doc_id, or where that is null a hash of the text.
 
@@ -230,31 +338,35 @@ def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            new = [surrogate(k, w, a, key) for k, w, a in zip(*(b[c].to_pylist() for c in ("kind", "who", "attempt")), strict=True)]
+            new = [surrogate(k, w, key, a) for k, w, a in zip(*(b[c].to_pylist() for c in ("kind", "who", "attempt")), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in ("kind", "who", "attempt")), pa.array(new, pa.string())], names=["kind", "who", "attempt", "new"])
 
     return rows.select("kind", "who", F.col("attempt").cast("int").alias("attempt")).mapInArrow(run, "kind string, who string, attempt int, new string")
 
 
-def redrawn(found: DataFrame, key: bytes = KEY, rounds: int = 30) -> DataFrame | None:
+def redrawn(found: DataFrame, key: bytes) -> DataFrame | None:
     """kind, who, attempt of the entities whose first surrogate will not do; None if all do.
 
     A surrogate may not be an entity of the corpus nor the surrogate of another; of several entities with one
-    surrogate the first keeps it. An entity that no attempt serves (its format has too few strings) keeps the last.
+    surrogate the first keeps it. Rounds go on until none is left; each draws only for those left by the one before,
+    and each DRAWS rounds their surrogates are a character longer, so there are more of them than entities.
     """
-    all_of = materialize(_drawn(found.select("kind", "who").distinct().withColumn("attempt", F.lit(0)), key), "drawn")
-    last = all_of
-    for _ in range(rounds):
-        taken = last.groupBy("kind", "new").agg(F.min(F.struct("attempt", "who")).alias("first"))
-        real = all_of.select("kind", F.col("who").alias("new"), F.lit(True).alias("is_real"))
-        judged = last.join(taken, ["kind", "new"]).join(real, ["kind", "new"], "left")
-        bad = F.col("is_real").isNotNull() | (F.col("first.who") != F.col("who"))
-        judged = materialize(judged.select("kind", "who", "attempt", "new", bad.alias("bad")), "judged")
-        if judged.where("bad").isEmpty():
+    every = materialize(found.select("kind", "who").distinct(), "all")
+    real = every.select("kind", F.col("who").alias("new"))
+    drawn = materialize(_drawn(every.withColumn("attempt", F.lit(0)), key), "drawn")
+    settled: DataFrame | None = None
+    while True:
+        first = drawn.groupBy("kind", "new").agg(F.min("who").alias("who"))
+        good = first.join(real, ["kind", "new"], "left_anti")
+        if settled is not None:
+            good = good.join(settled, ["kind", "new"], "left_anti")
+        good = materialize(drawn.join(good, ["kind", "new", "who"]).select("kind", "who", "attempt", "new"), "settled")
+        left = materialize(drawn.join(good, ["kind", "who"], "left_anti").withColumn("attempt", F.col("attempt") + 1), "left")
+        settled = good if settled is None else settled.unionAll(good)
+        if left.isEmpty():
             break
-        again = _drawn(judged.where("bad").withColumn("attempt", F.col("attempt") + 1), key)
-        last = materialize(judged.where("not bad").select("kind", "who", "attempt", "new").unionAll(again), "drawn")
-    changed = last.where("attempt > 0").select("kind", "who", "attempt")
+        drawn = materialize(_drawn(left, key), "drawn")
+    changed = settled.where("attempt > 0").select("kind", "who", "attempt")
     return None if changed.isEmpty() else changed
 
 
@@ -262,7 +374,7 @@ AGAIN = "array<struct<kind: string, who: string, attempt: int>>"
 SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("length", "integer").add("surrogate", "string"))
 
 
-def rewritten(documents: DataFrame, key: bytes = KEY) -> DataFrame:
+def rewritten(documents: DataFrame, key: bytes) -> DataFrame:
     """row: all columns of documents as they are; text: the rewritten one; entities: SPANS in it."""
     found = materialize(entities(documents), "entities")
     changed = redrawn(found, key)
@@ -270,9 +382,10 @@ def rewritten(documents: DataFrame, key: bytes = KEY) -> DataFrame:
     if changed is None:
         out = out.withColumn("again", F.lit(None).cast(AGAIN))
     else:
-        each = found.join(changed, ["kind", "who"]).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "who", "attempt")).alias("again"))
+        each = found.join(changed, ["kind", "who"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "who", "attempt")).alias("again"))
         each = materialize(each.withColumnRenamed("doc_id", "id"), "again")
-        out = out.join(F.broadcast(each) if each.count() <= SENT else each, _id("row.doc_id", "row.text") == F.col("id"), "left").drop("id")
+        few = (each.agg(F.sum(F.size("again"))).first()[0] or 0) <= SENT
+        out = out.join(F.broadcast(each) if few else each, _id("row.doc_id", "row.text") == F.col("id"), "left").drop("id")
 
     def run(batches):
         for batch in batches:
@@ -286,7 +399,7 @@ def rewritten(documents: DataFrame, key: bytes = KEY) -> DataFrame:
     return out.mapInArrow(run, T.StructType([out.schema["row"]]).add("text", "string").add("entities", SPANS))
 
 
-def anonymize(documents: DataFrame, key: bytes = KEY) -> DataFrame:
+def anonymize(documents: DataFrame, key: bytes) -> DataFrame:
     """documents with rewritten texts, all columns in their order; n_chars, if there, is that of the new text."""
     out = rewritten(documents, key)
     columns = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}

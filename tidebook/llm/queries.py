@@ -21,7 +21,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text with surrogates, n_entities, and the surrogates' places as text."""
     configure(spark)
-    done = pii.rewritten(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = pii.rewritten(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
     return done.select("row.doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.to_json("entities").alias("entities"))
 
 

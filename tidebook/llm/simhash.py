@@ -17,7 +17,9 @@ Equal fingerprints are joined once, through the smallest doc_id that has them.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any
 other; fewer words than a shingle make one shingle of all; repeated rows with one
-id stand for that id; an empty table gives no rows.
+id stand for that id, and `keep_one` keeps one of them; rows without an id are
+documents like any other, and come last where one has to be named or kept; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import connected_components
-from .tables import materialize
+from .tables import free_name, materialize, numbered
 
 SHINGLE = 3
 SEED = 42
@@ -67,14 +69,15 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE,
     return out
 
 
-def with_fingerprint(documents: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def with_fingerprint(documents: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the columns (of longs) in keep, and fp, the fingerprint as a signed long."""
+    names = ["doc_id", *keep]
 
     def run(batches):
         for part in W.chunks(batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(*W.buffer(part.column("text"))).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(fingerprints(*W.buffer(part.column("text"))).view(np.int64))], names=[*names, "fp"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text").mapInArrow(run, ", ".join(f"`{c}` long" for c in [*names, "fp"]))
 
 
 def mask(positions: tuple[int, ...], width: int) -> int:
@@ -163,20 +166,32 @@ def links(fps: DataFrame, longest: int = LIST) -> DataFrame:
     return out
 
 
+def linked(fps: DataFrame) -> DataFrame:
+    """fp and part for each different fingerprint (column fp): the same part for those that links join."""
+    different = fps.select("fp").distinct()
+    found = connected_components(links(different)).select(F.col("node").alias("fp"), F.col("component").alias("part"))
+    return different.join(found, "fp", "left").select("fp", F.coalesce("part", "fp").alias("part"))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id that links lead to."""
+    """doc_id, fp and component_id, the smallest doc_id that links lead to (null if no document there has an id)."""
     marked = materialize(with_fingerprint(documents), "fingerprints")
     smallest = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
-    near = links(smallest)
-    a, b = smallest.select(F.col("fp").alias("a"), F.col("head").alias("ha")), smallest.select(F.col("fp").alias("b"), F.col("head").alias("hb"))
-    edges = near.join(a, "a").join(b, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    found = connected_components(edges)
-    heads = smallest.join(found.withColumnRenamed("node", "head"), "head", "left").select("fp", F.coalesce("component", "head").alias("component_id"))
-    return marked.join(heads, "fp").select("doc_id", "fp", "component_id")
+    parts = materialize(linked(smallest), "parts")
+    named = smallest.join(parts, "fp").groupBy("part").agg(F.min("head").alias("component_id"))
+    return marked.join(parts.join(named, "part").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The document with the smallest id of each component, all columns as they were."""
-    found = near_duplicates(documents)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_doc_id")).distinct()
-    return documents.join(kept, F.col("doc_id").cast("long") == F.col("_kept_doc_id"), "left_semi")
+    """One row of each component, that of its smallest doc_id (rows without one come last), all columns as they were."""
+    row = free_name(documents, "_row")
+    rows = numbered(documents, row)
+    marked = materialize(with_fingerprint(rows, row), "fingerprints")
+    first = first_row(marked.join(linked(marked), "fp"), row, "part")
+    return rows.join(first, row, "left_semi").select(*(F.col(f"`{c}`") for c in documents.columns))
+
+
+def first_row(rows: DataFrame, row: str, by: str) -> DataFrame:
+    """The row number of each group's first row: by doc_id, those without one last."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)
+    return rows.groupBy(by).agg(F.min(order).alias("first")).select(F.col(f"first.{row}").alias(row))
