@@ -10,10 +10,13 @@ byte that no text has. The code length per byte is the score over minus the leng
 
 How it runs: documents lie in blocks. A block lists its different byte runs and
 tokens with their training counts; lists are dealt by key, counts are added over
-all blocks, the tree is built part by part (a part holds whole subtrees of two
-context bytes; the two levels above are summed over the parts), and each block
-gets the values of its own keys back. Nothing but those two levels' fixed-size tables
-passes through the driver.
+all blocks, the tree is built part by part, and each block gets the values of its own
+keys back. A part holds whole subtrees below contexts of two bytes; contexts that a
+sample finds in more than a part's share of the text are dealt by their third byte, and
+if need be by their fourth. The few levels above are summed over the parts and pass
+through the driver: 255 nodes for each context of one byte, and for each of those that
+are dealt deeper. The number of parts grows with the text; a task reads the lists of a
+part one after the other and holds only what they have in common.
 
 Defined cases: a null text counts as empty, which is one end; repeated rows are
 learned from and scored as often as they occur; an empty table gives no rows;
@@ -22,6 +25,7 @@ without training documents every decision has probability one half.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,8 +40,10 @@ from .tables import fold, materialize
 DEPTH = 5
 #: Bytes of text in a block.
 BLOCK = 6 << 20
-#: Blocks whose lists meet in one task.
-MEET = 64
+#: Bytes of text for each part, while there are no more than MOST parts; beyond, parts grow as the root of the text.
+PART, MOST = 8 << 20, 4096
+#: Bytes of text of which the sample is taken that tells how contexts are dealt; it bears on no result.
+SAMPLE = 64 << 20
 #: A byte that UTF-8 never has, for the end of a text and for what precedes its start.
 END = 0xFF
 HALF = np.log(0.5)
@@ -174,59 +180,59 @@ class Tree:
         return (1 << bit) | (self.symbol >> (8 - bit))
 
     def above(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """What the part adds to the nodes of one context byte: node (byte and bits so far), zeros, ones, weighted below."""
-        near = (self.keys >> W.U64(8 * depth)).astype(np.int64)
-        tables = np.zeros((3, 1 << 16))
+        """What the part adds to the nodes of one context byte less than `top`: node (context and bits so far), zeros, ones, weighted below."""
+        near = (self.keys >> W.U64(8 * (depth - self.top + 2))).astype(np.int64)
+        parts = []
         for bit in range(8):
             node, zeros, ones, _, weighted = self.levels[-1][bit]
             place = np.zeros(len(zeros), np.int64)
             place[node] = near * 256 + self.so_far(bit)
-            for table, values in zip(tables, (zeros, ones, weighted), strict=True):
-                np.add.at(table, place, values)
-        there = np.flatnonzero(tables.any(0))
-        return there, *tables[:, there]
+            parts.append((place, zeros, ones, weighted))
+        place, *each = (np.concatenate(x) for x in zip(*parts, strict=True))
+        there, at = np.unique(place, return_inverse=True)
+        return there, *(np.bincount(at, weights=x, minlength=len(there)) for x in each)
 
 
 @dataclass
 class Crown:
-    """The two levels over all parts, as tables of a fixed size: counts and own shares by (byte, bits so far) and by bits so far."""
+    """The levels above all parts, by number of context bytes from 0 on: nodes (context and bits so far), sorted, with
+    zeros, ones and the share of the weight that is a node's own."""
 
-    zeros1: np.ndarray
-    ones1: np.ndarray
-    own1: np.ndarray
-    zeros0: np.ndarray
-    ones0: np.ndarray
-    own0: np.ndarray
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def crown(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> Crown:
-    z, o, s = (np.zeros(1 << 16) for _ in range(3))
-    for table, values in ((z, zeros), (o, ones), (s, below)):
-        np.add.at(table, np.asarray(node, np.int64), values)
-    kt = log_kt(z, o)
-    weighted = np.logaddexp(HALF + kt, HALF + s)
-    z0, o0, s0 = (t.reshape(256, 256).sum(0) for t in (z, o, np.where(z + o > 0, weighted, 0)))
-    kt0 = log_kt(z0, o0)
-    return Crown(z, o, np.exp(HALF + kt - weighted), z0, o0, np.exp(HALF + kt0 - np.logaddexp(HALF + kt0, HALF + s0)))
+def crown(rows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Crown:
+    """From the parts' sums (node, zeros, ones, weighted below) by number of context bytes."""
+    levels, up = [], tuple(np.zeros(0) for _ in range(4))
+    for level in range(max(rows, default=1), -1, -1):
+        node, *each = (np.concatenate(x) for x in zip(rows.get(level, tuple(np.zeros(0) for _ in range(4))), up, strict=True))
+        there, at = np.unique(node.astype(np.int64), return_inverse=True)
+        zeros, ones, below = (np.bincount(at, weights=x, minlength=len(there)) for x in each)
+        kt = log_kt(zeros, ones)
+        weighted = np.logaddexp(HALF + kt, HALF + below)
+        levels.append((there, zeros, ones, np.exp(HALF + kt - weighted)))
+        # One context byte less: the farthest goes, the bits so far stay.
+        up = ((there >> 16) * 256 + (there & 255), zeros, ones, weighted)
+    return Crown(levels[::-1])
 
 
-def predict(keys: np.ndarray, counts: np.ndarray, c: Crown, depth: int = DEPTH) -> np.ndarray:
+def predict(keys: np.ndarray, counts: np.ndarray, c: Crown, depth: int = DEPTH, top: int = 2) -> np.ndarray:
     """log10 of the probability of the byte in its context, for each number."""
-    tree = Tree(keys, counts, depth)
+    tree = Tree(keys, counts, depth, top)
     total = np.zeros(len(keys))
-    near = (keys >> W.U64(8 * depth)).astype(np.int64)
     for bit in range(8):
         one = ((tree.symbol >> (7 - bit)) & 1).astype(bool)
         q = np.full(len(keys), np.nan)
-        byte = near * 256 + tree.so_far(bit)
-        path = [(lv[bit][0], *lv[bit][1:4]) for lv in tree.levels] + [(byte, c.zeros1, c.ones1, c.own1)]
+        path = [lv[bit][:4] for lv in tree.levels]
+        for level in range(top - 1, -1, -1):
+            nodes, *rest = c.levels[level]
+            context = (keys >> W.U64(8 * (depth - level + 1))).astype(np.int64)
+            path.append((np.searchsorted(nodes, context * 256 + tree.so_far(bit)), *rest))
         for node, zeros, ones, own in path:
             kt = ((np.where(one, ones[node], zeros[node])) + 0.5) / ((zeros + ones)[node] + 1)
             q = np.where(np.isnan(q), kt, own[node] * kt + (1 - own[node]) * q)
             q[(zeros + ones)[node] == 0] = np.nan  # a context never met ends the path above it
-        root = tree.so_far(bit)
-        kt = (np.where(one, c.ones0[root], c.zeros0[root]) + 0.5) / ((c.zeros0 + c.ones0)[root] + 1)
-        total += np.log10(np.where(np.isnan(q), kt, c.own0[root] * kt + (1 - c.own0[root]) * q))
+        total += np.log10(np.where(np.isnan(q), 0.5, q))
     return total
 
 
@@ -240,12 +246,6 @@ def squeeze(x: np.ndarray, level: int = 1) -> bytes:
     return zstandard.compress(np.ascontiguousarray(x).tobytes(), level)
 
 
-def coarse(x: np.ndarray) -> np.ndarray:
-    """float32 with 14 bits of fraction: off by a thirty-thousandth at most, in less room once compressed."""
-    bits = x.astype(np.float32).view(np.uint32)
-    return ((bits + np.uint32(1 << 8)) & np.uint32(0xFFFFFE00)).view(np.float32)
-
-
 def spread(blob: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), dtype)
 
@@ -255,12 +255,58 @@ def steps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=W.U64(0))
 
 
-def part_of(keys: np.ndarray, kind: int, parts: int, depth: int) -> np.ndarray:
-    """Tokens are dealt by hash, byte runs by the two nearest context bytes."""
-    return (W.mix(keys if kind == TOKENS else keys >> W.U64(8 * (depth - 1))) % W.U64(parts)).astype(np.int64)
+@dataclass(frozen=True)
+class Deal:
+    """How keys are dealt. heavy: sorted contexts of two bytes, then of three, whose byte runs are dealt by one byte more.
 
+    Part k * parts and those after it hold the subtrees below contexts of 2 + k bytes.
+    """
 
-def _lists(batch: pa.RecordBatch, number: int, folds: int, left_out: int, parts: int, depth: int):
+    parts: int
+    depth: int = DEPTH
+    heavy: tuple[np.ndarray, ...] = ()
+
+    def place(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        """The part of each key; tokens are dealt by hash."""
+        if kind == TOKENS:
+            return (W.mix(keys) % W.U64(self.parts)).astype(np.int64)
+        deep, name = np.zeros(len(keys), np.int64), keys >> W.U64(8 * (self.depth - 1))
+        for k, heavy in enumerate(self.heavy):
+            more = (deep == k) & np.isin(keys >> W.U64(8 * (self.depth - 1 - k)), heavy)
+            name = np.where(more, keys >> W.U64(8 * (self.depth - 2 - k)), name)
+            deep[more] += 1
+        return deep * self.parts + (W.mix(name) % W.U64(self.parts)).astype(np.int64)
+
+    def top(self, part: int) -> int:
+        return 2 + part // self.parts
+
+
+def deal(documents: DataFrame, depth: int) -> Deal:
+    """As many parts as the text needs; contexts are heavy that take more than two parts' share of a sample of the texts."""
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = math.ceil(size / PART)
+    n = n if n <= MOST else math.ceil(math.sqrt(n * MOST))
+    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), n)
+    names = "bytes int, context long, n long"
+
+    def run(batches):
+        for part in W.gathered(batches):
+            keys, at, _, _ = byte_runs(*W.buffer(part.column("text")), 3)
+            counts = np.bincount(at, minlength=len(keys))
+            for length in (2, 3):
+                context, where = np.unique(keys >> W.U64(8 * (4 - length)), return_inverse=True)
+                total = np.bincount(where, weights=counts).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(context), length, np.int32)), pa.array(context.astype(np.int64)), pa.array(total)], names=["bytes", "context", "n"])
+
+    some = documents.where(F.pmod(F.xxhash64("text"), F.lit(max(1, size // SAMPLE))) == 0).select("text")
+    seen = some.mapInArrow(run, names).groupBy("bytes", "context").agg(F.sum("n").alias("n"))
+    total = seen.where("bytes = 2").agg(F.sum("n").alias("total"))
+    rows = seen.join(F.broadcast(total)).where(F.col("n") * parts > 2 * F.col("total")).collect()  # at most `parts`
+    heavy = tuple(np.array(sorted(r.context for r in rows if r.bytes == length), W.U64) for length in (2, 3))
+    return Deal(parts, depth, heavy[: max(depth - 2, 0)])
+
+
+def _lists(batch: pa.RecordBatch, number: int, left_out: int, how: Deal):
     data, offsets = W.buffer(batch.column("text"))
     rest = batch.column("rest").fill_null(left_out).to_numpy()
     learn = rest != left_out
@@ -268,15 +314,21 @@ def _lists(batch: pa.RecordBatch, number: int, folds: int, left_out: int, parts:
     about = np.concatenate([ids.fill_null(0).to_numpy().astype(np.int64), np.asarray(ids.is_null()).astype(np.int64), learn.astype(np.int64), offsets])
     rows = [(number, TEXT, -1, squeeze(data, 6), squeeze(about))]
     for kind in (TOKENS, RUNS):
-        keys, at, first = _found(kind, data, offsets, depth)
+        keys, at, first = _found(kind, data, offsets, how.depth)
         counts = np.bincount(at[learn[W.owners(first)]], minlength=len(keys))
-        part = part_of(keys, kind, parts, depth)
-        for p in np.unique(part):
-            own = part == p
-            rows.append((number, kind, int(p), squeeze(steps(keys[own])), squeeze(counts[own].astype(np.uint32))))
+        for p, own in _by_part(how.place(keys, kind)):
+            rows.append((number, kind, p, squeeze(steps(keys[own])), squeeze(counts[own].astype(np.uint32))))
     return rows
 
 
+def _by_part(part: np.ndarray):
+    """Each part and the places of its keys, in order."""
+    order = np.argsort(part, kind="stable")
+    edge = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1])) if len(part) else np.zeros(0, np.int64)
+    for a, b in zip(edge, [*edge[1:], len(part)], strict=True):
+        yield int(part[order[a]]), order[a:b]
+
+
 def _found(kind: int, data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different keys of a kind in the texts, which one each position has, and each text's first position."""
     if kind == TOKENS:
@@ -285,7 +337,7 @@ def _found(kind: int, data: np.ndarray, offsets: np.ndarray, depth: int) -> tupl
     return keys, at, first
 
 
-def lists(documents: DataFrame, folds: int, left_out: int, parts: int, depth: int, block: int = BLOCK) -> DataFrame:
+def lists(documents: DataFrame, folds: int, left_out: int, how: Deal, block: int = BLOCK) -> DataFrame:
     """LISTS: each block's texts (kind TEXT), and its different tokens and byte runs with training counts, by part."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), fold(F.col("doc_id"), folds).cast("int").alias("rest"))
 
@@ -294,67 +346,118 @@ def lists(documents: DataFrame, folds: int, left_out: int, parts: int, depth: in
 
         task = TaskContext.get().partitionId()
         for k, batch in enumerate(W.gathered(batches, size=block)):
-            made = _lists(batch, (task << 24) | k, folds, left_out, parts, depth)
+            made = _lists(batch, (task << 24) | k, left_out, how)
             for i in range(0, len(made), 64):
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in made[i : i + 64]], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "kind", "part", "a", "b"])
 
     return rows.mapInArrow(run, LISTS)
 
 
-def _merge(key: tuple, group: pa.Table) -> pa.Table:
-    """One list with the counts of all."""
-    keys = [np.cumsum(spread(x, W.U64), dtype=W.U64) for x in group["a"].to_pylist()]
-    kinds = group.column_names
-    wide = np.concatenate([spread(x, np.uint32 if "block" in kinds else np.float64).astype(float) for x in group["b"].to_pylist()])
-    unique, at = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.bincount(at, weights=wide, minlength=len(unique))
-    return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "a": pa.array([squeeze(steps(unique))], pa.binary()), "b": pa.array([squeeze(counts)], pa.binary())})
+class Counts:
+    """Sorted keys with counts, to which lists are added; those that wait are merged once they outweigh what is there."""
+
+    def __init__(self):
+        self.keys, self.counts, self.waiting, self.size = np.zeros(0, W.U64), np.zeros(0), [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.waiting.append((keys, counts))
+        self.size += len(keys)
+        if self.size > max(2 * len(self.keys), 1 << 20):
+            self.merge()
+
+    def merge(self) -> None:
+        keys, counts = (np.concatenate(x) for x in zip((self.keys, self.counts), *self.waiting, strict=True))
+        self.keys, at = np.unique(keys, return_inverse=True)
+        self.counts, self.waiting, self.size = np.bincount(at, weights=counts, minlength=len(self.keys)), [], 0
+
+
+def counted(found: DataFrame, how: Deal) -> DataFrame:
+    """kind, part, a (keys), b (counts): over all blocks."""
+    names = ["kind", "part", "a", "b"]
 
+    def run(batches):
+        own, total = None, Counts()
+
+        def out():
+            total.merge()
+            return pa.RecordBatch.from_arrays([pa.array([own[0]], pa.int32()), pa.array([own[1]], pa.int32()), pa.array([squeeze(steps(total.keys))], pa.binary()), pa.array([squeeze(total.counts)], pa.binary())], names=names)
+
+        for batch in batches:
+            for kind, part, a, b in zip(*(batch[c].to_pylist() for c in names), strict=True):
+                if own not in (None, (kind, part)):
+                    yield out()
+                    total = Counts()
+                own = kind, part
+                total.add(np.cumsum(spread(a, W.U64), dtype=W.U64), spread(b, np.uint32))
+        if own:
+            yield out()
 
-def counted(found: DataFrame, depth: int) -> DataFrame:
-    """kind, part, a (keys), b (counts): over all blocks. Lists of few blocks are merged first, so no task meets all of them."""
-    merged = found.groupBy("kind", "part", "salt").applyInArrow(_merge, "kind int, part int, a binary, b binary")
-    return materialize(merged.groupBy("kind", "part").applyInArrow(_merge, "kind int, part int, a binary, b binary"), "counts")
+    rows = found.select(*names).repartition(how.parts, "kind", "part").sortWithinPartitions("kind", "part")
+    return materialize(rows.mapInArrow(run, "kind int, part int, a binary, b binary"), "counts")
 
 
-def top_of(counts: DataFrame, depth: int) -> Crown:
+def top_of(counts: DataFrame, how: Deal) -> Crown:
+    names = ["level", "node", "zeros", "ones", "below"]
+
     def run(batches):
         for batch in batches:
-            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
-                node, zeros, ones, below = Tree(np.cumsum(spread(a, W.U64), dtype=W.U64), spread(b, np.float64), depth).above(depth)
-                yield pa.RecordBatch.from_arrays([pa.array(node), *map(pa.array, (zeros, ones, below))], names=["node", "zeros", "ones", "below"])
+            for part, a, b in zip(*(batch[c].to_pylist() for c in ("part", "a", "b")), strict=True):
+                tree = Tree(np.cumsum(spread(a, W.U64), dtype=W.U64), spread(b, np.float64), how.depth, how.top(part))
+                node, *each = tree.above(how.depth)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), tree.top - 1, np.int32)), pa.array(node), *map(pa.array, each)], names=names)
 
-    each = counts.where(F.col("kind") == RUNS).select("a", "b").mapInArrow(run, "node long, zeros double, ones double, below double")
-    rows = each.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).toArrow()  # at most 65,536
-    return crown(*(np.asarray(rows[c].combine_chunks()) for c in ("node", "zeros", "ones", "below")))
+    each = counts.where(F.col("kind") == RUNS).select("part", "a", "b").mapInArrow(run, "level int, node long, zeros double, ones double, below double")
+    sums = each.groupBy("level", "node").agg(*(F.sum(c).alias(c) for c in names[2:])).toArrow()  # at most 65,536 + 255 * 2 * parts
+    columns = [np.asarray(sums[c].combine_chunks()) for c in names]
+    return crown({int(k): tuple(x[columns[0] == k] for x in columns[1:]) for k in np.unique(columns[0])})
 
 
-def values(counts: DataFrame, top: Crown, depth: int) -> DataFrame:
-    """kind, part, a (keys), b: a token's training count, or a byte run's log10 probability."""
+def values(counts: DataFrame, top: Crown, how: Deal) -> DataFrame:
+    """LISTS with block -1: keys and a token's training count, or a byte run's log10 probability."""
+    shared = counts.sparkSession.sparkContext.broadcast(top)
 
     def run(batches):
         for batch in batches:
             out = []
-            for kind, a, b in zip(*(batch[c].to_pylist() for c in ("kind", "a", "b")), strict=True):
+            for kind, part, a, b in zip(*(batch[c].to_pylist() for c in ("kind", "part", "a", "b")), strict=True):
                 n = spread(b, np.float64)
-                out.append(squeeze(n if kind == TOKENS else predict(np.cumsum(spread(a, W.U64), dtype=W.U64), n, top, depth)))
-            yield pa.RecordBatch.from_arrays([batch["kind"], batch["part"], batch["a"], pa.array(out, pa.binary())], names=["kind", "part", "a", "b"])
+                out.append(squeeze(n if kind == TOKENS else predict(np.cumsum(spread(a, W.U64), dtype=W.U64), n, shared.value, how.depth, how.top(part))))
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(out), pa.int64()), batch["kind"], batch["part"], batch["a"], pa.array(out, pa.binary())], names=["block", "kind", "part", "a", "b"])
+
+    return counts.mapInArrow(run, LISTS)
+
+
+def answers(found: DataFrame, known: DataFrame, how: Deal) -> DataFrame:
+    """LISTS: b holds, for each block's list, the values of its keys in their order, as `apart` gives them."""
+    names = ["block", "kind", "part", "a", "b"]
+
+    def run(batches):
+        keys = value = None
+        for batch in batches:
+            rows = []
+            for block, kind, part, a, b in zip(*(batch[c].to_pylist() for c in names), strict=True):
+                own = np.cumsum(spread(a, W.U64), dtype=W.U64)
+                if block < 0:
+                    keys, value = own, spread(b, np.float64)
+                else:
+                    rows.append((block, kind, part, b"", squeeze(apart(value[np.searchsorted(keys, own)]), 3)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=names)
+
+    asked = found.select("block", "kind", "part", "a", F.lit(None).cast("binary").alias("b"))
+    rows = asked.unionByName(known).repartition(how.parts, "kind", "part").sortWithinPartitions("kind", "part", "block")
+    return rows.mapInArrow(run, LISTS)
+
 
-    return counts.mapInArrow(run, "kind int, part int, a binary, b binary")
+def apart(x: np.ndarray) -> np.ndarray:
+    """The numbers' first bytes, then their second ones, and so on, which take less room together."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T
 
 
-def _answer(own: pa.Table, known: pa.Table) -> pa.Table:
-    """For each block's list, the values of its keys, in their order."""
-    if not own.num_rows:
-        return pa.table({c: pa.array([], t) for c, t in (("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()))})
-    keys, value = np.cumsum(spread(known["a"][0].as_py(), W.U64), dtype=W.U64), spread(known["b"][0].as_py(), np.float64)
-    if own["kind"][0].as_py() == RUNS:
-        value = coarse(value)
-    out = [squeeze(value[np.searchsorted(keys, np.cumsum(spread(a, W.U64), dtype=W.U64))], 3) for a in own["a"].to_pylist()]
-    return pa.table({"block": own["block"], "kind": own["kind"], "part": own["part"], "a": pa.array([b""] * len(out), pa.binary()), "b": pa.array(out, pa.binary())})
+def together(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(spread(blob, np.uint8).reshape(8, -1).T).view(np.float64).ravel()
 
 
-def _scored(group: pa.Table, depth: int, parts: int, n_all: float, n_different: float, left_out: int) -> pa.Table:
+def _scored(group: pa.Table, how: Deal, n_all: float, n_different: float) -> pa.Table:
     rows = {(k, p): (a, b) for k, p, a, b in zip(*(group[c].to_pylist() for c in ("kind", "part", "a", "b")), strict=True)}
     text, about = rows[TEXT, -1]
     data, about = spread(text, np.uint8), spread(about, np.int64)
@@ -362,11 +465,10 @@ def _scored(group: pa.Table, depth: int, parts: int, n_all: float, n_different:
     ids, null, offsets = about[:n], about[n : 2 * n] > 0, about[3 * n :]
     out = {}
     for kind in (TOKENS, RUNS):
-        keys, at, first = _found(kind, data, offsets, depth)
-        part = part_of(keys, kind, parts, depth)
+        keys, at, first = _found(kind, data, offsets, how.depth)
         value = np.zeros(len(keys))
-        for p in np.unique(part):
-            value[part == p] = spread(rows[kind, int(p)][1], np.float64 if kind == TOKENS else np.float32)
+        for p, own in _by_part(how.place(keys, kind)):
+            value[own] = together(rows[kind, p][1])
         out[kind] = value[at], first
     c, first = out[TOKENS]
     base = np.log10((c + 0.5) / (n_all + 0.5 * (n_different + 1)))
@@ -386,18 +488,16 @@ def _scored(group: pa.Table, depth: int, parts: int, n_all: float, n_different:
 SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, n_bytes long, score double"
 
 
-def score(documents: DataFrame, folds: int = 5, left_out: int = 1, depth: int = DEPTH) -> DataFrame:
+def score(documents: DataFrame, folds: int = 5, left_out: int = 1, depth: int = DEPTH, how: Deal | None = None) -> DataFrame:
     """SCORES of every document, learned from those outside the fold left out.
 
-    score: log10 of the model's probability of the text. base_score: the same by tokens alone.
+    score: log10 of the model's probability of the text. base_score: the same by tokens alone. how: the deal, which
+    bears on no result.
     """
-    spark = documents.sparkSession
-    parts = min(max(32, int(spark.conf.get("spark.sql.shuffle.partitions"))), 512)
-    all_lists = materialize(lists(documents, folds, left_out, parts, depth), "lists", partition_by="kind").select("block", "kind", "part", "a", "b")
-    texts = all_lists.where(F.col("kind") == TEXT)
-    salts = max(1, -(-texts.count() // MEET))
-    found = all_lists.where(F.col("kind") != TEXT).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
-    counts = counted(found, depth)
+    deals = how or deal(documents, depth)
+    every = materialize(lists(documents, folds, left_out, deals), "lists", partition_by="kind").select("block", "kind", "part", "a", "b")
+    texts, found = every.where(F.col("kind") == TEXT), every.where(F.col("kind") != TEXT)
+    counts = counted(found, deals)
 
     def total(batches):
         for batch in batches:
@@ -406,8 +506,5 @@ def score(documents: DataFrame, folds: int = 5, left_out: int = 1, depth: int =
 
     sums = counts.where(F.col("kind") == TOKENS).select("b").mapInArrow(total, "n double, v double").agg(F.sum("n"), F.sum("v")).first()
     n_all, n_different = sums[0] or 0.0, sums[1] or 0.0
-    known = materialize(values(counts, top_of(counts, depth), depth), "values")
-    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    by = ("kind", "part", "salt")
-    answers = materialize(found.groupBy(*by).cogroup(known.groupBy(*by)).applyInArrow(_answer, LISTS), "answers")
-    return texts.unionByName(answers).groupBy("block").applyInArrow(lambda g: _scored(g, depth, parts, n_all, n_different, left_out), SCORES)
+    known = values(counts, top_of(counts, deals), deals)
+    return texts.unionByName(answers(found, known, deals)).groupBy("block").applyInArrow(lambda g: _scored(g, deals, n_all, n_different), SCORES)
