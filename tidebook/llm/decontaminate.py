@@ -2,8 +2,10 @@
 
 Each shard of the documents sorts the suffixes of its word sequence. Every suffix
 of every benchmark item is binary-searched there by its first words; the suffixes
-in the ranges found are compared over the whole window length. Runs of matching
-windows are the longest verbatim matches, with their places in document and item.
+in the ranges found are compared over the whole window length, by 128 bits that two
+independent hashes make of its words. Runs of matching windows are the longest
+verbatim matches, with their places in document and item; each item that has a window
+has its own, and each place in it.
 
 A window is `width` consecutive words of an item; an item with fewer words, but
 at least one, is one window. A document is contaminated if a word of it lies in an
@@ -11,13 +13,14 @@ occurrence of a window and such words are at least `share` of its words.
 
 Defined cases: null and empty texts have no words and no hits, on either side; a
 repeated document or item is judged like its copy; items with equal ids count
-once; empty tables give no rows (documents) or no hits (benchmark). `clean` keeps
+once, and items without an id hit words but have no name to be listed by; empty tables give no rows (documents) or no hits (benchmark). `clean` keeps
 every column of its input, whatever its name.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,10 +41,11 @@ MATCHES = "array<struct<word: bigint, n_words: bigint, item_id: string, item_wor
 
 @dataclass
 class Suffixes:
-    """Test suffixes, one for each window: its hash and length, sort key range, item and place in it; sorted by (length, hash)."""
+    """Test suffixes, one for each window: its length and two hashes, sort key range, item and place in it; sorted by (length, hash)."""
 
     length: np.ndarray
     hash: np.ndarray
+    check: np.ndarray
     low: np.ndarray
     high: np.ndarray
     item: np.ndarray
@@ -49,10 +53,11 @@ class Suffixes:
     ids: list[str]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each word, and the number of words before each text."""
     data = W.LOWER[data]
     starts, ends, first = W.spans(data, offsets, W.NOT_WORD)
-    return W.span_hashes(data, starts, ends), first
+    return W.span_hashes(data, starts, ends), W.span_hashes(data, starts, ends, 1), first
 
 
 def sort_keys(hashes: np.ndarray) -> np.ndarray:
@@ -64,7 +69,7 @@ def sort_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def suffixes(ids: list, texts: pa.Array, width: int = WIDTH) -> Suffixes:
-    hashes, first = word_hashes(*W.buffer(texts))
+    hashes, others, first = word_hashes(*W.buffer(texts))
     counts = np.diff(first)
     length = np.minimum(np.repeat(counts, counts), width)
     place = np.arange(len(hashes)) - np.repeat(first[:-1], counts)
@@ -73,18 +78,19 @@ def suffixes(ids: list, texts: pa.Array, width: int = WIDTH) -> Suffixes:
     # A word takes part as a window's first if the window ends within its item.
     keep = np.flatnonzero(place + length <= counts[item])
     length, item, place, key = length[keep], item[keep], place[keep], key[keep]
-    h = np.zeros(len(keep), W.U64)
+    h, check = np.zeros(len(keep), W.U64), np.zeros(len(keep), W.U64)
     for n in np.unique(length):
         own = length == n
         h[own] = W.span_hashes(hashes, keep[own], keep[own] + n)
+        check[own] = W.span_hashes(others, keep[own], keep[own] + n, 1)
     free = W.U64(16) * (KEY_WORDS - np.minimum(length, KEY_WORDS)).astype(W.U64)
     low = (key >> free) << free
     high = low | ((W.U64(1) << free) - W.U64(1))
-    order = np.lexsort((h, length))
-    return Suffixes(length[order], h[order], low[order], high[order], item[order], place[order], [str(i) for i in ids])
+    order = np.lexsort((check, h, length))
+    return Suffixes(length[order], h[order], check[order], low[order], high[order], item[order], place[order], list(ids))
 
 
-def find(hashes: np.ndarray, first: np.ndarray, tests: Suffixes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+def find(hashes: np.ndarray, others: np.ndarray, first: np.ndarray, tests: Suffixes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """For each window length: positions of matching windows, and the range of tests with that window."""
     if not len(hashes) or not len(tests.hash):
         return []
@@ -103,27 +109,42 @@ def find(hashes: np.ndarray, first: np.ndarray, tests: Suffixes) -> list[tuple[n
             continue
         inside = order[np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
         inside = np.sort(inside[inside + n <= total_end[inside]])
-        lo, hi = (np.searchsorted(tests.hash[a:b], W.span_hashes(hashes, inside, inside + n), side) for side in ("left", "right"))
-        hit = hi > lo
-        found.append((inside[hit], lo[hit] + a, hi[hit] + a, int(n)))
+        # Equal first hashes, then, among tests with one first hash (which are sorted by it), the second.
+        h = W.span_hashes(hashes, inside, inside + n)
+        inside = inside[np.isin(h, tests.hash[a:b])]
+        if len(inside):
+            pair = np.dtype([("h", W.U64), ("c", W.U64)])
+            want, have = np.empty(len(inside), pair), np.empty(b - a, pair)
+            want["h"], want["c"] = W.span_hashes(hashes, inside, inside + n), W.span_hashes(others, inside, inside + n, 1)
+            have["h"], have["c"] = tests.hash[a:b], tests.check[a:b]
+            lo, hi = (np.searchsorted(have, want, side) for side in ("left", "right"))
+            hit = hi > lo
+            if hit.any():
+                found.append((inside[hit], lo[hit] + a, hi[hit] + a, int(n)))
     return found
 
 
-def matches(hashes: np.ndarray, first: np.ndarray, tests: Suffixes) -> tuple[list[set], list[list[dict]]]:
+def matches(hashes: np.ndarray, others: np.ndarray, first: np.ndarray, tests: Suffixes) -> tuple[list[set], list[list[dict]]]:
     """For each text: ids of the items with occurring windows, and the longest verbatim matches."""
     owner = W.owners(first)
     items: list[set] = [set() for _ in first[1:]]
     runs: list[list] = [[] for _ in first[1:]]
-    for at, t, hi, n in find(hashes, first, tests):
-        for doc, a, b in np.unique(np.column_stack([owner[at], t, hi]), axis=0):
-            items[doc].update(tests.ids[i] for i in tests.item[a:b].tolist())
-        # A match goes on while the next word starts the item's next window.
+    for at, lo, hi, n in find(hashes, others, first, tests):
+        # Every place in every item that has the window, in the order of what a longer match would go on with.
+        size = hi - lo
+        t = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        at = np.repeat(at, size)
+        item, place = tests.item[t], tests.place[t]
+        order = np.lexsort((at, at - place, item))
+        at, item, place = at[order], item[order], place[order]
         fresh = np.ones(len(at), bool)
-        fresh[1:] = (at[1:] != at[:-1] + 1) | (tests.item[t[1:]] != tests.item[t[:-1]]) | (tests.place[t[1:]] != tests.place[t[:-1]] + 1) | (owner[at[1:]] != owner[at[:-1]])
+        fresh[1:] = (at[1:] != at[:-1] + 1) | (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])
         heads = np.flatnonzero(fresh)
-        for i, j in zip(heads, [*heads[1:], len(at)], strict=True):
-            doc = owner[at[i]]
-            runs[doc].append({"word": int(at[i] - first[doc]), "n_words": int(n + j - i - 1), "item_id": tests.ids[tests.item[t[i]]], "item_word": int(tests.place[t[i]])})
+        for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(at)], strict=True):
+            doc, name = owner[at[i]], tests.ids[item[i]]
+            if name is not None:
+                items[doc].add(name)
+            runs[doc].append({"word": int(at[i] - first[doc]), "n_words": int(n + j - i - 1), "item_id": name, "item_word": int(place[i])})
     return items, runs
 
 
@@ -137,16 +158,14 @@ def covered(runs: list[dict]) -> int:
     return total
 
 
-def blocks(benchmark: DataFrame, width: int, block_bytes: int = BLOCK_BYTES) -> list[Suffixes]:
-    """The benchmark's suffixes in blocks of a bounded size."""
+def blocks(benchmark: DataFrame, width: int, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[Suffixes, bool]]:
+    """The benchmark's suffixes in blocks of a bounded size, one at a time, and whether it is the last."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / block_bytes))
-    out = []
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")]).combine_chunks()
-        out.append(suffixes(rows["item_id"].to_pylist(), pa.concat_arrays(rows["text"].chunks) if rows.num_rows else pa.array([], pa.string()), width))
-    return out
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")]).combine_chunks()
+        yield suffixes(rows["item_id"].to_pylist(), pa.concat_arrays(rows["text"].chunks) if rows.num_rows else pa.array([], pa.string()), width), k == n - 1
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, width: int, keep_text: bool) -> DataFrame:
@@ -155,9 +174,8 @@ def scan(documents: DataFrame, benchmark: DataFrame, width: int, keep_text: bool
         documents = documents.select("doc_id", "text")
     row = documents.drop("text").schema if not keep_text else documents.schema
     out = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast(MATCHES).alias("matches"))
-    found = blocks(benchmark, width)
-    for k, tests in enumerate(found):
-        shared, last = documents.sparkSession.sparkContext.broadcast(tests), k == len(found) - 1
+    for tests, last in blocks(benchmark, width):
+        shared = documents.sparkSession.sparkContext.broadcast(tests)
 
         def run(batches, shared=shared, last=last):
             kinds = None
@@ -168,8 +186,8 @@ def scan(documents: DataFrame, benchmark: DataFrame, width: int, keep_text: bool
                 kinds = kinds or (batch.schema.field("items").type, batch.schema.field("matches").type)
                 for part in W.chunks(iter([texts])):
                     here = batch.slice(part["n"][0].as_py(), part.num_rows)
-                    hashes, first = word_hashes(*W.buffer(part.column("text")))
-                    items, runs = matches(hashes, first, shared.value)
+                    hashes, others, first = word_hashes(*W.buffer(part.column("text")))
+                    items, runs = matches(hashes, others, first, shared.value)
                     items = [sorted(a | set(b or ())) for a, b in zip(items, here["items"].to_pylist(), strict=True)]
                     runs = [a + (b or []) for a, b in zip(runs, here["matches"].to_pylist(), strict=True)]
                     left = here.column("row")
