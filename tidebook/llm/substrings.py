@@ -11,7 +11,10 @@ Symbols are counted over the corpus together with the words of their context, on
 which they depend alone. A window that holds one which occurs once is no repeat.
 Symbols in a row whose first occurrences lie in a row too, at one place, verify a
 passage of any length at once. Only windows that neither settles, which are the first occurrence of what is
-repeated and the ends of passages, are compared one by one, by a 128-bit hash.
+repeated and the ends of passages, are compared one by one, by 128 bits that two
+independent hashes make of the words. Symbols have 64 bits: of n different ones about
+n^2 / 2^65 pairs share a name by chance, and only a passage all of whose symbols do so at
+one shift would be taken for another.
 
 Windows are judged on the input, not on what is left. Defined cases: null and
 empty texts have no words; texts shorter than a window lose nothing; rows with one
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import materialize
+from .tables import join_hot, materialize
 
 WINDOW = 20
 #: After so many rounds a symbol stands for 3 to 4 words and, with its context, for about 10.
@@ -103,10 +106,10 @@ def recompress(hashes: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> S
     return s
 
 
-def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _words(column: pa.Array, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = W.buffer(column)
     starts, ends, first = W.spans(data, offsets, W.SPACES)
-    return W.span_hashes(data, starts, ends), first
+    return W.span_hashes(data, starts, ends, which), first
 
 
 def anchors(hashes: np.ndarray, first: np.ndarray, window: int) -> Symbols:
@@ -189,7 +192,7 @@ def settle(ids: np.ndarray, column: pa.Array, known: list, window: int = WINDOW)
     starts = np.flatnonzero(np.arange(n) + window <= np.repeat(end, np.diff(first)))
     starts = starts[~killed[starts] & (whole[starts + window] - whole[starts] < window)] if n else starts
     h1 = W.span_hashes(hashes, starts, starts + window)
-    h2 = W.span_hashes(W.mix(hashes + W.U64(0x5851F42D4C957F2D)), starts, starts + window)
+    h2 = W.span_hashes(_words(column, 1)[0], starts, starts + window, 1)
     owner = W.owners(first)[starts]
     return [h1.view(np.int64), h2.view(np.int64), ids[owner], starts - base[owner]], covered
 
@@ -221,8 +224,9 @@ def passages(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     known = repeated(documents, window)
     places = materialize(found(documents, known, window), "places")
     opened = places.where("h1 is not null")
-    first = opened.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "low")).alias("first")).where("n > 1").drop("n")
-    later = opened.join(first, ["h1", "h2"]).where("doc_id <> first.doc_id or low <> first.low")
+    # Partial minima first; then a window that very many places have is sent to them, not they to it.
+    first = opened.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "low")).alias("first")).where("n > 1")
+    later = join_hot(opened, materialize(first, "first"), ["h1", "h2"], "n").where("doc_id <> first.doc_id or low <> first.low")
     return later.select("doc_id", "low", "high").unionAll(places.where("h1 is null").select("doc_id", "low", "high"))
 
 

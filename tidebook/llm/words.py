@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 CHUNK = 2 << 20
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, U64), np.empty(0, U64))
+#: Bases of two hashes that have nothing in common.
+_BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Space and the five controls from tab to carriage return.
 SPACES = np.zeros(256, bool)
@@ -32,15 +32,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers from 0 to n - 1, and their inverses, modulo 2^64."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        up, down = np.full(size, _BASE, U64), np.full(size, pow(_BASE, -1, 1 << 64), U64)
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A base's powers from 0 to n - 1, and their inverses, modulo 2^64."""
+    if which not in _powers or len(_powers[which][0]) < n:
+        size, base = max(n, 1 << 16), _BASES[which]
+        up, down = np.full(size, base, U64), np.full(size, pow(base, -1, 1 << 64), U64)
         up[0] = down[0] = 1
-        _powers = (np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64))
-    return _powers[0][:n], _powers[1][:n]
+        _powers[which] = (np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64))
+    up, down = _powers[which]
+    return up[:n], down[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,12 +92,12 @@ def spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tupl
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span."""
-    up, down = powers(len(values) + 1)
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of values[start:end] for each span; which: one of two that are independent."""
+    up, down = powers(len(values) + 1, which)
     total = np.zeros(len(values) + 1, U64)
     np.cumsum((values.astype(U64) + U64(1)) * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    return mix((total[ends] - total[starts]) * down[starts] + U64(which))
 
 
 def windows(hashes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
