@@ -44,10 +44,29 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df with a number of its own for each row, written so that it stays the row's whenever it is read again."""
+    """df with a number of its own for each row: its doc_id, if every row has one of its own, else a new one.
+
+    New ones are written with the rows, so that they stay the row's whenever it is read again.
+    """
+    counts = df.agg(F.count("*").alias("n"), F.count_distinct(F.col("doc_id").cast("long")).alias("ids")).first()
+    if counts.n == counts.ids:
+        return df.withColumn(name, F.col("doc_id").cast("long"))
     return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, how: str = "inner", share: int = 500) -> DataFrame:
+    """rows joined with keyed, which has one row for each key `on` and says in column n how many rows have it (n goes).
+
+    Keys with over 1/share of all those rows are fewer than share, so they are sent to all executors and the rows stay
+    where they are; the others are dealt by key.
+    """
+    total = keyed.agg(F.sum(n).alias("_total"))
+    sized = keyed.join(F.broadcast(total)).withColumn("_hot", F.col(n) * share > F.col("_total")).drop(n, "_total")
+    hot, rest = sized.where("_hot").drop("_hot"), sized.where("not _hot").drop("_hot")
+    first = rows.join(F.broadcast(hot), on)
+    return first.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how))
+
+
 def configure(spark: SparkSession) -> None:
     """Set SESSION, for this and all later jobs of the session."""
     for k, v in SESSION.items():
