@@ -2,9 +2,10 @@
 
 A url's path is a list of segments. Within its host and the template of what came
 before, a segment that holds a small share of its parent's urls is variable and
-becomes a wildcard of its shape (number, hexadecimal, word, other). Branches
-that stay apart are merged with their neighbour in the order of purity when
-neither their labels nor what follows below them tell them apart. A template's
+becomes a wildcard of its shape (number, hexadecimal, word, other). Of branches that
+stay apart, in the order of their share of block labels, each joins the group before it
+unless a test of two proportions, on the counts of both, tells their labels or what
+follows below them apart. The tree grows a segment at a time until no path goes on. A template's
 purity is its share of block labels, smoothed towards half as if by a few labels
 of each kind; templates over the limit are rejected, and so are the urls that
 fit them.
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
-from .tables import materialize
+from .tables import join_hot, materialize
 
 
 @dataclass(frozen=True)
@@ -41,14 +42,11 @@ class Rule:
 
 @dataclass(frozen=True)
 class Tree:
-    """depth: segments that templates tell apart, what lies deeper being one wildcard. share: of its parent's urls
-    that a literal segment needs. alike: greatest distance of two branches' purities, and of the shares of
-    their urls that go on with a number, for a merge. prior: labels of each kind that every template starts with. reject: purity from which
-    a template is rejected."""
+    """share: of its parent's urls that a literal segment needs. z: deviations from which two shares differ. prior:
+    labels of each kind that every template starts with. reject: purity from which a template is rejected."""
 
-    depth: int = 3
     share: float = 0.01
-    alike: float = 0.1
+    z: float = 1.96
     prior: float = 2.0
     reject: float = 0.7
 
@@ -80,54 +78,80 @@ def shape(segment: Column) -> Column:
     return F.concat(kind, end)
 
 
+COUNTS = ("urls", "blocked", "allowed", "variable")
+
+
+def _differ(n1: Column, x1: Column, n2: Column, x2: Column, z: float) -> Column:
+    """Whether x1 of n1 and x2 of n2 are different shares; half a case of each kind is added, so none is certain."""
+    p1, p2 = (x1 + 0.5) / (n1 + 1), (x2 + 0.5) / (n2 + 1)
+    p = (x1 + x2 + 1) / (n1 + n2 + 2)
+    return F.abs(p1 - p2) > z * F.sqrt(p * (1 - p) * (1 / (n1 + 1) + 1 / (n2 + 1)))
+
+
 def _merge(nodes: DataFrame, tree: Tree) -> DataFrame:
-    """Nodes with branch: what siblings that are alike are called. A parent has at most 1/share siblings here."""
-    order = Win.partitionBy("host", "parent").orderBy("purity", "segment")
-    apart = (F.abs(F.col("purity") - F.lag("purity").over(order)) > tree.alike) | ((F.col("labels") > 0) != (F.lag("labels").over(order) > 0)) | (F.abs(F.col("variable") - F.lag("variable").over(order)) > tree.alike)
-    grouped = nodes.withColumn("group", F.sum(F.coalesce(apart.cast("int"), F.lit(1))).over(order))
+    """host, parent, segment, branch (what siblings that are alike are called) and paths (those that have the node).
+
+    A parent has at most 1/share siblings here, so they are an array; a group's counts are those of all in it.
+    """
+    share = (F.col("blocked") + tree.prior) / (F.col("blocked") + F.col("allowed") + 2 * tree.prior)
+    each = nodes.groupBy("host", "parent").agg(F.array_sort(F.collect_list(F.struct(share.alias("share"), "segment", *COUNTS, "paths"))).alias("nodes"))
+    nobody = F.struct(F.lit(0).alias("group"), *(F.lit(0).cast("long").alias(c) for c in COUNTS), F.array().cast("array<int>").alias("groups"))
+
+    def step(acc: Column, x: Column) -> Column:
+        labels, known = x["blocked"] + x["allowed"], acc["blocked"] + acc["allowed"]
+        apart = (acc["group"] == 0) | ((labels > 0) != (known > 0)) | _differ(labels, x["blocked"], known, acc["blocked"], tree.z) | _differ(x["urls"], x["variable"], acc["urls"], acc["variable"], tree.z)
+        group = acc["group"] + apart.cast("int")
+        return F.struct(group.alias("group"), *(F.when(apart, x[c]).otherwise(acc[c] + x[c]).alias(c) for c in COUNTS), F.concat(acc["groups"], F.array(group)).alias("groups"))
+
+    rows = each.withColumn("groups", F.aggregate("nodes", nobody, step)["groups"]).select("host", "parent", F.explode(F.arrays_zip("nodes", "groups")).alias("x"))
+    rows = rows.select("host", "parent", "x.nodes.segment", "x.nodes.paths", F.col("x.groups").alias("group"))
     members = Win.partitionBy("host", "parent", "group")
-    return grouped.withColumn("branch", F.when(F.count("*").over(members) == 1, F.col("segment")).otherwise(F.concat(F.lit("("), F.min("segment").over(members), F.lit("|..)")))).select("host", "parent", "segment", "branch")
+    name = F.when(F.count("*").over(members) == 1, F.col("segment")).otherwise(F.concat(F.lit("("), F.min("segment").over(members), F.lit("|..)")))
+    return rows.withColumn("branch", name).select("host", "parent", "segment", "branch", "paths")
 
 
 def templates(pages: DataFrame, tree: Tree) -> tuple[DataFrame, DataFrame]:
     """(paths, templates) from pages with host, segments, verdict.
 
-    paths: each different (host, segments) up to the tree's depth, with its template. templates: host, template,
-    urls, blocked, allowed, purity, rejected. The work on the tree is on counts of different paths.
+    paths: each different (host, segments), with its urls and template. templates: host, template, urls, blocked,
+    allowed, purity, rejected, paths. The work on the tree is on counts of different paths; a level looks only at the
+    paths that reach it, and a node that very many of them have is sent to them (`join_hot`).
     """
     paths = pages.groupBy("host", "segments").agg(F.count("*").alias("urls"), F.count_if(F.col("verdict") == "block").alias("blocked"), F.count_if(F.col("verdict") == "allow").alias("allowed"))
-    paths = materialize(paths.withColumn("template", F.lit("")), "paths")
-    for level in range(tree.depth):
-        segment = F.try_element_at("segments", F.lit(level + 1))
+    live = materialize(paths.withColumn("template", F.lit("")), "paths")
+    columns, done, level = live.columns, None, 0
+    while True:
+        ended = live.where(F.size("segments") <= level)
+        done = ended if done is None else done.unionByName(ended)
+        live = live.where(F.size("segments") > level)
+        if live.isEmpty():
+            break
         below = F.try_element_at("segments", F.lit(level + 2))
-        here = paths.withColumn("segment", segment)
-        live = here.where("segment is not null").withColumn("variable", F.col("urls") * F.coalesce(below.rlike("[0-9]"), F.lit(False)).cast("int"))
-        nodes = live.groupBy("host", F.col("template").alias("parent"), "segment").agg(*(F.sum(c).alias(c) for c in ("urls", "blocked", "allowed", "variable")))
-        total = nodes.groupBy("host", "parent").agg(F.sum("urls").alias("all"))
-        kept = nodes.join(total, ["host", "parent"]).where((F.col("urls") >= tree.share * F.col("all")) & (F.col("urls") > 1))
-        kept = kept.withColumns({"labels": F.col("blocked") + F.col("allowed"), "purity": (F.col("blocked") + tree.prior) / (F.col("blocked") + F.col("allowed") + 2 * tree.prior), "variable": F.col("variable") / F.col("urls")})
-        named = _merge(kept, tree).withColumnRenamed("parent", "template")
-        step = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.coalesce("branch", shape(F.col("segment")))))
-        paths = materialize(here.join(named, ["host", "template", "segment"], "left").withColumn("template", F.concat("template", step)).select(*paths.columns), "paths")
-    judged = paths.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("urls", "blocked", "allowed")))
+        live = live.withColumnRenamed("template", "parent").withColumns({"segment": F.element_at("segments", level + 1), "variable": F.col("urls") * F.coalesce(below.rlike("[0-9]"), F.lit(False)).cast("int")})
+        nodes = live.groupBy("host", "parent", "segment").agg(*(F.sum(c).alias(c) for c in COUNTS), F.count("*").alias("paths"))
+        nodes = materialize(nodes, "nodes")
+        total = nodes.groupBy("host", "parent").agg(F.sum("urls").alias("all"), F.count("*").alias("n"))
+        kept = join_hot(nodes, total, ["host", "parent"], "n").where((F.col("urls") >= tree.share * F.col("all")) & (F.col("urls") > 1))
+        named = materialize(_merge(kept, tree), "named")
+        step = F.concat(F.col("parent"), F.lit("/"), F.coalesce("branch", shape(F.col("segment"))))
+        live = join_hot(live, named, ["host", "parent", "segment"], "paths", "left").withColumn("template", step).select(*columns)
+        live, level = materialize(live, "paths"), level + 1
+    done = materialize(done, "paths")
+    judged = done.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("urls", "blocked", "allowed")), F.count("*").alias("paths"))
     purity = (F.col("blocked") + tree.prior) / (F.col("blocked") + F.col("allowed") + 2 * tree.prior)
-    return paths, judged.withColumn("purity", purity).withColumn("rejected", F.col("purity") >= tree.reject)
+    return done, materialize(judged.withColumn("purity", purity).withColumn("rejected", F.col("purity") >= tree.reject), "templates")
 
 
 def judge(pages: DataFrame, rules: list[Rule], tree: Tree | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, template, purity of every page.
-
-    Each path has one row among the templates, so that a join may split the pages of a very common path.
-    """
+    """page_id, host, path, rule, verdict, template, purity of every page."""
     tree = tree or Tree()
     host, path = split_url(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     parsed = parsed.withColumn("found", ruling(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "found.rule", "found.verdict")
-    every = F.filter(F.split("path", "/"), lambda s: s != "")
-    deep = F.when(F.size(every) > tree.depth, F.concat(F.slice(every, 1, tree.depth), F.array(F.lit("**")))).otherwise(every)
-    parsed = materialize(parsed.withColumn("segments", deep), "urls")
+    parsed = materialize(parsed.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != "")), "urls")
     paths, judged = templates(parsed, tree)
-    looked = paths.select("host", "segments", "template").join(judged.select("host", "template", "purity", "rejected"), ["host", "template"])
-    out = parsed.join(looked, ["host", "segments"], "left")
+    judged = judged.select("host", "template", "purity", "rejected", "paths")
+    looked = materialize(join_hot(paths.select("host", "segments", "template", "urls"), judged, ["host", "template"], "paths"), "looked")
+    out = join_hot(parsed, looked, ["host", "segments"], "urls", "left")
     verdict = F.coalesce("verdict", F.when(F.col("rejected"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
