@@ -76,10 +76,10 @@ def op8_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        sketch.as_text(F.col("sketch")).alias("fingerprint"),
-        sketch.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        sketch.containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        F.coalesce(sketch.containment(F.col("sketch"), F.col("next_sketch")), F.lit(0.0)).alias("near_next"),
+        sketch.as_text(F.col("sketch"), F.col("sketch_least")).alias("fingerprint"),
+        sketch.as_text(F.col("edited_sketch"), F.col("edited_sketch_least")).alias("edited_fingerprint"),
+        sketch.containment(F.col("sketch"), F.col("edited_sketch"), F.col("sketch_least"), F.col("edited_sketch_least")).alias("near_edited"),
+        F.coalesce(sketch.containment(F.col("sketch"), F.col("next_sketch"), F.col("sketch_least"), F.col("next_sketch_least")), F.lit(0.0)).alias("near_next"),
     )
 
 

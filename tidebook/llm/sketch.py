@@ -2,12 +2,14 @@
 
 The hash of every run of five words is kept if it lies below a fixed fraction of
 all hashes. Sketches of one fraction can be merged by union, and shares of common
-hashes estimate containment between documents of very unequal length. A text none
-of whose hashes lies below keeps its smallest one.
+hashes estimate containment between documents of very unequal length. Beside the
+sketch stands the text's smallest hash, which is no part of it: it tells texts apart
+none of whose hashes lies below.
 
 Defined cases: a null text counts as empty; a text without words has an empty
-sketch, and fewer than five words are one shingle; two empty sketches have
-likeness 1, an empty and another one 0. Rows that share a doc_id are each
+sketch and no smallest hash, and fewer than five words are one shingle; of two empty
+sketches the likeness is 1 if the smallest hashes are the same and 0 if not, of an empty
+and another one 0. Rows that share a doc_id are each
 fingerprinted, and stand together at that id's place: what precedes them is edited
 with the smallest of their texts. Rows without doc_id have no next document: nothing
 replaces their last quarter, and their likeness to the next is 0. An empty table gives no rows.
@@ -31,7 +33,7 @@ def below(fraction: float) -> int:
 
 
 def with_sketch(df: DataFrame, text: str, out: str, fraction: float = FRACTION, shingle: int = SHINGLE) -> DataFrame:
-    """df with column out: the sorted sketch of text.
+    """df with column out: the sorted sketch of text, and out_least: its smallest hash.
 
     Words, their hashes and the sketch are columns of their own in turn, so that none is worked out twice.
     """
@@ -41,25 +43,25 @@ def with_sketch(df: DataFrame, text: str, out: str, fraction: float = FRACTION,
     run = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get(F.col(words), i + j) for j in range(shingle))))
     df = df.withColumn(hashes, F.when(F.size(words) > 0, run).otherwise(F.array().cast("array<bigint>")))
     df = df.withColumn(low, F.filter(hashes, lambda h: h < F.lit(below(fraction))))
-    kept = F.when((F.size(low) == 0) & (F.size(hashes) > 0), F.array(F.array_min(hashes))).otherwise(F.array_sort(F.array_distinct(low)))
-    return df.withColumn(out, kept).drop(words, hashes, low)
+    return df.withColumn(out, F.array_sort(F.array_distinct(low))).withColumn(f"{out}_least", F.array_min(hashes)).drop(words, hashes, low)
 
 
 def merge(a: Column, b: Column) -> Column:
-    """The sketch of two documents' shingles together."""
+    """The sketch of two documents' shingles together. Of the smallest hashes, the smaller one is theirs."""
     return F.array_sort(F.array_union(a, b))
 
 
-def containment(a: Column, b: Column) -> Column:
+def containment(a: Column, b: Column, least_a: Column, least_b: Column) -> Column:
     """The estimated share of the smaller document's shingles that are also in the other."""
     smaller = F.least(F.size(a), F.size(b))
     both_empty = (F.size(a) == 0) & (F.size(b) == 0)
-    return F.when(both_empty, 1.0).when(smaller == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / smaller)
+    return F.when(both_empty, least_a.eqNullSafe(least_b).cast("double")).when(smaller == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / smaller)
 
 
-def as_text(sketch: Column) -> Column:
-    """Each hash's last eight hexadecimal digits, in order."""
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
+def as_text(sketch: Column, least: Column) -> Column:
+    """Each hash's last eight hexadecimal digits, in order; of an empty sketch a minus and all digits of the smallest hash."""
+    tail = F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
+    return F.when((F.size(sketch) == 0) & least.isNotNull(), F.concat(F.lit("-"), F.lower(F.hex(least)))).otherwise(tail)
 
 
 def following(documents: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def following(documents: DataFrame) -> DataFrame:
 
 
 def against_edited(documents: DataFrame, fraction: float = FRACTION) -> DataFrame:
-    """doc_id, text, edited, sketch, edited_sketch, next_sketch of each document.
+    """doc_id, text, edited, and sketch, edited_sketch and next_sketch, each with its smallest hash, of each document.
 
     The edited text has the first characters of the next document in place of its last quarter. Texts are dealt
     by doc_id once; only the few characters needed and a sketch go on to the preceding document.
@@ -90,7 +92,7 @@ def against_edited(documents: DataFrame, fraction: float = FRACTION) -> DataFram
     order = materialize(following(rows), "order")
     preceding = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), "k")
     heads = with_sketch(rows.join(preceding, "doc_id"), "text", "next_sketch", fraction)
-    heads = heads.select("prev_id", F.struct(F.left("text", F.col("k")).alias("head"), "next_sketch").alias("next"))
+    heads = heads.select("prev_id", F.struct(F.left("text", F.col("k")).alias("head"), "next_sketch", "next_sketch_least").alias("next"))
     heads = heads.groupBy(F.col("prev_id").alias("doc_id")).agg(F.min("next").alias("next"))
     # Both joins take the same rows dealt by doc_id, so the texts are shuffled once.
     both = rows.join(heads, "doc_id", "left")
@@ -99,4 +101,4 @@ def against_edited(documents: DataFrame, fraction: float = FRACTION) -> DataFram
     edited = F.concat(F.left("text", F.length("text") - k), F.coalesce(F.left("next.head", k), F.lit("")))
     both = both.withColumn("edited", edited)
     both = with_sketch(with_sketch(both, "text", "sketch", fraction), "edited", "edited_sketch", fraction)
-    return both.select("doc_id", "text", "edited", "sketch", "edited_sketch", F.col("next.next_sketch").alias("next_sketch"))
+    return both.select("doc_id", "text", "edited", "sketch", "sketch_least", "edited_sketch", "edited_sketch_least", "next.next_sketch", "next.next_sketch_least")
