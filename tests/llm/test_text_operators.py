@@ -251,6 +251,89 @@ def test_templates_reject_what_is_labelled_bad(spark):
     assert got[0].rule is None and got[0].verdict == "block" and got[100].verdict == "allow"
 
 
+def brute_tree(pages, rules, tree):
+    """page -> (template, purity, rejected): the tree one node at a time."""
+    import re
+
+    def parse(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        return host.lower(), path
+
+    def rule(host, path):
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fits, key=lambda r: len(str(r))).verdict if fits else None
+
+    def shape(x):
+        end = (re.search(r"(\.[A-Za-z]{1,5})$", x) or [""])[0]
+        body = x[: len(x) - len(end)]
+        return ("<n>" if re.fullmatch(r"[0-9]+", body) else "<x>" if re.fullmatch(r"[0-9A-Fa-f-]{8,}", body) else "<w>" if re.fullmatch(r"[^0-9]+", body) else "<*>") + end
+
+    def differ(n1, x1, n2, x2):
+        p = (x1 + x2 + 1) / (n1 + n2 + 2)
+        return abs((x1 + 0.5) / (n1 + 1) - (x2 + 0.5) / (n2 + 1)) > tree.z * math.sqrt(p * (1 - p) * (1 / (n1 + 1) + 1 / (n2 + 1)))
+
+    leaves = {}
+    urls = [(i, *parse(u)) for i, u in pages]
+    def grow(members, template, level):
+        ended = [m for m in members if len(m[1]) <= level]
+        if ended:
+            leaves.setdefault(template, []).extend(ended)
+        going, groups = [m for m in members if len(m[1]) > level], {}
+        for m in going:
+            groups.setdefault(m[1][level], []).append(m)
+        nodes = []
+        for segment, own in groups.items():
+            if len(own) >= tree.share * len(going) and len(own) > 1:
+                b, a = sum(m[2] == "block" for m in own), sum(m[2] == "allow" for m in own)
+                deep = sum(len(m[1]) > level + 1 and re.search("[0-9]", m[1][level + 1]) is not None for m in own)
+                nodes.append(((b + tree.prior) / (a + b + 2 * tree.prior), segment, len(own), b, a, deep))
+        branch, now = {}, None
+        for _, segment, n, b, a, deep in sorted(nodes):
+            if now is None or (a + b > 0) != (now[1] + now[2] > 0) or differ(a + b, b, now[1] + now[2], now[1]) or differ(n, deep, now[0], now[3]):
+                now = [0, 0, 0, 0, []]
+            now = [now[0] + n, now[1] + b, now[2] + a, now[3] + deep, now[4]]
+            now[4].append(segment)
+            branch[segment] = now[4]
+        below = {}
+        for segment, own in groups.items():
+            group = branch.get(segment)
+            name = shape(segment) if group is None else segment if len(group) == 1 else f"({min(group)}|..)"
+            below.setdefault(f"{template}/{name}", []).extend(own)
+        for name, own in below.items():
+            grow(own, name, level + 1)
+
+    out = {}
+    for host in {h for _, h, _ in urls}:
+        leaves.clear()
+        grow([(i, [x for x in path.split("/") if x], rule(h, path)) for i, h, path in urls if h == host], "", 0)
+        for template, own in leaves.items():
+            b, a = sum(m[2] == "block" for m in own), sum(m[2] == "allow" for m in own)
+            purity = (b + tree.prior) / (a + b + 2 * tree.prior)
+            out |= {m[0]: (template, purity, purity >= tree.reject) for m in own}
+    return out
+
+
+def test_tree_is_the_brute_force_one(spark):
+    configure(spark)
+    rng = random.Random(3)
+    rules = [urls.Rule("com", "/bad/x/", "block"), urls.Rule("com", "/bad/x/ok", "allow"), urls.Rule("b.com", "/news/", "allow"), urls.Rule("b.com", "/news/1", "block")]
+    pages = []
+    for i in range(900):
+        host = rng.choice(["a.com", "a.com", "a.com", "b.com", "c.org"])
+        path = "".join(f"/{rng.choice(['bad', 'x', 'ok', 'news', 'a', 'b', str(rng.randrange(40)), str(rng.randrange(40)) + '.html'])}" for _ in range(rng.randint(0, 7)))
+        pages.append((i, f"http://{host}{path}"))
+    pages += [(1000, None), (1001, "nothing"), (1002, "http://a.com" + "/deep" * 30)]
+    tree = urls.Tree(share=0.03)
+    want = brute_tree(pages, rules, tree)
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), rules, tree).collect()}
+    assert len(got) == len(pages)
+    for i, (template, purity, rejected) in want.items():
+        assert (got[i].template, got[i].purity) == (template, pytest.approx(purity))
+        assert got[i].rule is not None or got[i].verdict == ("block" if rejected else "allow")
+    assert len({t for t, *_ in want.values()}) > 30
+
+
 # -- sketches
 
 
@@ -277,15 +360,24 @@ def brute_sketch(text):
         for x in w[k : k + 5]:
             seed = xxhash.xxh64_intdigest(x.encode(), seed)
         h.add(seed - (1 << 64) if seed >> 63 else seed)
-    low = sorted(x for x in h if x < sketch.below(sketch.FRACTION))
-    return low or ([min(h)] if h else [])
+    return sorted(x for x in h if x < sketch.below(sketch.FRACTION))
 
 
 def test_containment(spark):
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([([1, 2], [2, 3, 4, 5]), ([], []), ([], [1])], "a array<long>, b array<long>")
-    assert [r[0] for r in df.select(sketch.containment(F.col("a"), F.col("b"))).collect()] == [0.5, 1.0, 0.0]
+    df = spark.createDataFrame([([1, 2], [2, 3, 4, 5], 1, 2), ([], [], None, None), ([], [1], None, 1), ([], [], 7, 7), ([], [], 7, 8)], "a array<long>, b array<long>, la long, lb long")
+    assert [r[0] for r in df.select(sketch.containment(F.col("a"), F.col("b"), F.col("la"), F.col("lb"))).collect()] == [0.5, 1.0, 0.0, 1.0, 0.0]
+
+
+def test_merge_is_the_sketch_of_both(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    texts = [(prose(rng, rng.choice([1, 3, 6, 40])), prose(rng, rng.choice([1, 3, 6, 40]))) for _ in range(40)]
+    df = sketch.with_sketch(sketch.with_sketch(spark.createDataFrame(texts, "x string, y string"), "x", "a"), "y", "b")
+    for r in df.withColumn("m", sketch.merge(F.col("a"), F.col("b"))).collect():
+        assert r.m == sorted({*brute_sketch(r.x), *brute_sketch(r.y)})
 
 
 # -- personal data
@@ -432,6 +524,41 @@ def test_classifiers_on_held_out_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in q.items() if r.predicted}
 
 
+def test_gradients_are_those_of_differences():
+    rng = np.random.default_rng(2)
+    net = toxicity.Net.new(3)
+    for name in ("embedding", "filters"):
+        setattr(net, name, [x.astype(float) for x in getattr(net, name)])
+    net.out, net.bias = net.out.astype(float), rng.normal(0, 0.05, net.bias.shape)
+    ids, first = rng.integers(0, 50, (23, toxicity.HASHES)).astype(np.int32), np.array([0, 1, 9, 9, 23])
+    weight = rng.normal(0, 1, 4)
+    embedded, grads, bias = toxicity.gradients(net, ids, first, lambda z: weight)
+    loss = lambda: net.logits(ids, first) @ weight
+
+    def slope(array, at, h=1e-6):
+        array[at] += h
+        up = loss()
+        array[at] -= 2 * h
+        down = loss()
+        array[at] += h
+        return (up - down) / (2 * h)
+
+    for array, gradient in zip([*net.filters, net.bias, net.out], grads, strict=True):
+        for at in list(np.ndindex(array.shape))[:: max(1, array.size // 25)]:
+            assert slope(array, at) == pytest.approx(gradient[at], abs=1e-7)
+    for array, (rows, gradient) in zip(net.embedding, embedded, strict=True):
+        for k, row in enumerate(rows):
+            assert slope(array, (row, k % toxicity.DIM)) == pytest.approx(gradient[k, k % toxicity.DIM], abs=1e-7)
+    assert bias == pytest.approx(weight.sum())
+
+
+def test_long_texts_go_piece_by_piece():
+    rng = np.random.default_rng(4)
+    net = toxicity.Net.new(3)
+    ids, first = rng.integers(0, 999, (300, toxicity.HASHES)).astype(np.int32), np.array([0, 0, 7, 290, 300])
+    assert net.logits(ids, first, piece=11) == pytest.approx(net.logits(ids, first), rel=1e-5)
+
+
 def test_classifiers_without_labels(spark):
     docs, none = frame(spark, corpus()[:5]), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.predicted for r in quality.score(docs, quality.fit(docs, none)).collect()} == {1}
@@ -483,9 +610,12 @@ def predicted(text, depth, count, weighted):
     return total
 
 
-def test_language_model(spark):
+@pytest.mark.parametrize("split", [False, True])
+def test_language_model(spark, split):
     rows = [(r[0], (r[1] or "")[:200] if r[1] is not None else None, *r[2:]) for r in corpus()[:20] + corpus()[-10:]]
-    got = {r.doc_id: r for r in language_model.score(frame(spark, rows), depth=3).collect()}
+    # With contexts of two bytes whose byte runs are dealt by the third: " a", "ka" and others, nearest byte first.
+    how = language_model.Deal(5, 3, (np.unique([a << 8 | b for a, b in (b" a", b"ak", b" k", b"rl")]).astype(np.uint64),)) if split else None
+    got = {r.doc_id: r for r in language_model.score(frame(spark, rows), depth=3, how=how).collect()}
     low = {r[0]: (r[1] or "").encode().lower() for r in rows}
     train = [i for i in low if zlib.crc32(str(i).encode()) % 5 != 1]
     count, weighted = weighing([low[i] for i in train], 3)
@@ -498,7 +628,7 @@ def test_language_model(spark):
         tokens = [*t.split(), None]
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(tokens), sum(w in c for w in tokens), n)
         assert got[i].base_score == pytest.approx(sum(math.log10((c.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in tokens))
-        assert got[i].score == pytest.approx(predicted(t, 3, count, weighted), rel=1e-4)
+        assert got[i].score == pytest.approx(predicted(t, 3, count, weighted), rel=1e-9)
     assert language_model.score(frame(spark, [])).count() == 0
 
 
@@ -506,7 +636,7 @@ def test_probabilities_add_up():
     data = np.frombuffer(b"abracadabra and so on, abracadabra", np.uint8)
     keys, at, _, _ = language_model.byte_runs(data, np.array([0, len(data)]), 2)
     counts = np.bincount(at, minlength=len(keys)).astype(float)
-    top = language_model.crown(*language_model.Tree(keys, counts, 2).above(2))
+    top = language_model.crown({1: language_model.Tree(keys, counts, 2).above(2)})
     context = (ord("b") << 16) | (ord("a") << 8)
     every = np.unique(np.concatenate([keys, context | np.arange(256)]).astype(np.uint64))
     full = np.zeros(len(every))
@@ -515,6 +645,30 @@ def test_probabilities_add_up():
     assert (10 ** q[(every >> np.uint64(8)) == context >> 8]).sum() == pytest.approx(1)
 
 
+@pytest.mark.parametrize("depth", [4, 5])
+def test_deals_bear_on_no_value(depth):
+    data = np.frombuffer(prose(random.Random(4), 400).encode() * 2, np.uint8)
+    keys, at, _, _ = language_model.byte_runs(data, np.array([0, len(data)]), depth)
+    counts = np.bincount(at, minlength=len(keys)).astype(float)
+
+    def all_values(how):
+        parts = list(language_model._by_part(how.place(keys, language_model.RUNS)))
+        rows: dict = {}
+        for p, own in parts:
+            rows.setdefault(how.top(p) - 1, []).append(language_model.Tree(keys[own], counts[own], depth, how.top(p)).above(depth))
+        top = language_model.crown({k: tuple(map(np.concatenate, zip(*v, strict=True))) for k, v in rows.items()})
+        out = np.zeros(len(keys))
+        for p, own in parts:
+            out[own] = language_model.predict(keys[own], counts[own], top, depth, how.top(p))
+        return out, sorted({how.top(p) for p, _ in parts})
+
+    context = lambda n: np.unique(keys >> np.uint64(8 * (depth - n + 1)))[::2]
+    plain, one = all_values(language_model.Deal(1, depth))
+    split, tops = all_values(language_model.Deal(3, depth, (context(2), context(3))))
+    assert one == [2] and tops == [2, 3, 4]
+    assert split == pytest.approx(plain, rel=1e-12)
+
+
 # -- kernels and the pipeline
 
 
