@@ -39,7 +39,7 @@ from .tables import fold, materialize
 
 DEPTH = 5
 #: Bytes of text in a block.
-BLOCK = 6 << 20
+BLOCK = 7 << 20
 #: Bytes of text for each part, while there are no more than MOST parts; beyond, parts grow as the root of the text.
 PART, MOST = 8 << 20, 4096
 #: Bytes of text of which the sample is taken that tells how contexts are dealt; it bears on no result.
@@ -62,7 +62,7 @@ def byte_runs(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> tupl
     first = offsets + np.arange(n + 1)
     stream = np.full(first[-1], END, np.uint8)
     stream[np.arange(len(data)) + W.owners(offsets)] = W.LOWER[data]
-    since = np.arange(len(stream)) - np.repeat(first[:-1], lengths + 1)
+    since = (np.arange(len(stream)) - np.repeat(first[:-1], lengths + 1)).astype(np.int32)
     codes = np.zeros(256, np.int64)
     alphabet = np.flatnonzero(np.bincount(stream, minlength=256) > 0)
     if not len(alphabet):
@@ -250,9 +250,22 @@ def spread(blob: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), dtype)
 
 
-def steps(keys: np.ndarray) -> np.ndarray:
-    """Sorted numbers as differences, which take less room."""
-    return np.diff(keys, prepend=W.U64(0))
+def pack(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones, and so on, which take less room together."""
+    return squeeze(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T, 3)
+
+
+def unpack(blob: bytes, dtype) -> np.ndarray:
+    return np.ascontiguousarray(spread(blob, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted numbers as differences."""
+    return pack(np.diff(keys, prepend=W.U64(0)))
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob, W.U64), dtype=W.U64)
 
 
 @dataclass(frozen=True)
@@ -317,7 +330,7 @@ def _lists(batch: pa.RecordBatch, number: int, left_out: int, how: Deal):
         keys, at, first = _found(kind, data, offsets, how.depth)
         counts = np.bincount(at[learn[W.owners(first)]], minlength=len(keys))
         for p, own in _by_part(how.place(keys, kind)):
-            rows.append((number, kind, p, squeeze(steps(keys[own])), squeeze(counts[own].astype(np.uint32))))
+            rows.append((number, kind, p, pack_keys(keys[own]), pack(counts[own].astype(np.uint32))))
     return rows
 
 
@@ -380,7 +393,7 @@ def counted(found: DataFrame, how: Deal) -> DataFrame:
 
         def out():
             total.merge()
-            return pa.RecordBatch.from_arrays([pa.array([own[0]], pa.int32()), pa.array([own[1]], pa.int32()), pa.array([squeeze(steps(total.keys))], pa.binary()), pa.array([squeeze(total.counts)], pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([own[0]], pa.int32()), pa.array([own[1]], pa.int32()), pa.array([pack_keys(total.keys)], pa.binary()), pa.array([pack(total.counts)], pa.binary())], names=names)
 
         for batch in batches:
             for kind, part, a, b in zip(*(batch[c].to_pylist() for c in names), strict=True):
@@ -388,7 +401,7 @@ def counted(found: DataFrame, how: Deal) -> DataFrame:
                     yield out()
                     total = Counts()
                 own = kind, part
-                total.add(np.cumsum(spread(a, W.U64), dtype=W.U64), spread(b, np.uint32))
+                total.add(unpack_keys(a), unpack(b, np.uint32))
         if own:
             yield out()
 
@@ -402,7 +415,7 @@ def top_of(counts: DataFrame, how: Deal) -> Crown:
     def run(batches):
         for batch in batches:
             for part, a, b in zip(*(batch[c].to_pylist() for c in ("part", "a", "b")), strict=True):
-                tree = Tree(np.cumsum(spread(a, W.U64), dtype=W.U64), spread(b, np.float64), how.depth, how.top(part))
+                tree = Tree(unpack_keys(a), unpack(b, np.float64), how.depth, how.top(part))
                 node, *each = tree.above(how.depth)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), tree.top - 1, np.int32)), pa.array(node), *map(pa.array, each)], names=names)
 
@@ -420,15 +433,15 @@ def values(counts: DataFrame, top: Crown, how: Deal) -> DataFrame:
         for batch in batches:
             out = []
             for kind, part, a, b in zip(*(batch[c].to_pylist() for c in ("kind", "part", "a", "b")), strict=True):
-                n = spread(b, np.float64)
-                out.append(squeeze(n if kind == TOKENS else predict(np.cumsum(spread(a, W.U64), dtype=W.U64), n, shared.value, how.depth, how.top(part))))
+                n = unpack(b, np.float64)
+                out.append(pack(n if kind == TOKENS else predict(unpack_keys(a), n, shared.value, how.depth, how.top(part))))
             yield pa.RecordBatch.from_arrays([pa.array([-1] * len(out), pa.int64()), batch["kind"], batch["part"], batch["a"], pa.array(out, pa.binary())], names=["block", "kind", "part", "a", "b"])
 
     return counts.mapInArrow(run, LISTS)
 
 
 def answers(found: DataFrame, known: DataFrame, how: Deal) -> DataFrame:
-    """LISTS: b holds, for each block's list, the values of its keys in their order, as `apart` gives them."""
+    """LISTS: b holds, for each block's list, the values of its keys in their order."""
     names = ["block", "kind", "part", "a", "b"]
 
     def run(batches):
@@ -436,11 +449,11 @@ def answers(found: DataFrame, known: DataFrame, how: Deal) -> DataFrame:
         for batch in batches:
             rows = []
             for block, kind, part, a, b in zip(*(batch[c].to_pylist() for c in names), strict=True):
-                own = np.cumsum(spread(a, W.U64), dtype=W.U64)
+                own = unpack_keys(a)
                 if block < 0:
-                    keys, value = own, spread(b, np.float64)
+                    keys, value = own, unpack(b, np.float64)
                 else:
-                    rows.append((block, kind, part, b"", squeeze(apart(value[np.searchsorted(keys, own)]), 3)))
+                    rows.append((block, kind, part, b"", pack(value[np.searchsorted(keys, own)])))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=names)
 
     asked = found.select("block", "kind", "part", "a", F.lit(None).cast("binary").alias("b"))
@@ -448,15 +461,6 @@ def answers(found: DataFrame, known: DataFrame, how: Deal) -> DataFrame:
     return rows.mapInArrow(run, LISTS)
 
 
-def apart(x: np.ndarray) -> np.ndarray:
-    """The numbers' first bytes, then their second ones, and so on, which take less room together."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T
-
-
-def together(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(spread(blob, np.uint8).reshape(8, -1).T).view(np.float64).ravel()
-
-
 def _scored(group: pa.Table, how: Deal, n_all: float, n_different: float) -> pa.Table:
     rows = {(k, p): (a, b) for k, p, a, b in zip(*(group[c].to_pylist() for c in ("kind", "part", "a", "b")), strict=True)}
     text, about = rows[TEXT, -1]
@@ -468,7 +472,7 @@ def _scored(group: pa.Table, how: Deal, n_all: float, n_different: float) -> pa.
         keys, at, first = _found(kind, data, offsets, how.depth)
         value = np.zeros(len(keys))
         for p, own in _by_part(how.place(keys, kind)):
-            value[own] = together(rows[kind, p][1])
+            value[own] = unpack(rows[kind, p][1], np.float64)
         out[kind] = value[at], first
     c, first = out[TOKENS]
     base = np.log10((c + 0.5) / (n_all + 0.5 * (n_different + 1)))
@@ -501,7 +505,7 @@ def score(documents: DataFrame, folds: int = 5, left_out: int = 1, depth: int =
 
     def total(batches):
         for batch in batches:
-            each = [spread(b, np.float64) for b in batch["b"].to_pylist()]
+            each = [unpack(b, np.float64) for b in batch["b"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x.sum() for x in each], pa.float64()), pa.array([float((x > 0).sum()) for x in each], pa.float64())], names=["n", "v"])
 
     sums = counts.where(F.col("kind") == TOKENS).select("b").mapInArrow(total, "n double, v double").agg(F.sum("n"), F.sum("v")).first()
