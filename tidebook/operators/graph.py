@@ -27,6 +27,11 @@ def similar_pairs(markets: DataFrame, id_: str, least: float = 0.35) -> DataFram
     return scored.select("a", "b", "shared", "similarity", kind.alias("kind"))
 
 
+def classes(markets: DataFrame) -> DataFrame:
+    """markets with `class`, the smallest market that has the same question and category."""
+    return markets.join(markets.groupBy("question", "category").agg(F.min("market").alias("class")), ["question", "category"])
+
+
 def clusters(nodes: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
     """id, cluster: the smallest id of each connected part; nodes without an edge are their own.
 
@@ -35,18 +40,30 @@ def clusters(nodes: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
     """
     spark = nodes.sparkSession
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = nodes.select("id", F.col("id").alias("cluster"))
-    for k in range(64):
+    labels, settled, k = nodes.select("id", F.col("id").alias("cluster")), False, 0
+    while not settled:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("cluster").alias("near"))
         new = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("cluster", F.coalesce("near", "cluster")).alias("mid"), F.col("cluster").alias("old"))
         up = new.select(F.col("id").alias("mid"), F.col("mid").alias("up"))
-        path = f"{folder}/round{k}"
-        new.join(up, "mid").select("id", F.least("mid", "up").alias("cluster"), "old").write.mode("overwrite").parquet(path)
+        path, k = f"{folder}/round{k}", k + 1
+        new.join(up, "mid").select("id", F.least("mid", "up").alias("cluster"), "old").write.parquet(path)
         labels = spark.read.parquet(path)
-        if labels.where("cluster <> old").isEmpty():
-            break
+        settled = labels.where("cluster <> old").isEmpty()
         labels = labels.drop("old")
-    return labels.select("id", "cluster")
+    return labels
+
+
+def descriptions(members: DataFrame, most: int = 5) -> DataFrame:
+    """cluster, n, words: the words that at least half of its questions have (two at least), the most frequent first, or a stock phrase.
+
+    members: cluster, market, question. Of equally frequent words the first by letter.
+    """
+    n = members.groupBy("cluster").agg(F.count("*").alias("n"))
+    each = members.select("cluster", F.explode(F.array_distinct(X.tokens(F.col("question")))).alias("word")).groupBy("cluster", "word").agg(F.count("*").alias("df"))
+    kept = each.join(n, "cluster").where(F.col("df") >= F.greatest(F.lit(2), F.ceil(F.col("n") / 2)))
+    ranked = kept.withColumn("k", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("df"), "word"))).where(F.col("k") <= most)
+    words = ranked.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), " ").alias("words"))
+    return n.join(words, "cluster", "left").select("cluster", "n", F.coalesce("words", F.lit("related markets")).alias("words"))
 
 
 def moves(prices: DataFrame, window: int = 500, least: int = 11, floor: float = 0.005) -> DataFrame:
@@ -66,14 +83,21 @@ def propagation(found: DataFrame, within: int, share: float = 0.1) -> DataFrame:
     src = found.select(F.col("series").alias("source"), "event_id", F.col("ts").alias("t0"), F.col("move").alias("m0"), F.explode(F.array(F.floor(F.col("ts") / within), F.floor(F.col("ts") / within) + 1)).alias("slot"))
     dst = found.select(F.col("series").alias("target"), F.col("event_id").alias("to_id"), F.col("ts").alias("t1"), F.col("move").alias("m1"), F.floor(F.col("ts") / within).alias("slot"))
     both = src.join(dst, "slot").where("source <> target and t1 > t0 and signum(m1) = signum(m0)").where((F.col("t1") - F.col("t0") <= within) & (F.abs("m1") >= share * F.abs("m0")))
-    first = both.groupBy("source", "target", "event_id").agg(F.min_by(F.struct((F.col("t1") - F.col("t0")).alias("lag"), F.least(F.abs(F.col("m1") / F.col("m0")), F.lit(5.0)).alias("efficiency")), F.struct("t1", "to_id")).alias("x"))
-    return first.select("source", "target", "event_id", "x.lag", "x.efficiency")
+    found_ = F.struct((F.col("t1") - F.col("t0")).alias("lag"), F.least(F.abs(F.col("m1") / F.col("m0")), F.lit(5.0)).alias("efficiency"), F.col("m1").alias("target_move"))
+    first = both.groupBy("source", "target", "event_id").agg(F.min_by(found_, F.struct("t1", "to_id")).alias("x"))
+    return first.select("source", "target", "event_id", "x.lag", "x.efficiency", "x.target_move")
 
 
 def pair_stats(events: DataFrame, exec_ms: int, least: int = 3) -> DataFrame:
     """source, target, n, quartiles of the lag (upper, by place), mean efficiency, exploitable."""
-    from ..functions.stats import upper_quantile
+    from .series import quantiles
+
+    agg = events.groupBy("source", "target").agg(F.count("*").alias("n"), F.avg("efficiency").alias("efficiency")).where(F.col("n") >= least)
+    places = quantiles(events, ["source", "target"], "lag", {"p25": (1, 4), "median": (1, 2), "p75": (3, 4)})
+    return agg.join(places, ["source", "target"]).withColumn("exploitable", F.col("median") > exec_ms)
+
 
-    lags = F.collect_list("lag")
-    agg = events.groupBy("source", "target").agg(F.count("*").alias("n"), *(upper_quantile(lags, q).alias(c) for q, c in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))), F.avg("efficiency").alias("efficiency"))
-    return agg.where(F.col("n") >= least).withColumn("exploitable", F.col("median") > exec_ms)
+def edge_at_lag(events: DataFrame, stats: DataFrame, fee: float = 0.02) -> DataFrame:
+    """source, target, edge: the targets' mean absolute move less the fee, over events whose lag lies within the quartiles."""
+    rows = events.join(stats.select("source", "target", "p25", "p75"), ["source", "target"]).where("lag between p25 and p75")
+    return rows.groupBy("source", "target").agg(F.avg(F.abs("target_move") - fee).alias("edge"))

@@ -41,25 +41,29 @@ def features(trades: DataFrame, hour: int = 3_600_000) -> DataFrame:
     now = trades.agg(F.max("ts").alias("now"))
     w = W.partitionBy("market").orderBy("ts", "event_id")
     gap = F.col("ts") - F.lag("ts").over(w)
-    rows = trades.withColumn("gap", gap).join(F.broadcast(now))
-    # The arrival times' deviation relative to their mean, and round sizes, as signs of programs.
+    rows = trades.withColumn("gap", F.when(gap > 0, gap)).join(F.broadcast(now))
+    whole = (F.abs(F.col("size") - F.round("size")) < 0.01).cast("double")
     base = rows.groupBy("market").agg(
         F.count("*").alias("n"),
-        (F.count_if(F.col("ts") > F.col("now") - 24 * hour) / 1440).alias("rate"),
+        (F.count_if(F.col("ts") > F.col("now") - hour) / 60).alias("rate"),
         F.coalesce(F.var_pop("gap") / F.avg("gap"), F.lit(0.0)).alias("dispersion"),
         F.coalesce(F.avg("gap"), F.lit(60_000.0)).alias("update_ms"),
         F.avg((F.col("gap") < 1000).cast("double")).alias("quick"),
-        F.avg((F.col("size") % 10 == 0).cast("double")).alias("round"),
-        (1 - F.stddev_samp("gap") / F.avg("gap")).alias("regular"),
+        F.avg(whole).alias("round"),
+        F.count("gap").alias("gaps"),
+        (1 - F.coalesce(F.stddev_samp("gap") / F.avg("gap"), F.lit(0.0))).alias("regular"),
         (F.max("now") - F.max("ts")).cast("double").alias("stale_ms"),
     )
     unit = lambda c: S.clamp(c, 0.0, 1.0)
-    bots = F.when(F.col("n") < 5, 0.0).otherwise((F.col("quick") + F.col("round") + unit(F.col("regular"))) / 3)
+    # Signs of programs, the mean of those that there are: quick answers, whole sizes, regular arrivals, many trades.
+    signs = F.array(F.when(F.col("gaps") > 0, F.col("quick")), F.col("round"), F.when(F.col("gaps") >= 5, unit(F.col("regular"))), F.when(F.col("rate") > 10, unit((F.col("rate") - 10) / 50)))
+    signs = F.filter(signs, lambda x: x.isNotNull())
+    bots = F.when(F.col("n") < 5, 0.0).otherwise(F.aggregate(signs, F.lit(0.0), lambda a, x: a + x) / F.size(signs))
     each = trades.groupBy("market", "wallet").agg(F.sum(F.col("ticks") * F.col("size")).alias("v"))
     share = each.withColumn("share", F.col("v") / F.sum("v").over(W.partitionBy("market")))
     who = share.groupBy("market").agg(F.sum(F.col("share") * F.col("share")).alias("hhi"), F.max("share").alias("top"), F.max_by("wallet", F.struct("share", -F.col("wallet"))).alias("first"))
     who = who.select("market", "hhi", F.when(F.col("top") > 0.2, F.col("first")).alias("dominant"))
-    return base.withColumn("bots", bots).join(who, "market").drop("quick", "round", "regular")
+    return base.withColumn("bots", bots).join(who, "market").drop("quick", "round", "regular", "gaps")
 
 
 def _steps(*rules: tuple[Column, Column]) -> Column:
@@ -117,14 +121,14 @@ def edge_map(rows: DataFrame, capital: float) -> DataFrame:
 
 
 def regime_ticks(events: DataFrame, tick_ms: int = 3_600_000, window: int = 120, least: int = 10) -> DataFrame:
-    """tick, volume, active and their z-scores over the last `window` ticks, this one included; 0 for the first few.
+    """tick, volume, active and spread with their z-scores over the last `window` ticks, this one included (0 for the first few), resolutions and new markets.
 
-    events: ts, size, wallet. Ticks are few whatever the number of events.
+    events: ts, size, wallet, spread, resolved and fresh (0 or 1). Ticks are few whatever the number of events.
     """
-    each = events.groupBy(F.floor(F.col("ts") / tick_ms).alias("tick")).agg(F.sum("size").cast("double").alias("volume"), F.count_distinct("wallet").cast("double").alias("active"))
+    each = events.groupBy(F.floor(F.col("ts") / tick_ms).alias("tick")).agg(F.sum("size").cast("double").alias("volume"), F.count_distinct("wallet").cast("double").alias("active"), F.avg("spread").alias("spread"), F.sum("resolved").alias("resolutions"), F.sum("fresh").alias("new_markets"))
     frame = W.orderBy("tick").rowsBetween(-(window - 1), 0)
     few = F.count("*").over(frame) < least
-    for c in ("volume", "active"):
+    for c in ("volume", "active", "spread"):
         each = each.withColumn(f"{c}_z", F.when(few, 0.0).otherwise(S.z_score(F.col(c), F.avg(c).over(frame), F.stddev_samp(c).over(frame))))
     return each
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,14 +36,23 @@ def copy_summary(positions: DataFrame) -> DataFrame:
     return positions.groupBy("wallet").agg(F.count("*").alias("closed"), F.count_if(F.col("pnl") > 0).alias("wins"), F.sum("pnl").alias("pnl"), F.avg("hold_ms").alias("hold_ms"))
 
 
-def regime_profile(pairs: DataFrame, spans: DataFrame, least: int = 5) -> DataFrame:
+def in_regimes(trades: DataFrame, spans: DataFrame) -> DataFrame:
+    """trades with the regime of the half-open span that their time lies in; 'normal' before the first. Spans follow one another."""
+    from .series import asof
+
+    starts = spans.select(F.lit(1).alias("_one"), F.col("start").alias("ts"), F.col("state").alias("regime"))
+    found = asof(trades.withColumn("_one", F.lit(1)), starts, "_one", "ts", "regime", bucket=86_400_000)
+    return found.select(*trades.columns, F.coalesce("regime", F.lit("normal")).alias("regime"))
+
+
+def regime_profile(trades: DataFrame, spans: DataFrame, least: int = 5) -> DataFrame:
     """wallet, regime, n, sharpe, and over its regimes with at least `least` pairs: robustness and sensitivity.
 
-    A pair belongs to the half-open span that its entry lies in, 'normal' outside of all. Spans of one series do not
-    overlap and are as few as regime changes, so they are sent to all executors.
+    Trades are matched within each regime: a sale uses up what was bought under the same one.
     """
-    s = F.broadcast(spans.select("start", "end", F.col("state").alias("regime")))
-    rows = pairs.join(s, (F.col("entry_ts") >= F.col("start")) & (F.col("entry_ts") < F.col("end")), "left").withColumn("regime", F.coalesce("regime", F.lit("normal")))
+    from .fifo import match
+
+    rows = match(in_regimes(trades, spans), ["wallet", "regime", "market", "token"], ["ts", "event_id"], skip_free=False)
     pnl = F.col("pnl_ticks") / 100
     each = rows.groupBy("wallet", "regime").agg(F.count("*").alias("n"), F.avg(pnl).alias("m"), F.stddev_samp(pnl).alias("sd"))
     each = each.withColumn("sharpe", F.when(F.col("n") < 2, 0.0).otherwise(S.sharpe(F.col("m"), F.col("sd"))))
@@ -58,6 +67,15 @@ def regime_profile(pairs: DataFrame, spans: DataFrame, least: int = 5) -> DataFr
     return each.withColumns({"robustness": robust, "sensitive": sensitive}).drop("m", "sd")
 
 
+def regime_consistency(profile: DataFrame, least: int = 5) -> DataFrame:
+    """wallet, regimes (with enough pairs), consistency (1 less the ratios' relative deviation, within 0 and 1; one half for under two) and whether two thirds of all regimes earn."""
+    ok = F.col("n") >= least
+    ratio = F.when(ok, F.col("sharpe"))
+    agg = profile.groupBy("wallet").agg(F.count(ratio).alias("regimes"), F.avg(ratio).alias("m"), F.stddev_samp(ratio).alias("sd"), F.count("*").alias("all"), F.count_if(ok & (F.col("sharpe") > 0)).alias("good"))
+    steady = F.when(F.col("regimes") < 2, 0.5).when(F.col("m") == 0, 0.0).otherwise(S.clamp(1 - F.abs(F.col("sd") / F.col("m")), 0.0, 1.0))
+    return agg.select("wallet", "regimes", steady.alias("consistency"), ((F.col("all") >= 2) & (3 * F.col("good") >= 2 * F.col("all"))).alias("robust"))
+
+
 def partition_check(members: DataFrame, fee: float = 0.02, depth: float = 50.0, least: float = 0.005) -> DataFrame:
     """cluster, n, total, violation, executable and tradeable for clusters whose middle prices should add up to 1.
 
@@ -128,12 +146,77 @@ def bootstrap_interval(values: np.ndarray, alpha: float = 0.05, draws: int = 10_
     return float(means[int(alpha / 2 * draws)]), float(means[min(int((1 - alpha / 2) * draws), draws - 1)])
 
 
-def bootstrap(df: DataFrame, by: str, order: list[str], value: str, draws: int = 5_000, longest: int = 500) -> DataFrame:
-    """by, low, high: the interval of each group's last `longest` values, in order."""
-    last = df.withColumn("k", F.row_number().over(W.partitionBy(by).orderBy(*(F.col(c).desc() for c in order)))).where(F.col("k") <= longest)
+A, C, FACTOR, MASK = 1664525, 1013904223, 1597, (1 << 32) - 1
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = bootstrap_interval(pdf.sort_values("k", ascending=False)[value].to_numpy(float), draws=draws)
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "low": [low], "high": [high]})
 
-    return last.select(by, "k", value).groupBy(by).applyInPandas(one, f"{by} {dict(df.dtypes)[by]}, low double, high double")
+def _ahead(seed: int, steps: int) -> int:
+    """The generator's state so many steps on: the map seed -> A seed + C, composed with itself by halving."""
+    a, c, total_a, total_c = A, C, 1, 0
+    while steps:
+        if steps & 1:
+            total_a, total_c = a * total_a & MASK, (a * total_c + c) & MASK
+        a, c, steps = a * a & MASK, (a * c + c) & MASK, steps >> 1
+    return (seed * total_a + total_c) & MASK
+
+
+def _hashed(values: np.ndarray) -> int:
+    """Sum of the values' whole hundred-millionths, each times FACTOR to the power of how many follow, modulo 2^32."""
+    units = np.floor(values * 1e8 + 0.5).astype(np.int64).astype(np.uint64) & np.uint64(MASK)
+    powers = np.cumprod(np.concatenate([[1], np.full(max(len(values) - 1, 0), FACTOR)]).astype(np.uint32), dtype=np.uint32)[: len(values)]
+    return int((units.astype(np.uint32) * powers[::-1]).sum(dtype=np.uint64)) & MASK
+
+
+def _seed(parts: list[tuple[int, int]]) -> int:
+    """From each chunk's length and `_hashed`, in order."""
+    seed = 42
+    for n, h in parts:
+        seed = (seed * pow(FACTOR, n, 1 << 32) + h) & MASK
+    return abs(seed - (1 << 32) if seed >> 31 else seed) or 1
+
+
+def drawn_sums(values: np.ndarray, low: int, n: int, seed: int, first: int, draws: int, piece: int = 1 << 20) -> np.ndarray:
+    """For draws from `first` on, the sum of those drawn of the n values that lie in this chunk (low on)."""
+    state, out = _ahead(seed, first * n), np.zeros(draws)
+    a = np.cumprod(np.full(piece, A, np.uint32), dtype=np.uint32)
+    c = np.uint32(C) * np.cumsum(np.concatenate([np.ones(1, np.uint32), a[:-1]]), dtype=np.uint32)
+    for start in range(0, n * draws, piece):
+        k = min(piece, n * draws - start)
+        stream = np.uint32(state) * a[:k] + c[:k]
+        state = int(stream[-1])
+        at = (stream % np.uint32(n)).astype(np.int64) - low
+        here = (at >= 0) & (at < len(values))
+        out += np.bincount((start + np.flatnonzero(here)) // n, weights=values[at[here]], minlength=draws)
+    return out
+
+
+def bootstrap(df: DataFrame, by: str, order: list[str], value: str, draws: int = 5_000, alpha: float = 0.05, chunk: int = 1_000_000, block: int = 100) -> DataFrame:
+    """by, n, low, high: percentile interval of the mean, as `bootstrap_interval` gives it, of all of each group's values in order.
+
+    A task has a chunk of the values and a block of the draws, so neither a long group nor its draws lie in one; it
+    steps to its place in the generator's stream at once. Values are moved once for each block of draws.
+    """
+    kind = dict(df.dtypes)[by]
+    rows = df.withColumn("_i", F.row_number().over(W.partitionBy(by).orderBy(*order)) - 1)
+    pieces = rows.groupBy(by, F.floor(F.col("_i") / chunk).alias("_chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("_values"))
+
+    def hashed(batches):
+        for b in batches:
+            h = [_hashed(v.values.to_numpy()) for v in b["_values"]]
+            yield pa.RecordBatch.from_arrays([b[by], b["_chunk"], pa.array([len(v) for v in b["_values"]], pa.int64()), pa.array(h, pa.int64())], names=[by, "_chunk", "_n", "_h"])
+
+    parts = pieces.mapInArrow(hashed, f"{by} {kind}, _chunk long, _n long, _h long")
+    parts = parts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_n", "_h"))).alias("_parts"))
+    tasks = pieces.join(parts, by).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // block) - 1))))
+
+    def some(group: pa.Table) -> pa.Table:
+        known = [(p["_n"], p["_h"]) for p in group["_parts"][0].as_py()]
+        first, low = group["_block"][0].as_py() * block, group["_chunk"][0].as_py() * chunk
+        k = min(block, draws - first)
+        sums = drawn_sums(group["_values"][0].values.to_numpy(), low, sum(n for n, _ in known), _seed(known), first, k)
+        return pa.table({by: pa.array([group[by][0].as_py()] * k, group.schema.field(by).type), "_draw": pa.array(np.arange(first, first + k)), "_n": pa.array([sum(n for n, _ in known)] * k, pa.int64()), "_sum": pa.array(sums)})
+
+    sums = tasks.groupBy(by, "_chunk", "_block").applyInArrow(some, f"{by} {kind}, _draw long, _n long, _sum double")
+    means = sums.groupBy(by, "_draw", "_n").agg((F.sum("_sum") / F.col("_n")).alias("_mean"))
+    ranked = means.withColumn("_k", F.row_number().over(W.partitionBy(by).orderBy("_mean")) - 1)
+    ends = int(alpha / 2 * draws), min(int((1 - alpha / 2) * draws), draws - 1)
+    return ranked.groupBy(by).agg(F.first("_n").alias("n"), *(F.max(F.when(F.col("_k") == k, F.col("_mean"))).alias(c) for c, k in zip(("low", "high"), ends, strict=True)))

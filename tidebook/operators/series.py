@@ -44,12 +44,34 @@ def regression(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     return out.select(by, *(F.when(none, S.NAN).otherwise(F.col(c)).alias(c) for c in ("slope", "intercept", "r2", "t", "p")))
 
 
-def adjusted(df: DataFrame, id_: str, p: str) -> DataFrame:
-    """df with bh (step-up false discovery rate) and bonferroni. The table is one family of tests, small by nature."""
-    m = F.count("*").over(W.partitionBy())
-    rank = F.row_number().over(W.orderBy(p, id_))
-    up = W.orderBy(p, id_).rowsBetween(0, W.unboundedFollowing)
-    return df.withColumns({"raw": F.col(p) * m / rank, "bonferroni": F.least(F.col(p) * m, F.lit(1.0))}).withColumn("bh", F.least(F.min("raw").over(up), F.lit(1.0))).drop("raw")
+def quantiles(df: DataFrame, by: list[str], value: str, places: dict[str, tuple[int, int]]) -> DataFrame:
+    """by, and for each name the value at place floor(n * a / b) of the sorted ones, counted from 0.
+
+    Equal values are counted first, and a running sum over the different ones finds the place: no list of a key's values is made.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(W.partitionBy(*by).orderBy(value))
+    rows = counts.join(counts.groupBy(*by).agg(F.sum("_c").alias("_n")), by).withColumn("_upto", upto)
+    at = {k: F.floor(F.col("_n") * a / b) for k, (a, b) in places.items()}
+    return rows.groupBy(*by).agg(*(F.min(F.when(F.col("_upto") > place, F.col(value))).alias(k) for k, place in at.items()))
+
+
+def adjusted(df: DataFrame, id_: str, p: str, parts: int = 64) -> DataFrame:
+    """df with bh (step-up false discovery rate) and bonferroni; all of df is one family of tests.
+
+    p-values lie in ranges of equal width. Ranks and minima are worked out within a range; the ranges' counts and
+    minima, one row each, tell what comes before and after.
+    """
+    rows = df.withColumn("_part", F.least(F.floor(F.col(p) * parts), F.lit(parts - 1)).cast("int"))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    sums = sizes.agg(F.sum("_n").alias("_m"), F.map_from_entries(F.collect_list(F.struct("_part", "_n"))).alias("_sizes"))
+    before = F.aggregate(F.map_values(F.map_filter("_sizes", lambda k, _: k < F.col("_part"))), F.lit(0).cast("long"), lambda s, n: s + n)
+    w = W.partitionBy("_part").orderBy(p, id_)
+    rows = rows.join(F.broadcast(sums)).withColumn("raw", F.col(p) * F.col("_m") / (before + F.row_number().over(w)))
+    least = rows.groupBy("_part").agg(F.min("raw").alias("_least")).agg(F.collect_list(F.struct("_part", "_least")).alias("_least"))
+    later = F.array_min(F.transform(F.filter("_least", lambda x: x["_part"] > F.col("_part")), lambda x: x["_least"]))
+    rows = rows.join(F.broadcast(least)).withColumn("bh", F.least(F.min("raw").over(w.rowsBetween(0, W.unboundedFollowing)), later, F.lit(1.0)))
+    return rows.withColumn("bonferroni", F.least(F.col(p) * F.col("_m"), F.lit(1.0))).select(*df.columns, "bonferroni", "bh")
 
 
 def percentile_rank(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -59,7 +81,8 @@ def percentile_rank(df: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def asof(left: DataFrame, right: DataFrame, by: str, ts: str, value: str, direction: str = "backward", tolerance: int | None = None, bucket: int = 60_000) -> DataFrame:
-    """left with value (of right) and value_ts at the latest time not after ts, or with `nearest` at the closest one, ties to the later.
+    """left with value (of right) and value_ts at the latest time not after ts; with `forward` at the first not before it, with
+    `nearest` at the closest one, ties to the later.
 
     Both sides are put on one time line per key and bucket; a look over one bucket's edge uses the last known value
     of earlier buckets, which is one row for each bucket. A key's line is thus never sorted in one task as a whole.
@@ -76,7 +99,9 @@ def asof(left: DataFrame, right: DataFrame, by: str, ts: str, value: str, direct
     order = W.partitionBy(by, "span").orderBy(F.col(ts), F.col("_left").asc_nulls_first())
     down = W.partitionBy(by, "span").orderBy(F.col(ts).desc(), F.col("_left").asc_nulls_first())
     found = both.withColumn("back", F.coalesce(F.last("at", True).over(order.rowsBetween(W.unboundedPreceding, 0)), "before"))
-    if direction == "nearest":
+    if direction == "forward":
+        found = found.withColumn("back", F.coalesce(F.last("at", True).over(down.rowsBetween(W.unboundedPreceding, 0)), "after"))
+    elif direction == "nearest":
         found = found.withColumn("ahead", F.coalesce(F.last("at", True).over(down.rowsBetween(W.unboundedPreceding, 0)), "after"))
         nearer = F.col("back").isNull() | ((F.col("ahead.ts") - F.col(ts)) <= (F.col(ts) - F.col("back.ts")))
         found = found.withColumn("back", F.when(F.col("ahead").isNotNull() & nearer, F.col("ahead")).otherwise(F.col("back")))
@@ -103,3 +128,23 @@ def transitions(states: DataFrame, by: Column | str, order: str, state: str, dom
     full = grid.join(counts, ["from_state", "to_state"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     all_ = F.sum("n").over(W.partitionBy("from_state"))
     return full.withColumn("share", F.when(all_ == 0, 0.0).otherwise(F.col("n") / all_))
+
+
+def confirmed(states: DataFrame, by: str, order: str, state: str, ticks: int = 2, first: str = "normal") -> DataFrame:
+    """states with current: the last state that was seen so many times in a row, at first `first`.
+
+    A change waits until its state has come `ticks` times running, so the current state is that of the last run that
+    got so long.
+    """
+    w = W.partitionBy(by).orderBy(order)
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    rows = states.withColumn("_new", F.coalesce(F.col(state) != F.lag(state).over(w), F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(upto))
+    rows = rows.withColumn("_k", F.row_number().over(W.partitionBy(by, "_run").orderBy(order)))
+    return rows.withColumn("current", F.coalesce(F.last(F.when(F.col("_k") >= ticks, F.col(state)), True).over(upto), F.lit(first))).drop("_new", "_run", "_k")
+
+
+def durations(spans: DataFrame, domain: list[str]) -> DataFrame:
+    """state, n, mean_ms of spans (start, end, state) that are over, for all states of the domain; 0 where there is none."""
+    done = spans.groupBy("state").agg(F.count("*").alias("n"), F.avg(F.col("end") - F.col("start")).alias("mean_ms"))
+    one = spans.sparkSession.createDataFrame([(s,) for s in domain], "state string")
+    return one.join(done, "state", "left").select("state", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean_ms", F.lit(0.0)).alias("mean_ms"))

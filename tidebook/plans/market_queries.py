@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,12 +90,14 @@ def feature_z(spark, sf_dir):
 
 
 def regime_ticks(spark, sf_dir):
-    return _regimes(spark, sf_dir).select("tick", r("volume_z"), r("active_z"), "regime", r("confidence"))
+    return _regimes(spark, sf_dir).select("tick", r("volume_z"), r("active_z"), r("spread_z"), "resolutions", "new_markets", "regime", r("confidence"))
 
 
 def _regimes(spark, sf_dir) -> DataFrame:
-    t = markets.regime_ticks(views.trades(spark, sf_dir)).withColumns({"volume_z": F.round("volume_z", 9), "active_z": F.round("active_z", 9)})
-    name, confidence = markets.regime(F.col("volume_z"), F.col("active_z"), F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    first = F.row_number().over(W.partitionBy("wallet", "token").orderBy("ts", "event_id")) == 1
+    events = views.trades(spark, sf_dir).withColumns({"spread": F.col("ticks").cast("double"), "resolved": (F.col("event_id") % 31 == 0).cast("int"), "fresh": first.cast("int")})
+    t = markets.regime_ticks(events).withColumns({f"{c}_z": F.round(f"{c}_z", 9) for c in ("volume", "active", "spread")})
+    name, confidence = markets.regime(F.col("volume_z"), F.col("active_z"), F.col("spread_z"), F.col("resolutions"), F.col("new_markets"))
     return t.withColumns({"regime": name, "confidence": confidence})
 
 
@@ -112,6 +116,22 @@ def regime_spans(spark, sf_dir):
     return series.spans_of(events, "ts", "state", 1 << 42)
 
 
+def _confirmed(spark, sf_dir) -> DataFrame:
+    return series.confirmed(_regimes(spark, sf_dir).withColumn("one", F.lit(1)), "one", "tick", "regime")
+
+
+def regime_confirmed(spark, sf_dir):
+    return _confirmed(spark, sf_dir).select("tick", "regime", "current")
+
+
+def regime_durations(spark, sf_dir):
+    """Of the confirmed spans that are over."""
+    t = _confirmed(spark, sf_dir)
+    change = t.withColumn("old", F.lag("current").over(W.partitionBy("one").orderBy("tick"))).where("old is null or old <> current")
+    spans = change.select((F.col("tick") * HOUR).alias("start"), F.lead(F.col("tick") * HOUR).over(W.partitionBy("one").orderBy("tick")).alias("end"), F.col("current").alias("state")).where("end is not null")
+    return series.durations(spans, REGIMES).select("state", "n", r("mean_ms", 3))
+
+
 def large_trades(spark, sf_dir):
     return markets.large_trades(views.trades(spark, sf_dir)).select("event_id", "market", r("z"))
 
@@ -178,21 +198,39 @@ def tfidf(spark, sf_dir):
     return X.tfidf(q, "market", "words").select("market", "term", r("weight"))
 
 
-def _distinct_questions(spark, sf_dir) -> DataFrame:
-    return views.questions(spark, sf_dir).groupBy("question").agg(F.min("market").alias("market"), F.min("category").alias("category"))
+def _classes(spark, sf_dir) -> DataFrame:
+    return graph.classes(views.questions(spark, sf_dir))
+
+
+def _class_rows(spark, sf_dir) -> DataFrame:
+    return _classes(spark, sf_dir).where(F.col("market") == F.col("class")).select("class", "question", "category")
+
+
+def question_classes(spark, sf_dir):
+    return _classes(spark, sf_dir).select("market", "class")
 
 
 def similarity_pairs(spark, sf_dir):
-    return graph.similar_pairs(_distinct_questions(spark, sf_dir), "market", 0.3).select("a", "b", r("shared"), r("similarity"), "kind")
+    """Between classes of markets with one question and category; `question_classes` has their members."""
+    return graph.similar_pairs(_class_rows(spark, sf_dir), "class", 0.3).select("a", "b", r("shared"), r("similarity"), "kind")
+
+
+def _clusters(spark, sf_dir) -> DataFrame:
+    """market, question, cluster of every market."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    rows = _class_rows(spark, sf_dir)
+    found = graph.clusters(rows.select(F.col("class").alias("id")), graph.similar_pairs(rows, "class", 0.34), f"{folder or 'file:///tmp/tidebook-shared'}/clusters-{uuid.uuid4().hex}")
+    return _classes(spark, sf_dir).join(found.withColumnRenamed("id", "class"), "class").select("market", "question", "cluster")
 
 
 def question_clusters(spark, sf_dir):
-    q = _distinct_questions(spark, sf_dir)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidebook-shared"
-    edges = graph.similar_pairs(q, "market", 0.34)
-    import uuid
+    return _clusters(spark, sf_dir).select(F.col("market").alias("id"), "cluster")
+
 
-    return graph.clusters(q.select(F.col("market").alias("id")), edges, f"{folder}/clusters-{uuid.uuid4().hex}")
+def cluster_descriptions(spark, sf_dir):
+    return graph.descriptions(_clusters(spark, sf_dir)).select("cluster", "n", "words")
 
 
 def temporal_order(spark, sf_dir):
@@ -201,12 +239,26 @@ def temporal_order(spark, sf_dir):
 
 
 def propagation_lags(spark, sf_dir):
-    return graph.propagation(graph.moves(views.prices(spark, sf_dir)), HOUR).select("source", "target", "event_id", "lag", r("efficiency"))
+    return _propagated(spark, sf_dir).select("source", "target", "event_id", "lag", r("efficiency"))
+
+
+def _propagated(spark, sf_dir) -> DataFrame:
+    return graph.propagation(graph.moves(views.prices(spark, sf_dir)), HOUR)
 
 
 def pair_stats(spark, sf_dir):
-    e = graph.propagation(graph.moves(views.prices(spark, sf_dir)), HOUR)
-    return graph.pair_stats(e, 1_000_000).select("source", "target", "n", "p25", "median", "p75", r("efficiency"), "exploitable")
+    return graph.pair_stats(_propagated(spark, sf_dir), 1_000_000).select("source", "target", "n", "p25", "median", "p75", r("efficiency"), "exploitable")
+
+
+def edge_at_lag(spark, sf_dir):
+    e = _propagated(spark, sf_dir)
+    return graph.edge_at_lag(e, graph.pair_stats(e, 1_000_000)).select("source", "target", r("edge"))
+
+
+def exploitable_pairs(spark, sf_dir):
+    """A report of the 20 slowest."""
+    p = graph.pair_stats(_propagated(spark, sf_dir), 1_000_000).where("exploitable")
+    return p.orderBy(F.desc("median"), "source", "target").limit(20).select("source", "target", "n", "median")
 
 
 def sessions(spark, sf_dir):
@@ -231,21 +283,26 @@ def dedup(spark, sf_dir):
 
 _F = "FROM v_levels"
 _TOK = "list_filter(regexp_split_to_array(lower({}), '[^a-z]+'), lambda w: len(w) >= 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "], w))"
-_REG = f"""{sql.TRADES}, a AS (SELECT ts // 3600000 AS tick, CAST(sum(size) AS DOUBLE) AS volume, CAST(count(DISTINCT wallet) AS DOUBLE) AS active FROM v_trades GROUP BY 1),
-z0 AS (SELECT tick, count(*) OVER w AS k, volume, active, avg(volume) OVER w AS mv, stddev_samp(volume) OVER w AS sv, avg(active) OVER w AS ma, stddev_samp(active) OVER w AS sa FROM a WINDOW w AS (ORDER BY tick ROWS 119 PRECEDING)),
-z AS (SELECT tick, round(CASE WHEN k < 10 OR sv = 0 THEN 0.0 ELSE (volume - mv) / sv END, 9) AS volume_z, round(CASE WHEN k < 10 OR sa = 0 THEN 0.0 ELSE (active - ma) / sa END, 9) AS active_z FROM z0),
-s AS (SELECT *, CASE WHEN active_z >= 1.5 AND volume_z >= 1.5 THEN 1.0 WHEN active_z >= 1.5 THEN 0.6 WHEN volume_z >= 1.5 AND active_z >= 1.0 THEN 0.5 ELSE 0.0 END AS ev, CASE WHEN volume_z <= -1 THEN 0.4 ELSE 0.0 END AS thin FROM z),
-n AS (SELECT *, CASE WHEN greatest(ev, thin) < 0.4 THEN 0.8 ELSE greatest(0.0, 0.3 - greatest(ev, thin) * 0.2) END AS normal FROM s),
-reg AS (SELECT *, CASE WHEN ev = greatest(ev, thin, normal) THEN 'event_driven' WHEN thin = greatest(ev, thin, normal) THEN 'low_liquidity' ELSE 'normal' END AS regime, least(1.0, greatest(ev, thin, normal) / (ev + thin + normal)) AS confidence FROM n)"""
+_REG = f"""{sql.TRADES}, a AS (SELECT ts // 3600000 AS tick, CAST(sum(size) AS DOUBLE) AS volume, CAST(count(DISTINCT wallet) AS DOUBLE) AS active, avg(CAST(ticks AS DOUBLE)) AS spread, count(*) FILTER (event_id % 31 = 0) AS resolutions, count(*) FILTER (fresh = 1) AS new_markets
+  FROM (SELECT *, row_number() OVER (PARTITION BY wallet, token ORDER BY ts, event_id) AS fresh FROM v_trades) GROUP BY 1),
+z0 AS (SELECT *, count(*) OVER w AS k, avg(volume) OVER w AS mv, stddev_samp(volume) OVER w AS sv, avg(active) OVER w AS ma, stddev_samp(active) OVER w AS sa, avg(spread) OVER w AS ms, stddev_samp(spread) OVER w AS ss FROM a WINDOW w AS (ORDER BY tick ROWS 119 PRECEDING)),
+z AS (SELECT tick, resolutions, new_markets, round(CASE WHEN k < 10 OR sv = 0 THEN 0.0 ELSE (volume - mv) / sv END, 9) AS volume_z, round(CASE WHEN k < 10 OR sa = 0 THEN 0.0 ELSE (active - ma) / sa END, 9) AS active_z, round(CASE WHEN k < 10 OR ss = 0 THEN 0.0 ELSE (spread - ms) / ss END, 9) AS spread_z FROM z0),
+s AS (SELECT *, CASE WHEN resolutions >= 5 THEN 1.0 ELSE 0.0 END AS res, CASE WHEN active_z >= 1.5 AND volume_z >= 1.5 THEN 1.0 WHEN active_z >= 1.5 OR new_markets >= 5 THEN 0.6 WHEN volume_z >= 1.5 AND active_z >= 1.0 THEN 0.5 ELSE 0.0 END AS ev,
+  CASE WHEN spread_z >= 1.5 AND volume_z >= 1.5 THEN 1.0 WHEN spread_z >= 1.5 AND volume_z > 0 THEN 0.6 ELSE 0.0 END AS wild, CASE WHEN spread_z >= 1.5 AND volume_z <= -1 THEN 1.0 WHEN spread_z >= 1.5 AND volume_z < 0 THEN 0.5 WHEN volume_z <= -1 THEN 0.4 ELSE 0.0 END AS thin FROM z),
+n AS (SELECT *, CASE WHEN greatest(res, ev, wild, thin) < 0.4 THEN 0.8 ELSE greatest(0.0, 0.3 - greatest(res, ev, wild, thin) * 0.2) END AS normal FROM s),
+m AS (SELECT *, greatest(res, ev, wild, thin, normal) AS best FROM n),
+reg AS (SELECT *, CASE WHEN res = best THEN 'resolution_clustering' WHEN ev = best THEN 'event_driven' WHEN wild = best THEN 'high_volatility' WHEN thin = best THEN 'low_liquidity' ELSE 'normal' END AS regime, least(1.0, best / (res + ev + wild + thin + normal)) AS confidence FROM m)"""
+_CONFIRMED = f"""{_REG}, c0 AS (SELECT *, CASE WHEN regime = lag(regime) OVER (ORDER BY tick) THEN 0 ELSE 1 END AS nw FROM reg), c1 AS (SELECT *, sum(nw) OVER (ORDER BY tick) AS run FROM c0),
+c2 AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY tick) AS k FROM c1), conf AS (SELECT tick, regime, coalesce(last_value(CASE WHEN k >= 2 THEN regime END IGNORE NULLS) OVER (ORDER BY tick ROWS UNBOUNDED PRECEDING), 'normal') AS current FROM c2)"""
 _LARGE = f"""{sql.TRADES}, lz AS (SELECT *, count(*) OVER w AS k, avg(size) OVER w AS m, stddev_samp(size) OVER w AS sd FROM v_trades WINDOW w AS (PARTITION BY market ORDER BY ts, event_id ROWS 499 PRECEDING)),
 large AS (SELECT *, CASE WHEN sd = 0 THEN 0.0 ELSE (size - m) / sd END AS z FROM lz WHERE k >= 10)"""
-_TYPES = f"""{sql.TRADES}, g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY market ORDER BY ts, event_id) AS gap, max(ts) OVER () AS now FROM v_trades),
-b AS (SELECT market, count(*) AS n, count(*) FILTER (ts > now - 86400000) / 1440 AS rate, coalesce(var_pop(gap) / avg(gap), 0) AS dispersion, coalesce(avg(gap), 60000) AS update_ms,
-  avg(CASE WHEN gap < 1000 THEN 1.0 WHEN gap IS NOT NULL THEN 0.0 END) AS quick, avg(CASE WHEN size % 10 = 0 THEN 1.0 ELSE 0.0 END) AS rnd, 1 - stddev_samp(gap) / avg(gap) AS reg, CAST(max(now) - max(ts) AS DOUBLE) AS stale_ms FROM g GROUP BY market),
+_TYPES = f"""{sql.TRADES}, g0 AS (SELECT *, ts - lag(ts) OVER (PARTITION BY market ORDER BY ts, event_id) AS d, max(ts) OVER () AS now FROM v_trades), g AS (SELECT *, CASE WHEN d > 0 THEN d END AS gap FROM g0),
+b AS (SELECT market, count(*) AS n, count(*) FILTER (ts > now - 3600000) / 60 AS rate, coalesce(var_pop(gap) / avg(gap), 0) AS dispersion, coalesce(avg(gap), 60000) AS update_ms,
+  avg(CASE WHEN gap < 1000 THEN 1.0 WHEN gap IS NOT NULL THEN 0.0 END) AS quick, avg(CASE WHEN abs(size - round(size)) < 0.01 THEN 1.0 ELSE 0.0 END) AS rnd, count(gap) AS gaps, 1 - coalesce(stddev_samp(gap) / avg(gap), 0) AS regular, CAST(max(now) - max(ts) AS DOUBLE) AS stale_ms FROM g GROUP BY market),
 v AS (SELECT market, wallet, sum(ticks * size) AS v FROM v_trades GROUP BY ALL),
 sh AS (SELECT *, v / sum(v) OVER (PARTITION BY market) AS share FROM v),
 wh AS (SELECT market, sum(share * share) AS hhi, CASE WHEN max(share) > 0.2 THEN arg_max(wallet, share) END AS dominant FROM sh GROUP BY market),
-f AS (SELECT b.*, hhi, dominant, CASE WHEN n < 5 THEN 0.0 ELSE (quick + rnd + least(greatest(reg, 0), 1)) / 3 END AS bots, 120.0 + 60.0 * market AS spread_bps FROM b JOIN wh USING (market)),
+f AS (SELECT b.*, hhi, dominant, CASE WHEN n < 5 THEN 0.0 ELSE list_avg(list_filter([CASE WHEN gaps > 0 THEN quick END, rnd, CASE WHEN gaps >= 5 THEN least(greatest(regular, 0), 1) END, CASE WHEN rate > 10 THEN least(greatest((rate - 10) / 50, 0), 1) END], lambda x: x IS NOT NULL)) END AS bots, 120.0 + 60.0 * market AS spread_bps FROM b JOIN wh USING (market)),
 sc AS (SELECT *, (CASE WHEN update_ms > 10000 THEN 1.0 WHEN update_ms > 5000 THEN 0.5 ELSE 0 END + CASE WHEN stale_ms > 15000 THEN 1.0 WHEN stale_ms > 8000 THEN 0.5 ELSE 0 END + CASE WHEN spread_bps > 300 THEN 1.0 WHEN spread_bps > 150 THEN 0.5 ELSE 0 END
     + CASE WHEN rate < 2 THEN 1.0 WHEN rate < 5 THEN 0.5 ELSE 0 END + CASE WHEN hhi < 0.10 THEN 1.0 WHEN hhi < 0.15 THEN 0.5 ELSE 0 END + CASE WHEN bots < 0.3 THEN 1.0 WHEN bots < 0.5 THEN 0.5 ELSE 0 END) / 6 AS score1,
   (CASE WHEN update_ms BETWEEN 2000 AND 10000 THEN 1.0 WHEN update_ms > 1000 AND update_ms < 15000 THEN 0.5 ELSE 0 END + CASE WHEN rate BETWEEN 2 AND 15 THEN 1.0 WHEN rate > 1 AND rate < 20 THEN 0.5 ELSE 0 END
@@ -267,10 +324,11 @@ ex AS (SELECT event_id, market, book, CAST(filled AS DOUBLE) AS filled, CASE WHE
 _MV = f"""{sql.PRICES}, m0 AS (SELECT *, price - lag(price) OVER (PARTITION BY series ORDER BY ts, event_id) AS move FROM v_prices),
 m1 AS (SELECT *, stddev_samp(move) OVER w AS sd, count(*) OVER w AS k FROM m0 WINDOW w AS (PARTITION BY series ORDER BY ts, event_id ROWS 498 PRECEDING)),
 mv AS (SELECT series, event_id, ts, move FROM m1 WHERE k >= 11 AND sd > 0 AND abs(move) >= sd AND abs(move) >= 0.005),
-pg AS (SELECT s.series AS source, d.series AS target, s.event_id, d.ts - s.ts AS lag, least(abs(d.move / s.move), 5.0) AS efficiency, row_number() OVER (PARTITION BY s.series, d.series, s.event_id ORDER BY d.ts, d.event_id) AS rk
+pg AS (SELECT s.series AS source, d.series AS target, s.event_id, d.ts - s.ts AS lag, least(abs(d.move / s.move), 5.0) AS efficiency, d.move AS target_move, row_number() OVER (PARTITION BY s.series, d.series, s.event_id ORDER BY d.ts, d.event_id) AS rk
   FROM mv s JOIN mv d ON s.series <> d.series AND d.ts > s.ts AND d.ts - s.ts <= 3600000 AND sign(d.move) = sign(s.move) AND abs(d.move) >= 0.1 * abs(s.move)),
-prop AS (SELECT source, target, event_id, lag, efficiency FROM pg WHERE rk = 1)"""
-_QD = "q AS (SELECT p_name AS question, min(p_partkey) AS market, min(p_type) AS category FROM part GROUP BY 1)"
+prop AS (SELECT source, target, event_id, lag, efficiency, target_move FROM pg WHERE rk = 1),
+ps AS (SELECT source, target, count(*) AS n, list_sort(list(lag)) AS x, avg(efficiency) AS efficiency FROM prop GROUP BY ALL)"""
+_QD = "q AS (SELECT p_name AS question, p_type AS category, min(p_partkey) AS market FROM part GROUP BY 1, 2)"
 _SIM = f"""{_QD}, t AS (SELECT market, category, {_TOK.format('question')} AS w FROM q), tt AS (SELECT * FROM t WHERE len(w) > 0),
 u AS (SELECT market, len(w) AS n, unnest(w) AS term FROM tt), c AS (SELECT market, n, term, count(*) / n AS tf FROM u GROUP BY market, n, term),
 pr AS (SELECT DISTINCT x.market AS a, y.market AS b FROM c x JOIN c y ON x.term = y.term AND x.market < y.market),
@@ -281,6 +339,10 @@ sm AS (SELECT sh.a, sh.b, sh.share AS shared, 0.4 * sh.k / (p.k + q.k - sh.k) +
 pairs AS (SELECT a, b, shared, similarity, CASE WHEN similarity >= 0.65 AND x.category = y.category THEN 'same_event' WHEN similarity >= 0.5 AND x.category = y.category AND shared >= 0.4 THEN 'complementary' WHEN similarity >= 0.45 AND x.category <> y.category THEN 'causal' ELSE 'semantic' END AS kind
   FROM sm JOIN t x ON x.market = a JOIN t y ON y.market = b)"""
 
+_REACH = f"""{_SIM}, ed AS (SELECT a, b FROM pairs WHERE similarity >= 0.34 UNION SELECT b, a FROM pairs WHERE similarity >= 0.34),
+reach AS (SELECT market AS id, market AS node FROM q UNION SELECT reach.id, ed.b FROM reach JOIN ed ON ed.a = reach.node), cl AS (SELECT id, min(node) AS cluster FROM reach GROUP BY id),
+members AS (SELECT p_partkey AS id, p_name AS question, cluster FROM part JOIN q ON p_name = q.question AND p_type = q.category JOIN cl ON cl.id = q.market)"""
+
 
 def _place() -> str:
     rules = [f"WHEN contains(x, '{m}') THEN {i}" for names in (X.MONTHS, X.MONTHS_SHORT) for i, m in enumerate(names, 1)]
@@ -289,7 +351,7 @@ def _place() -> str:
     return "CASE " + " ".join(rules) + " END"
 
 
-QUERIES = {f.__name__: f for f in (book_metrics, vwap_sweep, rolling_stats, volatility, autocorrelation, linreg, bh_adjust, percentile_rank, asof_backward, forward_returns, feature_z, regime_ticks, transition_matrix, regime_spans, large_trades, impact_cube, market_types, edge_map, viable_strategies, viability_matrix, signal_filter, paper_execute, attribution_rollup, token_df, tfidf, similarity_pairs, question_clusters, temporal_order, propagation_lags, pair_stats, sessions, source_health, dedup)}
+QUERIES = {f.__name__: f for f in (book_metrics, vwap_sweep, rolling_stats, volatility, autocorrelation, linreg, bh_adjust, percentile_rank, asof_backward, forward_returns, feature_z, regime_ticks, transition_matrix, regime_spans, regime_confirmed, regime_durations, large_trades, impact_cube, market_types, edge_map, viable_strategies, viability_matrix, signal_filter, paper_execute, attribution_rollup, token_df, tfidf, question_classes, similarity_pairs, question_clusters, cluster_descriptions, temporal_order, propagation_lags, pair_stats, edge_at_lag, exploitable_pairs, sessions, source_health, dedup)}
 
 
 def _r(*names: str, digits: int = 6) -> str:
@@ -332,7 +394,7 @@ ORACLE_SQL = {
       SELECT event_id, round((p - p0) / p0, 6) + 0.0 AS forward_return FROM y WHERE gap <= 900000""",
     "feature_z": f"""WITH {sql.PRICES}, w AS (SELECT *, count(*) OVER f AS k, avg(price) OVER f AS m, stddev_samp(price) OVER f AS sd FROM v_prices WINDOW f AS (PARTITION BY series ORDER BY ts, event_id ROWS 119 PRECEDING))
       SELECT event_id, round(CASE WHEN k < 5 OR sd = 0 THEN 0.0 ELSE (price - m) / sd END, 6) + 0.0 AS z FROM w""",
-    "regime_ticks": f"WITH {_REG} SELECT tick, {_r('volume_z', 'active_z')}, regime, {_r('confidence')} FROM reg",
+    "regime_ticks": f"WITH {_REG} SELECT tick, {_r('volume_z', 'active_z', 'spread_z')}, resolutions, new_markets, regime, {_r('confidence')} FROM reg",
     "transition_matrix": f"""WITH {_REG}, st AS (SELECT lag(regime) OVER (ORDER BY tick) AS f, regime AS t FROM reg), d AS (SELECT unnest([{', '.join(f"'{x}'" for x in REGIMES)}]) AS s), c AS (SELECT f, t, count(*) AS n FROM st WHERE f IS NOT NULL GROUP BY ALL),
       g AS (SELECT x.s AS from_state, y.s AS to_state, coalesce(c.n, 0) AS n FROM d x CROSS JOIN d y LEFT JOIN c ON c.f = x.s AND c.t = y.s)
       SELECT from_state, to_state, n, round(CASE WHEN sum(n) OVER (PARTITION BY from_state) = 0 THEN 0.0 ELSE n / sum(n) OVER (PARTITION BY from_state) END, 6) + 0.0 AS share FROM g""",
@@ -355,12 +417,19 @@ ORACLE_SQL = {
     "tfidf": f"""WITH t AS (SELECT p_partkey AS market, {_TOK.format('p_name')} AS w FROM part), n AS (SELECT count(*) AS docs FROM t), u AS (SELECT market, len(w) AS l, unnest(w) AS term FROM t), c AS (SELECT market, l, term, count(*) AS tf FROM u GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1)
       SELECT market, term, round(tf / l * ln(1 + docs / (1 + df)), 6) + 0.0 AS weight FROM c JOIN d USING (term) CROSS JOIN n""",
     "similarity_pairs": f"WITH {_SIM} SELECT a, b, {_r('shared', 'similarity')}, kind FROM pairs WHERE similarity >= 0.3",
-    "question_clusters": f"""WITH RECURSIVE {_SIM}, e AS (SELECT a, b FROM pairs WHERE similarity >= 0.34 UNION SELECT b, a FROM pairs WHERE similarity >= 0.34),
-      reach AS (SELECT market AS id, market AS node FROM q UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.node) SELECT id, min(node) AS cluster FROM reach GROUP BY id""",
+    "question_classes": f"WITH {_QD} SELECT p_partkey AS market, q.market AS class FROM part JOIN q ON p_name = question AND p_type = category",
+    "question_clusters": f"WITH RECURSIVE {_REACH} SELECT id, cluster FROM members",
+    "cluster_descriptions": f"""WITH RECURSIVE {_REACH}, n AS (SELECT cluster, count(*) AS n FROM members GROUP BY 1), e AS (SELECT cluster, unnest(list_distinct({_TOK.format('question')})) AS word FROM members), d AS (SELECT cluster, word, count(*) AS df FROM e GROUP BY ALL),
+      k AS (SELECT cluster, n, word, df, row_number() OVER (PARTITION BY cluster ORDER BY df DESC, word) AS k FROM d JOIN n USING (cluster) WHERE df >= greatest(2, ceil(n / 2))), w AS (SELECT cluster, string_agg(word, ' ' ORDER BY k) AS words FROM k WHERE k <= 5 GROUP BY 1)
+      SELECT n.cluster, n.n, coalesce(words, 'related markets') AS words FROM n LEFT JOIN w ON w.cluster = n.cluster""",
+    "regime_confirmed": f"WITH {_CONFIRMED} SELECT tick, regime, current FROM conf",
+    "regime_durations": f"""WITH {_CONFIRMED}, ch AS (SELECT tick * 3600000 AS ts, current FROM (SELECT *, lag(current) OVER (ORDER BY tick) AS o FROM conf) WHERE o IS NULL OR o <> current), sp AS (SELECT current, lead(ts) OVER (ORDER BY ts) - ts AS d FROM ch),
+      dm AS (SELECT unnest([{', '.join(f"'{x}'" for x in REGIMES)}]) AS state) SELECT state, count(d) AS n, round(coalesce(avg(d), 0), 3) + 0.0 AS mean_ms FROM dm LEFT JOIN sp ON current = state AND d IS NOT NULL GROUP BY state""",
     "temporal_order": f"WITH d AS (SELECT item_id, lower(text) AS x FROM benchmark) SELECT item_id, CAST({_place()} AS BIGINT) AS place FROM d",
     "propagation_lags": f"WITH {_MV} SELECT source, target, event_id, lag, {_r('efficiency')} FROM prop",
-    "pair_stats": f"""WITH {_MV}, l AS (SELECT source, target, count(*) AS n, list_sort(list(lag)) AS x, avg(efficiency) AS efficiency FROM prop GROUP BY ALL)
-      SELECT source, target, n, x[n // 4 + 1] AS p25, x[n // 2 + 1] AS median, x[3 * n // 4 + 1] AS p75, {_r('efficiency')}, x[n // 2 + 1] > 1000000 AS exploitable FROM l WHERE n >= 3""",
+    "pair_stats": f"WITH {_MV} SELECT source, target, n, x[n // 4 + 1] AS p25, x[n // 2 + 1] AS median, x[3 * n // 4 + 1] AS p75, {_r('efficiency')}, x[n // 2 + 1] > 1000000 AS exploitable FROM ps WHERE n >= 3",
+    "edge_at_lag": f"WITH {_MV} SELECT prop.source, prop.target, round(avg(abs(target_move) - 0.02), 6) + 0.0 AS edge FROM prop JOIN ps USING (source, target) WHERE n >= 3 AND lag BETWEEN x[n // 4 + 1] AND x[3 * n // 4 + 1] GROUP BY ALL",
+    "exploitable_pairs": f"WITH {_MV} SELECT source, target, n, x[n // 2 + 1] AS median FROM ps WHERE n >= 3 AND x[n // 2 + 1] > 1000000 ORDER BY median DESC, source, target LIMIT 20",
     "sessions": """WITH a AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM a)
       SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n, max(value) AS peak FROM b GROUP BY user_id, k""",
     "source_health": f"WITH {sql.PRICES}, h AS (SELECT series, count(*) AS n, max(ts) AS last FROM v_prices GROUP BY 1), m AS (SELECT max(ts) AS now FROM v_prices) SELECT series, n, now - last AS age_ms, CASE WHEN now - last > 600000 THEN 'stale' ELSE 'ok' END AS status FROM h CROSS JOIN m",

@@ -19,22 +19,27 @@ v_levels AS (
 
 PRICES = "v_prices AS (SELECT event_type AS series, event_id, epoch_us(ts) // 1000 AS ts, value AS price FROM events)"
 
-_W = "PARTITION BY wallet, market, token ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING"
-PAIRS = f"""{TRADES},
-f1 AS (SELECT *, sum(CASE WHEN side = 'BUY' THEN size ELSE -size END) OVER ({_W}) AS net,
-    sum(CASE WHEN side = 'BUY' THEN size ELSE 0 END) OVER ({_W}) AS bought FROM v_trades),
-f2 AS (SELECT *, greatest(0, -min(net) OVER ({_W})) AS short FROM f1),
-f3 AS (SELECT *, size - (short - coalesce(lag(short) OVER (PARTITION BY wallet, market, token ORDER BY ts, event_id), 0)) AS used FROM f2),
-f4 AS (SELECT *, sum(CASE WHEN side = 'SELL' THEN used ELSE 0 END) OVER ({_W}) AS sold FROM f3),
+def pairs(source: str = "v_trades", keys: tuple[str, ...] = ("wallet", "market", "token")) -> str:
+    """Matched pairs of the trades in source, by keys."""
+    k = ", ".join(keys)
+    w = f"PARTITION BY {k} ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING"
+    return f"""f1 AS (SELECT *, sum(CASE WHEN side = 'BUY' THEN size ELSE -size END) OVER ({w}) AS net,
+    sum(CASE WHEN side = 'BUY' THEN size ELSE 0 END) OVER ({w}) AS bought FROM {source}),
+f2 AS (SELECT *, greatest(0, -min(net) OVER ({w})) AS short FROM f1),
+f3 AS (SELECT *, size - (short - coalesce(lag(short) OVER (PARTITION BY {k} ORDER BY ts, event_id), 0)) AS used FROM f2),
+f4 AS (SELECT *, sum(CASE WHEN side = 'SELL' THEN used ELSE 0 END) OVER ({w}) AS sold FROM f3),
 pairs AS (
-  SELECT b.wallet, b.market, b.token, b.event_id AS entry_id, s.event_id AS exit_id, b.ts AS entry_ts, s.ts AS exit_ts,
+  SELECT {", ".join(f"b.{x}" for x in keys)}, b.event_id AS entry_id, s.event_id AS exit_id, b.ts AS entry_ts, s.ts AS exit_ts,
     b.ticks AS entry_ticks, s.ticks AS exit_ticks,
     CAST(least(b.bought, s.sold) - greatest(b.bought - b.size, s.sold - s.used) AS BIGINT) AS size,
     CAST((s.ticks - b.ticks) * (least(b.bought, s.sold) - greatest(b.bought - b.size, s.sold - s.used)) AS BIGINT) AS pnl_ticks
-  FROM f4 b JOIN f4 s ON b.wallet = s.wallet AND b.market = s.market AND b.token = s.token
+  FROM f4 b JOIN f4 s ON {" AND ".join(f"b.{x} = s.{x}" for x in keys)}
   WHERE b.side = 'BUY' AND s.side = 'SELL' AND s.used > 0 AND b.bought - b.size < s.sold AND s.sold - s.used < b.bought)"""
 
 
+PAIRS = f"{TRADES},\n{pairs()}"
+
+
 def cdf(x: str) -> str:
     """The approximation of tidebook.functions.stats.normal_cdf."""
     t = f"(1 / (1 + 0.3275911 * abs({x})))"

@@ -32,7 +32,7 @@ def shadow_report(spark, sf_dir):
 
 def price_enrichment(spark, sf_dir):
     t = views.trades(spark, sf_dir)
-    return strategies.enriched(t.where("event_id % 3 = 0").drop("ticks"), t, 1_800_000).select("event_id", "ticks", "price_id")
+    return strategies.enriched(t.drop("ticks"), t, 1_800_000).select("event_id", "ticks", "price_id")
 
 
 def gap_persistence(spark, sf_dir):
@@ -57,7 +57,7 @@ ORACLE_SQL = {
         round(greatest(least(0.40 * greatest(least((abs(imb) - 0.2) / 0.8, 1), 0) + 0.35 * greatest(least(ev / 0.05, 1), 0) + 0.25 * greatest(least(depth / 500, 1), 0), 1), 0.01), 6) + 0.0 AS strength FROM e WHERE ev > 0""",
     "shadow_records": f"WITH {_SHADOW} SELECT event_id, round(ideal, 6) + 0.0 AS ideal, round(actual, 6) + 0.0 AS actual, attribution FROM sh",
     "shadow_report": f"WITH {_SHADOW} SELECT token, count(*) AS n, round(avg(ideal), 6) + 0.0 AS ideal, round(avg(actual), 6) + 0.0 AS actual, round(avg(CASE WHEN ideal > 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS accuracy, {', '.join(f'''count(*) FILTER (attribution = '{n}') AS {n}''' for n in _NAMES)} FROM sh GROUP BY token",
-    "price_enrichment": f"""WITH {sql.TRADES}, l AS (SELECT * FROM v_trades WHERE event_id % 3 = 0),
+    "price_enrichment": f"""WITH {sql.TRADES}, l AS (SELECT * FROM v_trades),
       c AS (SELECT l.event_id, t.ticks, t.event_id AS price_id, row_number() OVER (PARTITION BY l.event_id ORDER BY abs(t.ts - l.ts) + CASE WHEN abs(t.size - l.size) / greatest(t.size, l.size) > 0.2 THEN 10000 ELSE 0 END, t.ts, t.event_id) AS k
         FROM l JOIN v_trades t ON t.token = l.token AND t.event_id <> l.event_id AND t.ts BETWEEN l.ts - 1800000 AND l.ts + 1800000)
       SELECT l.event_id, c.ticks, c.price_id FROM l LEFT JOIN c ON c.event_id = l.event_id AND c.k = 1""",

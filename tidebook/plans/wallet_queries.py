@@ -73,17 +73,6 @@ def delay_halflife(spark, sf_dir):
     return wallets.half_life(curve).select("wallet", r("halflife_ms", 3), r("breakeven_ms", 3))
 
 
-def wallet_class(spark, sf_dir):
-    t = views.trades(spark, sf_dir)
-    return wallets.classify(wallets.statistics(pairs(spark, sf_dir)), wallets.market_maker_score(t), wallets.round_trip_rate(t)).select("wallet", "n", "class")
-
-
-def wallet_score(spark, sf_dir):
-    t, p = views.trades(spark, sf_dir), pairs(spark, sf_dir)
-    out = wallets.follow_score(wallets.statistics(p), wallets.drawdown_and_streak(p), wallets.delay_curve(p, t), t)
-    return out.select("wallet", r("score", 5), "recommendation")
-
-
 def positions(spark, sf_dir):
     return wallets.positions(views.trades(spark, sf_dir)).select("wallet", "market", "token", "size", r("avg_entry"), r("unrealized"))
 
@@ -110,8 +99,11 @@ bk AS (SELECT x.*, s.ticks AS bt, s.ts AS bts FROM x ASOF LEFT JOIN ser s ON x.t
 fw AS (SELECT b.*, s.ticks AS ft, s.ts AS fts FROM bk b ASOF LEFT JOIN ser s ON b.token = s.token AND b.at_ts <= s.ts),
 pr AS (SELECT *, CASE WHEN fts IS NOT NULL AND (bts IS NULL OR fts - at_ts <= at_ts - bts) THEN ft ELSE bt END AS pt,
     CASE WHEN fts IS NOT NULL AND (bts IS NULL OR fts - at_ts <= at_ts - bts) THEN fts ELSE bts END AS pts FROM fw),
-curve AS (SELECT wallet, CAST(delay_ms AS BIGINT) AS delay_ms, count(*) AS n, avg((exit_ticks - pt) * size / 100) AS mean_pnl,
-    avg(CASE WHEN exit_ticks > pt THEN 1.0 ELSE 0.0 END) AS win_rate FROM pr WHERE abs(pts - at_ts) <= 43200000 GROUP BY ALL)"""
+c0 AS (SELECT wallet, CAST(delay_ms AS BIGINT) AS delay_ms, count(*) AS n, avg((exit_ticks - pt) * size / 100) AS m, stddev_samp((exit_ticks - pt) * size / 100) AS sd,
+    avg(CASE WHEN exit_ticks > pt THEN 1.0 ELSE 0.0 END) AS w FROM pr WHERE abs(pts - at_ts) <= 43200000 GROUP BY ALL),
+curve AS (SELECT wallet, delay_ms, n, m AS mean_pnl, CASE WHEN n < 2 THEN 0.0 ELSE w END AS win_rate, CASE WHEN n < 2 THEN 0.0 WHEN sd > 0 THEN m / sd WHEN m > 0 THEN 'inf'::DOUBLE ELSE 0.0 END AS ir,
+    CASE WHEN n < 2 THEN 0.0 WHEN sd = 0 THEN CASE WHEN m = 0 THEN 0.0 WHEN m > 0 THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END ELSE m / (sd / sqrt(n)) END AS t,
+    CASE WHEN n < 2 THEN 1.0 WHEN sd = 0 THEN CASE WHEN m > 0 THEN 0.0 ELSE 1.0 END ELSE {sql.p_value("(m / (sd / sqrt(n)))", "(n - 1)")} END AS p FROM c0)"""
 
 _HALF = f"""{_CURVE},
 h1 AS (SELECT *, lag(mean_pnl) OVER w AS p0, lag(delay_ms) OVER w AS d0, first_value(mean_pnl) OVER w AS first FROM curve WINDOW w AS (PARTITION BY wallet ORDER BY delay_ms)),
@@ -119,7 +111,7 @@ h2 AS (SELECT wallet, max(first) AS first,
     min(CASE WHEN first > 0 AND p0 IS NOT NULL AND mean_pnl <= first / 2 AND p0 > first / 2 THEN d0 + (p0 - first / 2) / (p0 - mean_pnl) * (delay_ms - d0) END) AS hl,
     min(CASE WHEN first > 0 AND p0 > 0 AND mean_pnl <= 0 THEN d0 + p0 / (p0 - mean_pnl) * (delay_ms - d0) END) AS be FROM h1 GROUP BY wallet)"""
 
-QUERIES = {f.__name__: f for f in (fifo_match, wallet_stats, top_wallets, wallet_hhi, active_hours, round_trip_rate, mm_score, timing_pattern, clustering, drawdown_streak, delay_curve, delay_halflife, wallet_class, wallet_score, positions)}
+QUERIES = {f.__name__: f for f in (fifo_match, wallet_stats, top_wallets, wallet_hhi, active_hours, round_trip_rate, mm_score, timing_pattern, clustering, drawdown_streak, delay_curve, delay_halflife, positions)}
 
 ORACLE_SQL = {
     "fifo_match": f"WITH {sql.PAIRS} SELECT * FROM pairs",
@@ -147,21 +139,6 @@ ORACLE_SQL = {
       SELECT m.wallet, CAST(max(fall) AS BIGINT) AS max_drawdown, any_value(q.loss_streak) AS loss_streak FROM m JOIN (SELECT wallet, max(k) AS loss_streak FROM l GROUP BY wallet) q USING (wallet) GROUP BY m.wallet""",
     "delay_curve": f"WITH {_CURVE} SELECT wallet, delay_ms, n, round(mean_pnl, 9) + 0.0 AS mean_pnl, round(win_rate, 6) + 0.0 AS win_rate FROM curve",
     "delay_halflife": f"WITH {_HALF} SELECT wallet, round(hl, 3) + 0.0 AS halflife_ms, round(CASE WHEN first <= 0 THEN 0.0 ELSE be END, 3) + 0.0 AS breakeven_ms FROM h2",
-    "wallet_class": f"""{_STATS},
-      e AS (SELECT wallet, market, count(*) AS k, count(*) FILTER (side = 'BUY') AS b, count(DISTINCT token) AS tk FROM v_trades GROUP BY ALL),
-      mm AS (SELECT wallet, coalesce(avg(CASE WHEN k >= 4 THEN 0.6 * (1 - abs(2 * b - k) / k) + 0.4 * CASE WHEN tk >= 2 THEN 1.0 ELSE 0.0 END END), 0) AS score, avg(CASE WHEN tk >= 2 THEN 1.0 ELSE 0.0 END) AS rate FROM e GROUP BY wallet)
-      SELECT wallet, n, CASE WHEN median_hold_ms < 300000 AND win_rate > 0.55 THEN 'sniper' WHEN rate > 0.5 AND score <= 0.7 THEN 'arbitrageur' WHEN score > 0.7 THEN 'market_maker'
-        WHEN avg_hold_ms > 3600000 THEN 'swing' ELSE 'unclassified' END AS class FROM s JOIN mm USING (wallet)""",
-    "wallet_score": f"""{_STATS}, {_CURVE.split(sql.PAIRS + ",")[1]},
-      c AS (SELECT *, sum(pnl_ticks) OVER w AS cum, count(*) FILTER (pnl_ticks >= 0) OVER w AS wins FROM pairs WINDOW w AS (PARTITION BY wallet ORDER BY exit_ts, exit_id, entry_id ROWS UNBOUNDED PRECEDING)),
-      q AS (SELECT wallet, max(k) AS streak FROM (SELECT wallet, wins, count(*) FILTER (pnl_ticks < 0) AS k FROM c GROUP BY ALL) GROUP BY wallet),
-      one AS (SELECT wallet, mean_pnl FROM curve WHERE delay_ms = 3600000), nw AS (SELECT max(ts) AS now_ts FROM v_trades), lt AS (SELECT wallet, max(ts) AS last FROM v_trades GROUP BY wallet),
-      z AS (SELECT s.wallet, 0.35 * least(greatest(coalesce(one.mean_pnl, 0) / 2, 0), 1)
-        + 0.20 * (0.4 * 4 * greatest(win_rate - 0.5, 0) + 0.3 * greatest(1 - streak / 10, 0) + 0.3 * least(greatest(sharpe / 2, 0), 1))
-        + 0.15 * least(greatest(CASE WHEN isnan(t) THEN 0 ELSE t END / 3, 0), 1) + 0.10 * (0.7 * least(greatest(sharpe / 2, 0), 1) + 0.15) + 0.10 * 0.5 + 0.05 * least(1, n / 30)
-        + 0.05 * CASE WHEN (nw.now_ts - last) / 86400000 >= 30 THEN 0 ELSE exp(-0.693 * ((nw.now_ts - last) / 86400000) / 10) END AS score
-        FROM s JOIN q USING (wallet) JOIN lt USING (wallet) CROSS JOIN nw LEFT JOIN one USING (wallet))
-      SELECT wallet, round(score, 5) + 0.0 AS score, CASE WHEN score >= 0.6 THEN 'follow' WHEN score >= 0.35 THEN 'shadow' WHEN score >= 0.15 THEN 'ignore' ELSE 'fade' END AS recommendation FROM z""",
     "positions": f"""WITH {sql.TRADES}, l AS (SELECT token, arg_max(ticks, event_id) AS mark FROM v_trades GROUP BY token),
       p AS (SELECT wallet, market, token, CAST(sum(size) AS BIGINT) AS size, sum(size * ticks) / sum(size) / 100 AS avg_entry FROM v_trades WHERE side = 'BUY' GROUP BY ALL)
       SELECT wallet, market, p.token, size, round(avg_entry, 6) + 0.0 AS avg_entry, round((mark / 100 - avg_entry) * size - 0.02 * avg_entry * size, 6) + 0.0 AS unrealized FROM p JOIN l ON p.token = l.token""",
