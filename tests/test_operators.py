@@ -58,17 +58,27 @@ def test_t_test(spark):
 
 
 def test_bh(spark):
-    df = spark.createDataFrame(list(enumerate([0.005, 0.009, 0.05, 0.1, 0.5])), "id long, p double")
+    df = spark.createDataFrame(list(enumerate([0.002, 0.012, 0.03, 0.2, 0.9])), "id long, p double")
     got = [r.bh for r in series.adjusted(df, "id", "p").orderBy("id").collect()]
-    assert got == pytest.approx([0.0225, 0.0225, 0.08333, 0.125, 0.5], abs=1e-4)
+    assert got == pytest.approx([0.01, 0.03, 0.05, 0.25, 0.9], abs=1e-4)
 
 
-@pytest.mark.parametrize(("ts", "gap", "want"), [(3000, 120_000, 0.5), (2800, 120_000, 0.5), (2200, 120_000, 0.45), (200_000, 120_000, None), (11_500, 2000, 0.6), (11_500, 1000, None), (2500, 9000, 0.5)])
-def test_nearest(spark, ts, gap, want):
-    points = spark.createDataFrame([("m", 1000, 0.4), ("m", 2000, 0.45), ("m", 3000, 0.5), ("m", 5000, 0.55), ("m", 10000, 0.6)], "k string, ts long, price double")
-    left = spark.createDataFrame([("m", ts)], "k string, ts long")
-    for bucket in (700, 60_000):
-        assert series.asof(left, points, "k", "ts", "price", "nearest", gap, bucket).first().price == want
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+def test_asof_is_the_search(spark, direction):
+    rng = random.Random(4)
+    points = {rng.randrange(5_000): round(rng.random(), 3) for _ in range(40)}
+    asked = [rng.randrange(-500, 6_000) for _ in range(60)] + list(points)[:5]
+
+    def want(ts):
+        ok = {"backward": [t for t in points if t <= ts], "forward": [t for t in points if t >= ts], "nearest": list(points)}[direction]
+        best = min(ok, key=lambda t: (abs(t - ts), -t), default=None)
+        return points[best] if best is not None and abs(best - ts) <= 300 else None
+
+    right = spark.createDataFrame([("m", t, p) for t, p in points.items()], "k string, ts long, price double")
+    left = spark.createDataFrame([("m", i, ts) for i, ts in enumerate(asked)], "k string, i int, ts long")
+    for bucket in (70, 60_000):
+        got = {r.i: r.price for r in series.asof(left, right, "k", "ts", "price", direction, 300, bucket).collect()}
+        assert [got[i] for i in range(len(asked))] == [want(ts) for ts in asked]
 
 
 def test_book(spark):
@@ -86,7 +96,7 @@ def test_text(spark):
 
 
 def test_ledger(spark, tmp_path):
-    (tmp_path / "a.jsonl").write_text('{"seq_num":1,"wall_clock":10,"entry":{"type":"position_opened","data":{"market_id":"m"}}}\nnot json{{{\n\n')
+    (tmp_path / "a.jsonl").write_text('{"seq_num":1,"wall_clock":10,"entry":{"type":"position_opened","data":{"market_id":"m"}}}\n{ no\n\n')
     (tmp_path / "b.jsonl").write_text('{"seq_num":2,"wall_clock":11,"entry":{"type":"position_opened","data":{"market_id":"n"}}}\n{"seq_num":3,"wall_clock":12,"entry":{"type":"position_closed","data":{"market_id":"m"}}}\n')
     (tmp_path / "c.txt").write_text("{}")
     read = ledger.read_ledger(spark, str(tmp_path))
@@ -98,9 +108,9 @@ def test_ledger(spark, tmp_path):
 
 
 def test_raw_trades(spark):
-    lines = spark.createDataFrame([('[{"event_type":"trade","market":"m","asset_id":"9","price":"0.65","size":"100","timestamp":"5"}]',), ("not-valid-json{{{",), ('{"event_type":"book"}',)], "value string")
+    lines = spark.createDataFrame([('[{"event_type":"trade","market":"m","asset_id":"9","price":"0.31","size":"20","timestamp":"5"}]',), ("{ broken",), ('{"event_type":"book"}',)], "value string")
     (r,) = ledger.parse_trades(lines).collect()
-    assert (r.market_id, r.side, r.price, r.notional, r.timestamp) == ("m", "BUY", 0.65, 65.0, 5)
+    assert (r.market_id, r.side, r.price, r.notional, r.timestamp) == ("m", "BUY", 0.31, pytest.approx(6.2), 5)
 
 
 def run(stream, name, mode="append"):
@@ -146,6 +156,57 @@ def test_bootstrap_is_the_sequential_generator():
     assert math.isnan(bootstrap_interval(np.array([]))[0]) and bootstrap_interval(np.array([2.0])) == (2.0, 2.0)
 
 
+def test_bootstrap_in_chunks(spark):
+    import numpy as np
+
+    from tidebook.operators import research
+
+    rng = random.Random(2)
+    rows = [(k, i, round(rng.gauss(0, 3), 4)) for k, n in (("a", 1), ("b", 23), ("c", 150)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i int, v double").repartition(3)
+    got = {r.k: r for r in research.bootstrap(df, "k", ["i"], "v", draws=200, chunk=7, block=30).collect()}
+    for k in "abc":
+        values = np.array([v for x, _, v in rows if x == k])
+        low, high = research.bootstrap_interval(values, draws=200)
+        assert (got[k].n, got[k].low, got[k].high) == (len(values), pytest.approx(low), pytest.approx(high))
+
+
+def test_adjusted_is_the_step_up(spark):
+    rng = random.Random(5)
+    ps = [round(rng.random() ** 3, 3) for _ in range(300)] + [0.0, 1.0, 1.0]
+    got = {r.id: r for r in series.adjusted(spark.createDataFrame(list(enumerate(ps)), "id long, p double").repartition(3), "id", "p").collect()}
+    least, m = 1.0, len(ps)
+    for rank, (p, i) in reversed(list(enumerate(sorted((p, i) for i, p in enumerate(ps)), 1))):
+        least = min(least, p * m / rank)
+        assert got[i].bh == pytest.approx(least) and got[i].bonferroni == pytest.approx(min(1.0, p * m))
+
+
+def test_quantiles_are_those_of_sorted_lists(spark):
+    rng = random.Random(7)
+    rows = [(k, rng.randint(0, 9)) for k in range(5) for _ in range(k * 7 + 1)]
+    got = {r.k: r for r in series.quantiles(spark.createDataFrame(rows, "k int, v int"), ["k"], "v", {"a": (1, 4), "b": (1, 2), "c": (3, 4)}).collect()}
+    for k in range(5):
+        x = sorted(v for q, v in rows if q == k)
+        assert (got[k].a, got[k].b, got[k].c) == (x[len(x) // 4], x[len(x) // 2], x[3 * len(x) // 4])
+
+
+@pytest.mark.parametrize("ticks", [1, 2, 3])
+def test_confirmed_is_the_fold(spark, ticks):
+    rng = random.Random(9)
+    states = [rng.choice("nab") for _ in range(80)]
+    got = [r.current for r in series.confirmed(spark.createDataFrame([(0, i, s) for i, s in enumerate(states)], "k int, i int, s string"), "k", "i", "s", ticks, "n").orderBy("i").collect()]
+    now, candidate, count, want = "n", None, 0, []
+    for s in states:
+        if s == now:
+            candidate, count = None, 0
+        else:
+            candidate, count = s, count + 1 if s == candidate else 1
+            if count >= ticks:
+                now, candidate, count = s, None, 0
+        want.append(now)
+    assert got == want
+
+
 def test_gates(spark):
     from tidebook.operators.research import gates
 

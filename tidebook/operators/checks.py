@@ -40,7 +40,9 @@ def partitions(markets: DataFrame, fee: float = 0.02) -> DataFrame:
     live = markets.where("mid > 0")
     agg = live.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("mid").alias("total"), *(F.sum(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("bid_fill", "ask_fill")), *(F.min(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("bid_size", "ask_size")))
     over = F.col("total") > 1
-    rows = agg.withColumns({"violation": F.abs(F.col("total") - 1), "raw": F.when(over, F.col("bid_fill") - 1).otherwise(1 - F.col("ask_fill")) - fee * F.col("n"), "deep": F.when(over, F.col("bid_size")).otherwise(F.col("ask_size")) >= DEPTH})
+    raw = F.when(over, F.col("bid_fill") - 1).otherwise(1 - F.col("ask_fill")) - fee * F.col("n")
+    # Sums of prices depend on their order in the last digits, the limits should not.
+    rows = agg.withColumns({"violation": F.round(F.abs(F.col("total") - 1), 9), "raw": F.round(raw, 9), "deep": F.when(over, F.col("bid_size")).otherwise(F.col("ask_size")) >= DEPTH})
     rows = rows.where("n >= 2 and violation >= 0.001").withColumn("tradeable", (F.col("raw") > LEAST) & F.col("deep"))
     return rows.select(F.concat(F.lit("exhaustive_partition:"), F.col("cluster").cast("string")).alias("check_id"), F.lit("exhaustive_partition").alias("kind"), "violation", F.greatest("raw", F.lit(0.0)).alias("executable"), "tradeable", F.when(F.col("tradeable"), F.col("raw") * SIZE).otherwise(0.0).alias("profit"))
 
