@@ -694,9 +694,72 @@ def test_pipeline(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_queries_on_the_small_tables(spark):
+COLUMNS = {
+    "op1_url_filter": "page_id host path rule verdict",
+    "op2_pii": "doc_id text n_entities entities",
+    "op3_simhash": "doc_id fingerprint component_id",
+    "op4_substrings": "doc_id n_words n_removed kept_sha256",
+    "op5_packing": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op6_toxicity": "doc_id held_out score predicted",
+    "op7_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
+    "op8_sketch": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    "op9_language_model": "doc_id held_out n_tokens n_known train_tokens base_score score",
+    "op10_quality": "doc_id held_out score predicted",
+}
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_query_on_the_small_tables(spark, name):
     from tidebook.llm.queries import QUERIES
 
-    want = {"op1_url_filter": "page_id", "op7_decontamination": "contaminated", "op8_sketch": "near_next"}
-    for name, column in want.items():
-        assert column in QUERIES[name](spark, "/root/testdata/sf0.001").columns
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES[name](spark, sf).toPandas()
+    assert list(got.columns)[: len(COLUMNS[name].split())] == COLUMNS[name].split()
+    ids = spark.read.parquet(f"{sf}/{'pages' if name.startswith('op1_') else 'documents'}.parquet").toPandas().iloc[:, 0]
+    assert sorted(set(got.iloc[:, 0])) == sorted(ids) and (name == "op5_packing" or len(got) == len(ids))
+    if "held_out" in got:
+        folds, rest = {"op6_toxicity": (3, 1), "op9_language_model": (5, 1), "op10_quality": (5, 0)}[name]
+        assert [zlib.crc32(str(i).encode()) % folds == rest for i in got.doc_id] == list(got.held_out)
+    if "predicted" in got:
+        assert ((got.score >= (0.7 if name == "op6_toxicity" else 0.3)) == (got.predicted == 1)).all()
+    if name == "op3_simhash":
+        assert got.fingerprint.str.fullmatch("[0-9a-f]{16}").all()
+
+
+def test_pipeline_is_the_plain_one(spark, tmp_path):
+    """All stages on a small corpus with null ids, repeated rows and columns named like the operators' own."""
+    import corpus_pipeline
+
+    spark.conf.set(pii.KEY_SETTING, KEY.decode())
+    rng = random.Random(11)
+    rows, good, _ = labelled(80)
+    item = prose(rng, 20)
+    more = [prose(rng, 70) for _ in range(4)]
+    rows += [(None, more[0], "en", "s", 1), (None, more[0], "en", "s", 1), (200, more[0], "en", "s", 1), (201, more[1], "en", "s", 1), (201, more[1], "en", "s", 1), (None, more[2] + " Mail ann@x.org", "en", "s", 1)]
+    rows += [(203, f"{prose(rng, 30)} {item}", "en", "s", 1), (204, None, "en", "s", 0), (205, "", "en", "s", 0), (206, more[3] + " Dr Petrov", "en", "s", 1)]
+    extra = spark.createDataFrame([(*r, "a", 1, 2, 3.0) for r in rows], DOC + ", _row string, row int, part int, score double")
+    extra.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, good[i], 0) for i in good], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    ranking = quality.fit(extra, spark.read.parquet(str(tmp_path / "labels.parquet")), folds=5, left_out=0)
+    keeps = {r.text: r.predicted for r in quality.score(extra, ranking, 0.3, ("text",)).collect()}
+    left = [(i, t) for i, t, *_ in rows if keeps[t]]
+    shingles = lambda t: {tuple(w[k : k + 5]) for w in [(t or "").lower().split()] for k in range(max(len(w) - 4, 1) if w else 0)}
+    sets = [shingles(t) for _, t in left]
+    pairs = [(x, y) for x in range(len(left)) for y in range(x) if sets[x] == sets[y] or 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])]
+    part = groups(pairs, range(len(left)))
+    best: dict = {}
+    for k, (i, _) in enumerate(left):
+        best[part[k]] = min(best.get(part[k], (True, 0, k)), (i is None, i or 0, k))
+    kept = [left[k] for _, _, k in best.values()]
+    clean = [(i, t) for i, t in kept if item not in (t or "")]
+    encode, want = packing.encoder(), []
+    for i, t in clean:
+        want.append((i if i is not None else -1, len(encode(pii.replace(t or "", {}, KEY)[0])) + 1))
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert sorted((int(-1 if d != d else d), int(n)) for d, n in zip(out.doc_id, out.length, strict=True)) == sorted(want)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
