@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidebook.functions import book as B
 from tidebook.functions import stats as S
 from tidebook.functions import text as X
-from tidebook.operators import fifo, series
+from tidebook.operators import fifo, graph, series
 from tidebook.sources import ledger
 from tidebook.streaming import streams
 
@@ -213,3 +213,18 @@ def test_gates(spark):
     rows = [(0.01, 50, 0.5, 0.9, False, 0.1, 0.8, 1.0), (0.2, 50, 0.5, 0.9, False, 0.1, 0.8, 1.0), (0.2, 5, 0.1, 0.9, True, 0.1, 0.8, 1.0)]
     df = spark.createDataFrame(rows, "p double, n long, d double, oos_sharpe double, cliff boolean, sensitivity double, regimes_robust double, pnl_after_costs double")
     assert [r.verdict for r in gates(df).collect()] == ["validated", "marginal", "rejected"]
+
+
+def test_similar_pairs_misses_none(spark):
+    rng = random.Random(8)
+    rare = ["alpha", "bravo", "carol", "delta", "eagle", "fjord", "gamma", "hotel", "india", "jumbo", "karma", "lemon"]
+    rows = [(i, "x", " ".join(["market"] * rng.randint(0, 2) + rng.choices(rare, k=rng.randint(1, 6)))) for i in range(60)] + [(90, "x", ""), (91, "x", "the of")]
+    df = spark.createDataFrame(rows, "id long, category string, question string")
+    words = df.select("id", X.tokens(F.col("question")).alias("w")).where(F.size("w") > 0)
+    both = words.select(F.col("id").alias("a"), F.col("w").alias("wa")).crossJoin(words.select(F.col("id").alias("b"), F.col("w").alias("wb"))).where("a < b and arrays_overlap(wa, wb)")
+    scored = {(x.a, x.b): x.s for x in both.select("a", "b", X.pair_similarity(F.col("wa"), F.col("wb")).alias("s")).collect()}
+    for least in (0.2, 0.35, 0.7):
+        assert {(x.a, x.b) for x in graph.similar_pairs(df, "id", least).collect()} == {k for k, s in scored.items() if s >= least}
+    long = [(i, "x", f"market {' '.join(w * 2 for w in rare)} {'abcdefgh'[i] * 3}") for i in range(8)] + [(20 + i, "y", "market " + " ".join(rng.sample(rare, 3))) for i in range(20)]
+    told = graph._telling_words(spark.createDataFrame(long, "id long, category string, question string").withColumn("words", X.tokens(F.col("question"))), 0.35)
+    assert told.where("word = 'market'").count() == 0

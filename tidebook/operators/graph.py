@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 
+def _telling_words(rows: DataFrame, least: float) -> DataFrame:
+    """id, word: of each question the words, rarest first, of which one must be the rarest that it shares with a question as alike as `least`.
+
+    If all shared words lie among those from a place on, the Jaccard index is at most their share of the words, and the
+    cosine at most what it would be with all of them shared (Cauchy-Schwarz). Words from where both give less than `least`
+    need not be met on. These are the most common ones.
+    """
+    own, shared = math.log(2) ** 2, math.log(5 / 3) ** 2
+    each = rows.select("id", F.size("words").alias("n"), F.explode("words").alias("word")).groupBy("id", "n", "word").agg(F.count("*").alias("k"))
+    df = each.groupBy("word").agg(F.count("*").alias("df"))
+    part = each.join(df, "word").select("id", F.struct("df", "word", F.pow(F.col("k") / F.col("n"), 2).alias("w2")).alias("x"))
+    sorted_ = part.groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("x")).withColumn("n", F.size("x"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x["w2"])
+
+    def bound(i: Column) -> Column:
+        rest = total(F.slice("x", i + 1, F.col("n"))) * shared
+        return 0.4 * (F.col("n") - i) / F.col("n") + 0.6 * F.sqrt(rest / (rest + total(F.slice("x", F.lit(1), i)) * own))
+
+    kept = F.filter("x", lambda x, i: bound(i) >= least - 1e-9)
+    return sorted_.select("id", F.explode(F.transform(kept, lambda x: x["word"])).alias("word"))
+
+
 def similar_pairs(markets: DataFrame, id_: str, least: float = 0.35) -> DataFrame:
     """a, b (a < b), shared, similarity of questions that share a word and are at least so alike.
 
-    Questions are those of a market dimension, so their number is that of markets; pairs meet on words that are no
-    stop words.
+    Pairs meet on the words of `_telling_words`, so a word that many questions share seldom pairs them all.
     """
     rows = markets.select(F.col(id_).alias("id"), "category", X.tokens(F.col("question")).alias("words")).where(F.size("words") > 0)
-    each = rows.select("id", F.explode(F.array_distinct("words")).alias("word"))
+    each = _telling_words(rows, least)
     found = each.select(F.col("id").alias("a"), "word").join(each.select(F.col("id").alias("b"), "word"), "word").where("a < b").select("a", "b").distinct()
     both = found.join(rows.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.col("category").alias("ca")), "a").join(rows.select(F.col("id").alias("b"), F.col("words").alias("wb"), F.col("category").alias("cb")), "b")
     shared = F.size(F.filter("wa", lambda w: F.array_contains(F.col("wb"), w))) / F.size("wa")
