@@ -559,6 +559,66 @@ def test_long_texts_go_piece_by_piece():
     assert net.logits(ids, first, piece=11) == pytest.approx(net.logits(ids, first), rel=1e-5)
 
 
+
+def test_training_takes_no_more_than_its_bounds(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 10 + i % 7 * 30), "en", "s", 0) for i in range(200)] + [(7, prose(rng, 5), "en", "s", 0)] * 300
+    docs, labels = frame(spark, rows), spark.createDataFrame([(i, i % 2, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    taken = {}
+
+    def train(ids, first, toxic):
+        taken["words"], taken["rows"] = len(ids), len(toxic)
+        return toxicity.Net.new(3)
+
+    monkeypatch.setattr(toxicity, "train", train)
+    toxicity.fit(docs, labels)
+    free = dict(taken)
+    toxicity.fit(docs, labels, words=3000)
+    assert 0 < taken["words"] <= 3000 < free["words"]
+    toxicity.fit(docs, labels, most=20)
+    assert taken["rows"] == 40
+    assert quality.labelled_sample(docs, labels, "toxic", 3, 1, 20).count() == 40
+
+
+def plain_logits(net, ids):
+    """The net on one text, word by word."""
+    pad = max(toxicity.WIDTHS) - 1
+    x = [np.zeros(toxicity.HASHES * toxicity.DIM) for _ in range(pad)]
+    x = [np.concatenate([net.embedding[e][row[e]] for e in range(toxicity.HASHES)]).astype(float) for row in ids] + [*x, x[0]]
+    pooled = []
+    for k, width in enumerate(toxicity.WIDTHS):
+        own = slice(k * toxicity.FILTERS, (k + 1) * toxicity.FILTERS)
+        answers = [sum(x[i + j] @ net.filters[k][j] for j in range(width)) for i in range(len(x) - width + 1)]
+        pooled.append(np.maximum(np.max(answers, axis=0) + net.bias[own], 0))
+    return float(np.concatenate(pooled) @ net.out + net.out_bias)
+
+
+def test_forward_pass_is_the_plain_one():
+    net, rng = toxicity.Net.new(4), np.random.default_rng(2)
+    net.bias[:] = rng.normal(0, 0.1, net.bias.shape)
+    net.out[:] = rng.normal(0, 1, net.out.shape)
+    for e in net.embedding:
+        e[:] = rng.normal(0, 1, e.shape)
+    ids, first = rng.integers(0, toxicity.BUCKETS, (40, toxicity.HASHES)).astype(np.int32), np.array([0, 0, 1, 3, 12, 40])
+    want = [plain_logits(net, ids[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert net.logits(ids, first) == pytest.approx(want, abs=1e-3)
+
+
+def test_threshold_has_the_best_f1():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        z = np.round(rng.normal(0, 1, 30), 1)
+        toxic = z + rng.normal(0, 1, 30) > 0.5
+        if not toxic.any():
+            continue
+
+        def f1(cut, z=z, toxic=toxic):
+            said = z > cut
+            return 2 * (said & toxic).sum() / (said.sum() + toxic.sum())
+
+        assert f1(toxicity.threshold(z, toxic)) == pytest.approx(max(f1(c) for c in [*np.unique(z) - 0.05, z.max() + 1]))
+
+
 def test_classifiers_without_labels(spark):
     docs, none = frame(spark, corpus()[:5]), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.predicted for r in quality.score(docs, quality.fit(docs, none)).collect()} == {1}

@@ -242,118 +242,6 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 3, left_out: int =
     return train(np.frombuffer(b"".join(blobs), np.int32).reshape(-1, HASHES), first, np.asarray(rows["label"]) == 1)
 
 
-def score(self, ids: np.ndarray, first: np.ndarray, cut: float) -> np.ndarray:
-        z = self.logits(ids, first) - self.thresholds[languages(ids, first)] + np.log(cut / (1 - cut))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def _select(ids: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = np.diff(first)[rows]
-    begin = np.concatenate([[0], np.cumsum(size)])
-    return ids[np.repeat(first[rows] - begin[:-1], size) + np.arange(begin[-1])], begin
-
-
-def gradients(net: Net, ids: np.ndarray, first: np.ndarray, d: Callable[[np.ndarray], np.ndarray]) -> tuple[list, list[np.ndarray], float]:
-    """Of a loss whose derivative by the texts' logits is d(logits): (rows, derivatives) of each embedding, derivatives of
-    filters, bias and out, and that of the output's bias. Only a filter's largest response in a text has a part."""
-    z, pooled, x, r = net.forward(ids, first)
-    d = d(z).astype(x.dtype)
-    pad = max(WIDTHS) - 1
-    starts = first + np.arange(len(first)) * (pad + 1)
-    best = np.stack([starts[i] + r[starts[i] : starts[i + 1]].argmax(0) for i in range(len(first) - 1)])
-    g = (d[:, None] * net.out) * (pooled > 0)
-    grads: list[np.ndarray] = [np.zeros_like(f) for f in net.filters]
-    dx_at, dx = [], []
-    for k, w in enumerate(WIDTHS):
-        own = slice(k * FILTERS, (k + 1) * FILTERS)
-        gk, at = g[:, own], best[:, own]
-        for j in range(w):
-            grads[k][j] = np.einsum("df,dfe->ef", gk, x[at + j])
-            dx_at.append((at + j).ravel())
-            dx.append((gk[:, :, None] * net.filters[k][j].T[None]).reshape(-1, HASHES * DIM))
-    where, dx_all = np.concatenate(dx_at), np.concatenate(dx)
-    real = np.full(len(x), -1)
-    real[np.arange(len(ids)) + W.owners(first) * (pad + 1)] = np.arange(len(ids))
-    source = real[where]
-    live = (source >= 0) & np.abs(dx_all).any(1)
-    source, dx_all = source[live], dx_all[live]
-    embedded = []
-    for e in range(HASHES):
-        unique, inverse = np.unique(ids[source, e], return_inverse=True)
-        total = np.zeros((len(unique), DIM), x.dtype)
-        np.add.at(total, inverse, dx_all[:, e * DIM : (e + 1) * DIM])
-        embedded.append((unique, total))
-    return embedded, [*grads, g.sum(0), d @ pooled], float(d.sum())
-
-
-def train(ids: np.ndarray, first: np.ndarray, toxic: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.08, drop: float = 0.5, seed: int = 5) -> Net:
-    """Adagrad on the logistic loss; a fifth of the rows only sets the thresholds."""
-    net, n = Net.new(seed), len(toxic)
-    if not n or toxic.all() or not toxic.any():
-        net.out[:] = 0
-        net.thresholds[:] = 1.0
-        return net
-    rng = np.random.default_rng(seed)
-    order = rng.permutation(n)
-    aside, learn = order[: n // 5], order[n // 5 :]
-    params = [*net.filters, net.bias, net.out]
-    seen, seen_rows, seen_bias = [np.full(p.shape, 1e-3, np.float32) for p in params], [np.full(BUCKETS, 1e-3, np.float32) for _ in range(HASHES)], 1e-3
-    weight = np.where(toxic, 0.5 / max(toxic[learn].mean(), 1e-3), 0.5 / max(1 - toxic[learn].mean(), 1e-3))
-    for _ in range(epochs):
-        for rows in np.array_split(rng.permutation(learn), max(1, len(learn) // batch)):
-            part, begin = _select(ids, first, rows)
-            # Words left out at random: the rest must do, so the net learns every sign there is.
-            stay = rng.random(len(part)) >= drop
-            begin = np.concatenate([[0], np.cumsum(W.sums(stay, begin))])
-            loss = lambda z, rows=rows: (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[rows]) * weight[rows] / len(rows)
-            embedded, grads, bias = gradients(net, part[stay], begin, loss)
-            for e, s, (unique, total) in zip(net.embedding, seen_rows, embedded, strict=True):
-                s[unique] += (total**2).mean(1)
-                e[unique] -= rate * total / np.sqrt(s[unique])[:, None]
-            for p, s, gradient in zip(params, seen, grads, strict=True):
-                s += gradient**2
-                p -= rate * gradient / np.sqrt(s)
-            seen_bias += bias**2
-            net.out_bias -= rate * bias / np.sqrt(seen_bias)
-    calibrate(net, *_select(ids, first, aside), toxic[aside])
-    return net
-
-
-def threshold(z: np.ndarray, toxic: np.ndarray) -> float:
-    """The cut with the best F1, in the middle of the gap that it lies in."""
-    order = np.argsort(-z, kind="stable")
-    s, hit = z[order], np.cumsum(toxic[order])
-    f1 = 2 * hit / (np.arange(1, len(s) + 1) + toxic.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1
-    i = int(np.argmax(f1))
-    return float((s[i] + s[i + 1]) / 2) if i + 1 < len(s) else float(s[i] - 1)
-
-
-def calibrate(net: Net, ids: np.ndarray, first: np.ndarray, toxic: np.ndarray, least: int = 10, trust: int = 60) -> None:
-    """A language's own threshold, drawn towards that of all rows as if that rested on `trust` toxic rows more."""
-    z, language = net.logits(ids, first), languages(ids, first)
-    net.thresholds[:] = threshold(z, toxic) if toxic.any() and not toxic.all() else 0.0
-    for k in range(len(LANGUAGES)):
-        own = language == k
-        n = toxic[own].sum()
-        if n >= least and (~toxic[own]).sum() >= least:
-            net.thresholds[k] = (n * threshold(z[own], toxic[own]) + trust * net.thresholds[-1]) / (n + trust)
-
-
-def fit(documents: DataFrame, labels: DataFrame, folds: int = 3, left_out: int = 1, most: int = SAMPLE) -> Net:
-    sample = labelled_sample(documents, labels, "toxic", folds, left_out, most)
-
-    def run(batches):
-        for part in W.chunks(batches):
-            ids, first = word_ids(*W.buffer(part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["doc_id", "label", "ids"])
-
-    rows = sample.mapInArrow(run, "doc_id long, label int, ids binary").toArrow().sort_by("doc_id")
-    blobs = rows["ids"].to_pylist()
-    first = np.concatenate([[0], np.cumsum([len(b) // (4 * HASHES) for b in blobs])]).astype(np.int64)
-    return train(np.frombuffer(b"".join(blobs), np.int32).reshape(-1, HASHES), first, np.asarray(rows["label"]) == 1)
-
-
 def score(documents: DataFrame, net: Net, cut: float = 0.7, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep with score and predicted (1 if score >= cut) of each whole text."""
     schema = documents.select(*keep).withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
