@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_model, packing, pii, quality, simhash, sketch, substrings, toxicity, urls
+from . import chat, decontaminate, fim, language_model, packing, pii, quality, simhash, sketch, substrings, toxicity, urls, whitening
 from .tables import configure, fold, table
 
 
@@ -107,7 +107,46 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained, identity_error."""
+    configure(spark)
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, state, first_bad."""
+    configure(spark)
+    said = "\\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    done = chat.formatted(rows).withColumn("formatted", chat.joined(F.col("segments"))).withColumn("loss", chat.loss_text(F.col("segments")))
+    done = done.withColumn("turns", chat.turns_of(F.col("formatted")))
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(spoken.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "state",
+        "first_bad",
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256."""
+    configure(spark)
+    done = fim.transform(table(spark, sf_dir, "documents"))
+    rebuilt = fim.restored(F.col("output"), F.col("form"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(rebuilt).alias("restored_sha256"))
+
+
 QUERIES = {
+    "op11_whitening": op11_whitening,
+    "op12_chat": op12_chat,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "op9_language_model": op9_language_model,
     "op8_sketch": op8_sketch,
     "op1_url_filter": op1_url_filter,
@@ -121,6 +160,29 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_chat": r"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS s FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+marked AS (SELECT *, CASE role WHEN 'system' THEN '### System: ' WHEN 'user' THEN '### User: ' WHEN 'assistant' THEN '### Assistant: ' ELSE '### [' || coalesce(upper(hex(role)), '-') || ']: ' END AS mark,
+  regexp_replace(s, '(### System: |### User: |### Assistant: |### \[|</turn>)', '\\\1', 'g') AS held,
+  CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END AS letter FROM t),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(coalesce(role, '') || chr(10) || s || chr(10), '' ORDER BY turn, role, held) AS spoken,
+  coalesce(string_agg(s, '' ORDER BY turn, role, held) FILTER (role = 'assistant'), '') AS loss, sum(length(mark) + length(held) + 9) AS chars,
+  string_agg(letter, '' ORDER BY turn, role, held) AS letters FROM marked GROUP BY conv_id),
+m AS (SELECT *, length(regexp_extract(letters, '^s?(ua)*u?')) AS fine FROM c)
+SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars,
+  CASE WHEN fine < n_turns THEN 'broken' WHEN letters LIKE '%u' THEN 'asked' WHEN letters LIKE '%a' THEN 'answered' ELSE 'ready' END AS state,
+  CASE WHEN fine < n_turns THEN CAST(fine AS BIGINT) END AS first_bad
+FROM m""",
+    "op13_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT *, CAST(len(l) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+p AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM k),
+f AS (SELECT *, array_to_string(l[1:a], '') AS pre, array_to_string(l[a + 1:b], '') AS mid, array_to_string(l[b + 1:], '') AS suf,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM f""",
     "op4_substrings": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 win AS (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS s FROM d, unnest(range(1, len(w) - 18)) AS t(p)),
