@@ -51,14 +51,14 @@ def _has(words: Column, some: list[str]) -> Column:
     return F.arrays_overlap(words, F.array(*map(F.lit, some)))
 
 
-def pair_checks(markets: DataFrame, pairs: DataFrame, fee: float = 0.02) -> DataFrame:
-    """check_id, kind, high, low (markets), violation, executable, tradeable, profit of pairs (a, b) whose prices contradict their questions.
+def pair_kinds(markets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """check_id, kind, high, low (markets) of the pairs (a, b) whose questions bind their prices: `high` may not cost more than `low`.
 
     A question with an earlier date may not cost more than one with a later date (subset_superset; temporal, within a
-    category, counts words as often as they occur), nor what has a prerequisite more than that (conditional). `high` is sold,
-    `low` bought. markets: market, question, category and the columns of `quotes`. Pairs come from a graph of markets.
+    category, counts words as often as they occur), nor what has a prerequisite more than that (conditional).
+    markets: market, question, category. Pairs come from a graph of markets.
     """
-    each = markets.withColumns({"words": X.tokens(F.col("question")), "place": X.temporal_order(F.col("question"))})
+    each = markets.select("market", "category", X.tokens(F.col("question")).alias("words"), X.temporal_order(F.col("question")).alias("place"))
     side = lambda s: each.select(*(F.col(c).alias(f"{s}_{c}") for c in each.columns))
     rows = pairs.select(F.col("a").alias("a_market"), F.col("b").alias("b_market")).join(side("a"), "a_market").join(side("b"), "b_market")
     wa, wb = F.array_distinct("a_words"), F.array_distinct("b_words")
@@ -80,17 +80,25 @@ def pair_checks(markets: DataFrame, pairs: DataFrame, fee: float = 0.02) -> Data
     ]
     # What may not cost more: the earlier question, or the outcome.
     found = F.filter(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(kind).alias("kind"), a_high.alias("a_high"))) for kind, test, a_high in kinds)), lambda x: x.isNotNull())
-    rows = rows.withColumn("x", F.explode(found)).withColumns({"kind": F.col("x.kind"), "a_high": F.col("x.a_high")})
-    pick = lambda c, high: F.when(F.col("a_high") == F.lit(high), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
-    rows = rows.select("kind", *(pick(c, True).alias(f"h_{c}") for c in ("market", "mid", "bid", "bid_size", "bid_fill")), *(pick(c, False).alias(f"l_{c}") for c in ("market", "mid", "ask", "ask_size", "ask_fill")))
-    rows = rows.where("h_mid > 0 and l_mid > 0 and h_mid > l_mid")
+    rows = rows.withColumn("x", F.explode(found))
+    high, low = (F.when(F.col("x.a_high") == v, F.col("a_market")).otherwise(F.col("b_market")) for v in (F.lit(True), F.lit(False)))
+    return rows.select(check_id(F.col("x.kind"), [high, low]).alias("check_id"), "x.kind", high.alias("high"), low.alias("low"))
+
+
+def priced(kinds: DataFrame, quotes: DataFrame, fee: float = 0.02) -> DataFrame:
+    """check_id, kind, high, low, violation, executable, tradeable, profit of the checks (as `pair_kinds` gives them) that prices contradict.
+
+    `high` is sold, `low` bought. quotes: market and the columns of `quotes`.
+    """
+    side = lambda s, end: quotes.select(F.col("market").alias(end), *(F.col(c).alias(f"{s}_{c}") for c in ("mid", "bid_size", "bid_fill", "ask_size", "ask_fill")))
+    rows = kinds.join(side("h", "high"), "high").join(side("l", "low"), "low").where("h_mid > 0 and l_mid > 0 and h_mid > l_mid")
     raw = F.col("h_bid_fill") - F.col("l_ask_fill") - 2 * fee  # null without quotes on both sides
     rows = rows.withColumns({"raw": raw, "tradeable": F.coalesce((raw > LEAST) & (F.col("h_bid_size") >= DEPTH) & (F.col("l_ask_size") >= DEPTH), F.lit(False))})
     return rows.select(
-        check_id(F.col("kind"), [F.col("h_market"), F.col("l_market")]).alias("check_id"),
+        "check_id",
         "kind",
-        F.col("h_market").alias("high"),
-        F.col("l_market").alias("low"),
+        "high",
+        "low",
         (F.col("h_mid") - F.col("l_mid")).alias("violation"),
         F.greatest(F.coalesce("raw", F.lit(0.0)), F.lit(0.0)).alias("executable"),
         "tradeable",
@@ -98,6 +106,22 @@ def pair_checks(markets: DataFrame, pairs: DataFrame, fee: float = 0.02) -> Data
     )
 
 
+def pair_checks(markets: DataFrame, pairs: DataFrame, fee: float = 0.02) -> DataFrame:
+    """The checks of pairs (a, b) that prices contradict. markets: market, question, category and the columns of `quotes`."""
+    return priced(pair_kinds(markets, pairs), markets, fee)
+
+
+def sightings(kinds: DataFrame, prices: DataFrame, fee: float = 0.02) -> DataFrame:
+    """check_id, high, low, ts, magnitude, tradeable (by the middle prices, after fees) of the checks that are contradicted at a tick.
+
+    prices: market, ts, mid: the price of each market at each tick.
+    """
+    side = lambda c, end: prices.select(F.col("market").alias(end), "ts", F.col("mid").alias(c))
+    rows = kinds.join(side("h", "high"), "high").join(side("l", "low"), ["low", "ts"]).where("h > 0 and l > 0 and h > l")
+    gap = F.col("h") - F.col("l")
+    return rows.select("check_id", "high", "low", "ts", gap.alias("magnitude"), (gap - 2 * fee > LEAST).alias("tradeable"))
+
+
 def report(checks: DataFrame) -> DataFrame:
     """kind (null: all), n, tradeable, profit."""
     return checks.rollup("kind").agg(F.count("*").alias("n"), F.count_if("tradeable").alias("tradeable"), F.sum("profit").alias("profit"))

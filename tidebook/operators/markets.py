@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import book as B
 from ..functions import stats as S
+from ..sources.shared import settled
+from . import chains, series
 
 
 def book_metrics(books: DataFrame) -> DataFrame:
@@ -37,17 +39,15 @@ def sweeps(books: DataFrame, size: float) -> DataFrame:
 
 
 def features(trades: DataFrame, hour: int = 3_600_000) -> DataFrame:
-    """One row a market: rate, dispersion, concentration, dominant wallet, bot ratio and update interval, as of the last trade of all."""
+    """One row a market: rate, dispersion, concentration, dominant wallet and bot ratio, as of the last trade of all."""
     now = trades.agg(F.max("ts").alias("now"))
-    w = W.partitionBy("market").orderBy("ts", "event_id")
-    gap = F.col("ts") - F.lag("ts").over(w)
-    rows = trades.withColumn("gap", F.when(gap > 0, gap)).join(F.broadcast(now))
+    gap = F.col("ts") - F.col("_was")
+    rows = series.lagged(trades, ["market"], ["ts", "event_id"], {"_was": "ts"}).withColumn("gap", F.when(gap > 0, gap)).join(F.broadcast(now))
     whole = (F.abs(F.col("size") - F.round("size")) < 0.01).cast("double")
     base = rows.groupBy("market").agg(
         F.count("*").alias("n"),
         (F.count_if(F.col("ts") > F.col("now") - hour) / 60).alias("rate"),
         F.coalesce(F.var_pop("gap") / F.avg("gap"), F.lit(0.0)).alias("dispersion"),
-        F.coalesce(F.avg("gap"), F.lit(60_000.0)).alias("update_ms"),
         F.avg((F.col("gap") < 1000).cast("double")).alias("quick"),
         F.avg(whole).alias("round"),
         F.count("gap").alias("gaps"),
@@ -66,6 +66,36 @@ def features(trades: DataFrame, hour: int = 3_600_000) -> DataFrame:
     return base.withColumn("bots", bots).join(who, "market").drop("quick", "round", "regular", "gaps")
 
 
+#: Fixed value: observations that a market keeps of each kind.
+KEPT = 1000
+
+
+def observed(books: DataFrame, now: int, fee: float = 0.02, hour: int = 3_600_000) -> DataFrame:
+    """market, spread_bps (mean of the last spreads over 0; null: none), update_ms (mean time between books whose best three levels differ
+    from those before; a minute if unknown) and gap_half_life_ms (median time between books at which the outcomes' middle prices are
+    off 1 by more than two fees; null for fewer than three), over a market's last observations of each kind, and gaps_1h, how many of
+    these gaps are less than an hour old.
+
+    books: market, outcome (0 or 1), ts, event_id, bids, asks, mid, spread_bps: the book of one outcome after each message.
+    """
+    by, order, books = ["market"], ["ts", "event_id"], settled(books)
+    spread = series.buffered(books.where("spread_bps > 0"), by, order, KEPT).groupBy("market").agg(F.avg("spread_bps").alias("spread_bps"))
+    top = F.struct(F.slice("bids", 1, 3).alias("b"), F.slice("asks", 1, 3).alias("a"))
+    rows = series.lagged(books.withColumn("top", top), by, order, {"was": "top"}).where(F.col("was").isNull() | (F.col("was") != F.col("top")))
+    changed = series.buffered(rows.select("market", *order), by, order, KEPT)
+    update = changed.groupBy("market").agg(F.when(F.count("*") >= 2, (F.max("ts") - F.min("ts")) / (F.count("*") - 1)).otherwise(60_000.0).alias("update_ms"))
+    mids = books.select("market", *order, "outcome", "mid")
+    for k in (0, 1):
+        mids = series.carried(mids, by, order, F.when(F.col("outcome") == k, F.col("mid")), f"mid{k}", inclusive=True)
+    gaps = series.buffered(mids.where(F.abs(F.col("mid0") + F.col("mid1") - 1) > 2 * fee), by, order, KEPT)
+    between = settled(series.lagged(gaps, by, order, {"was": "ts"}).withColumn("gap", F.col("ts") - F.col("was")))
+    counts = between.groupBy("market").agg(F.count("*").alias("k"), F.count_if(F.col("ts") > now - hour).alias("gaps_1h"))
+    enough = counts.where("k >= 3").select("market")
+    half = series.quantiles(between, by, "gap", {"gap_half_life_ms": (1, 2)}).join(enough, "market").withColumn("gap_half_life_ms", F.col("gap_half_life_ms").cast("double"))
+    rows = books.select("market").distinct().join(spread, "market", "left").join(update, "market", "left").join(half, "market", "left").join(counts.drop("k"), "market", "left")
+    return rows.withColumn("gaps_1h", F.coalesce("gaps_1h", F.lit(0)))
+
+
 def _steps(*rules: tuple[Column, Column]) -> Column:
     """1 for each first condition that holds, else one half if the second does, averaged."""
     total = F.lit(0.0)
@@ -92,32 +122,39 @@ def classify(f: DataFrame) -> DataFrame:
     return rows.withColumns({"type": kind.cast("long"), "confidence": confidence, "efficiency": efficiency})
 
 
-def viable(rows: DataFrame) -> DataFrame:
-    """rows with strategies: the names that fit the market's type and figures, in order of the type's list."""
-    rt, sp, u, b, k = F.col("rate"), F.col("spread_bps"), F.col("update_ms"), F.col("bots"), F.col("type")
+def viable(rows: DataFrame, latency_ms: float = 1_000.0) -> DataFrame:
+    """rows with strategies: the names that fit the market's type and figures, in one order for all.
+
+    rows: as `classify`, with gaps_1h, the outcomes' gaps of the last hour (see `observed`).
+    """
+    rt, sp, u, b, k, g = F.col("rate"), F.col("spread_bps"), F.col("update_ms"), F.col("bots"), F.col("type"), F.col("gap_half_life_ms")
     on = lambda name, test: F.when(test, F.lit(name))
-    gaps = F.col("gap_half_life_ms").isNull()
+    lasting = F.when(k == 3, F.coalesce(g > 2 * latency_ms, F.lit(False))).otherwise(F.coalesce(g > 2 * latency_ms, F.lit(True)))
     names = F.array(
         on("book_imbalance", ((k == 2) & (rt >= 5) | (k == 3)) & (rt > 5) & (u < 5_000) & (sp < 500)),
         on("microprice_dislocation", (k == 2) & (rt > 10) & (sp < 200) & (u < 2_000)),
         on("wallet_follow", k.isin(1, 2)),
         on("large_trade_reaction", (k == 2) | (k == 3) & (rt > 3)),
-        on("complement_arb", k.isin(1, 2) & gaps & (rt > 0.5)),
+        on("complement_arb", (F.col("gaps_1h") > 0.5) & lasting),
         on("cross_market_consistency", k.isin(1, 2)),
         on("stale_book", k.isin(1, 2)),
+        on("resolution_convergence", k == 1),
+        on("new_market_listing", k == 1),
         on("cascade_detection", k.isin(1, 2) & (b < 0.7)),
     )
     return rows.withColumn("strategies", F.filter(names, lambda x: x.isNotNull()))
 
 
 def edge_map(rows: DataFrame, capital: float) -> DataFrame:
-    """market, edge, allocation for markets with a viable strategy: by squared inefficiency, 90 % of the capital in all, 10 % at most for one."""
+    """market, edge, allocation for markets with a viable strategy: by squared inefficiency, 90 % of the capital in all, 10 % at most for one; and
+    label, one for all: trade_actively if a market's confidence is over one half, else trade_selectively."""
     n = F.size("strategies")
     w = F.pow(1 - F.col("efficiency"), 2) * S.clamp(n / 2, 0.1, 1.0)
-    live = rows.where(n > 0).withColumn("weight", w)
-    total = live.agg(F.sum("weight").alias("total"))
+    live = settled(rows.where(n > 0).withColumn("weight", w))
+    total = live.agg(F.sum("weight").alias("total"), F.max(F.col("confidence") > 0.5).alias("sure"))
     share = F.when(F.col("total") > 0, F.least(F.col("weight") / F.col("total") * capital * 0.9, F.lit(capital * 0.1))).otherwise(0.0)
-    return live.join(F.broadcast(total)).select("market", ((1 - F.col("efficiency")) * 0.05).alias("edge"), share.alias("allocation"))
+    label = F.when(F.col("sure"), "trade_actively").otherwise("trade_selectively")
+    return live.join(F.broadcast(total)).select("market", ((1 - F.col("efficiency")) * 0.05).alias("edge"), share.alias("allocation"), label.alias("label"))
 
 
 def regime_ticks(events: DataFrame, tick_ms: int = 3_600_000, window: int = 120, least: int = 10) -> DataFrame:
@@ -149,8 +186,7 @@ def regime(volume_z: Column, wallet_z: Column, spread_z: Column, resolutions: Co
 
 def large_trades(trades: DataFrame, sigma: float = 2.0, last: int = 500, least: int = 10) -> DataFrame:
     """trades with z of their size among the market's last ones, itself included, where it is at least sigma."""
-    frame = W.partitionBy("market").orderBy("ts", "event_id").rowsBetween(-(last - 1), 0)
-    rows = trades.withColumns({"k": F.count("*").over(frame), "z": S.z_score(F.col("size"), F.avg("size").over(frame), F.stddev_samp("size").over(frame))})
+    rows = series.framed(trades, ["market"], ["ts", "event_id"], last, lambda f: {"k": F.count("*").over(f), "z": S.z_score(F.col("size"), F.avg("size").over(f), F.stddev_samp("size").over(f))})
     return rows.where((F.col("k") >= least) & (F.col("z") >= sigma)).drop("k")
 
 
@@ -181,23 +217,23 @@ def viability(signals: DataFrame, fee: float = 0.02) -> DataFrame:
     return each.groupBy("strategy", "delay_s").agg(F.count("*").alias("signals"), F.count_if(ok).alias("viable"))
 
 
-def signal_filter(signals: DataFrame, min_ev: float = 0.02, max_size: float = 40.0, repeat_ms: int = 5_000) -> DataFrame:
+def signal_filter(signals: DataFrame, min_ev: float = 0.02, max_size: float = 40.0, repeat_ms: int = 5_000, ci: float = -0.10) -> DataFrame:
     """signals with filter: the first test that a signal fails, NULL if it passes all.
 
-    signals: strategy, market, side, ts, event_id, ev, strength, size, target. A repeat is a signal of the same strategy,
-    market and side within repeat_ms of the one before.
+    signals: strategy, market, side, ts, event_id, ev, strength, size, target, and, where known, max_price, ci_low, active
+    (the market's), assumed and regime. A duplicate is a signal of the same strategy, market and side within repeat_ms of
+    the last one that passed; those that fail a test, this one included, do not begin that time anew.
     """
-    last = F.lag("ts").over(W.partitionBy("strategy", "market", "side").orderBy("ts", "event_id"))
-    rows = signals.withColumn("last", last)
-    test = (
-        F.when(F.col("ev") < min_ev, "min_ev")
-        .when((F.col("strength") <= 0) | (F.col("strength") > 1), "strength")
-        .when(F.col("size") <= 0, "size")
-        .when(F.col("size") > max_size, "max_size")
-        .when(F.col("ts") - F.col("last") < repeat_ms, "duplicate")
-        .when((F.col("target") <= 0) | (F.col("target") >= 1), "target")
-    )
-    return rows.withColumn("filter", test).drop("last")
+    has = lambda c: F.col(c) if c in signals.columns else None
+    off = lambda c: (F.col(c) <= 0) | (F.col(c) >= 1)
+    before = [("min_ev", F.col("ev") < min_ev), ("strength", (F.col("strength") <= 0) | (F.col("strength") > 1)), ("size", F.col("size") <= 0), ("max_size", F.col("size") > max_size)]
+    after = [("regime", (F.col("assumed") != "") & (F.col("assumed") != F.col("regime"))) if has("assumed") is not None else None, ("ci_low", F.col("ci_low") < ci) if has("ci_low") is not None else None, ("inactive", ~F.col("active")) if has("active") is not None else None, ("target", off("target")), ("target", off("max_price")) if has("max_price") is not None else None]
+    after = [x for x in after if x]
+    fails = lambda tests: F.coalesce(*(F.when(test, F.lit(name)) for name, test in tests), F.lit(None).cast("string"))
+    rows = signals.withColumns({"_before": fails(before), "_after": fails(after)})
+    rows = chains.suppressed(rows, ["strategy", "market", "side"], "ts", "event_id", repeat_ms, F.col("_before").isNull() & F.col("_after").isNull())
+    again = F.when(F.col("ts") - F.col("last_kept") < repeat_ms, "duplicate")
+    return rows.withColumn("filter", F.coalesce("_before", again, "_after")).drop("_before", "_after", "kept", "last_kept")
 
 
 def executed(orders: DataFrame, books: DataFrame, fee: float = 0.02) -> DataFrame:

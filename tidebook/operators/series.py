@@ -7,19 +7,97 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..sources.shared import settled
+
+HOUR = 3_600_000
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], bucket: int, name: str) -> DataFrame:
+    """df with name: a row's place in its key's order, from 0. The first of `order` is a number that cuts the line into buckets.
+
+    Rows are numbered within a bucket; what precedes a bucket is a sum over its key's buckets, one row each. So no key is
+    sorted as a whole.
+    """
+    rows = settled(df).withColumn("_span", F.floor(F.col(order[0]) / bucket))
+    before = F.sum("_n").over(W.partitionBy(*by).orderBy("_span").rowsBetween(W.unboundedPreceding, -1))
+    sizes = rows.groupBy(*by, "_span").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    rows = rows.join(sizes, [*by, "_span"]).withColumn(name, F.col("_before") + F.row_number().over(W.partitionBy(*by, "_span").orderBy(*order)) - 1)
+    return rows.drop("_span", "_before")
+
+
+def blocks(df: DataFrame, by: list[str], order: list[str], reach: int, bucket: int = HOUR, rows: int = 100_000) -> DataFrame:
+    """df with _block and _own: a window over (by, _block) in this order sees, for rows with _own, the `reach` rows before.
+
+    A block is so many rows of a key; the last `reach` of a block stand before the next one's again, with _own false.
+    """
+    rows = max(rows, reach)
+    each = numbered(df, by, order, bucket, "_at").withColumn("_block", F.floor(F.col("_at") / rows))
+    tail = (F.col("_at") % rows >= rows - reach).cast("boolean")
+    again = F.explode(F.when(tail, F.array(F.struct(F.col("_block").alias("b"), F.lit(True).alias("own")), F.struct((F.col("_block") + 1).alias("b"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("_block").alias("b"), F.lit(True).alias("own")))))
+    return each.withColumn("_x", again).withColumns({"_block": F.col("_x.b"), "_own": F.col("_x.own")}).drop("_x", "_at")
+
+
+def lagged(df: DataFrame, by: list[str], order: list[str], values: dict[str, str], n: int = 1, bucket: int = HOUR, ahead: bool = False) -> DataFrame:
+    """df with, for each name in values, the column it names of the nth row before (ahead: after; null: none)."""
+    sort = [f"_o{k}" if ahead else c for k, c in enumerate(order)]
+    rows = df.withColumns({f"_o{k}": -F.col(c) for k, c in enumerate(order)}) if ahead else df
+    w = W.partitionBy(*by, "_block").orderBy(*sort)
+    out = blocks(rows, by, sort, n, bucket).withColumns({name: F.lag(c, n).over(w) for name, c in values.items()})
+    return out.where("_own").drop("_block", "_own", *(sort if ahead else ()))
+
+
+def buffered(df: DataFrame, by: list[str], order: list[str], last: int, bucket: int = HOUR) -> DataFrame:
+    """The last so many rows of each key: a buffer of bounded length."""
+    rows = numbered(df.withColumns({f"_o{k}": -F.col(c) for k, c in enumerate(order)}), by, [f"_o{k}" for k in range(len(order))], bucket, "_at")
+    return rows.where(F.col("_at") < last).drop("_at", *(f"_o{k}" for k in range(len(order))))
+
+
+def framed(df: DataFrame, by: list[str], order: list[str], n: int, make, bucket: int = HOUR) -> DataFrame:
+    """df with the columns of make(frame), where frame holds a row and the n - 1 before it."""
+    frame = W.partitionBy(*by, "_block").orderBy(*order).rowsBetween(-(n - 1), 0)
+    return blocks(df, by, order, n - 1, bucket).withColumns(make(frame)).where("_own").drop("_block", "_own")
+
+
+def carried(df: DataFrame, by: list[str], order: list[str], value: Column, name: str, bucket: int = HOUR, inclusive: bool = False) -> DataFrame:
+    """df with name: the last value that is not null among the rows before (inclusive: and of this row).
+
+    Within a bucket that is a window's; one row a bucket carries what came earlier.
+    """
+    rows = settled(df).withColumns({"_span": F.floor(F.col(order[0]) / bucket), "_v": value})
+    last = rows.groupBy(*by, "_span").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_last"))
+    earlier = F.last("_last", True).over(W.partitionBy(*by).orderBy("_span").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.join(last.withColumn("_earlier", earlier).drop("_last"), [*by, "_span"], "left")
+    w = W.partitionBy(*by, "_span").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    return rows.withColumn(name, F.coalesce(F.last("_v", True).over(w), "_earlier")).drop("_span", "_v", "_earlier")
+
+
+def summed(df: DataFrame, by: list[str], order: list[str], value: Column, name: str, bucket: int = HOUR) -> DataFrame:
+    """df with name: the sum of value up to and with this row."""
+    rows = settled(df).withColumns({"_span": F.floor(F.col(order[0]) / bucket), "_v": value})
+    before = F.sum("_s").over(W.partitionBy(*by).orderBy("_span").rowsBetween(W.unboundedPreceding, -1))
+    sums = rows.groupBy(*by, "_span").agg(F.sum("_v").alias("_s")).withColumn("_before", before).drop("_s")
+    w = W.partitionBy(*by, "_span").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return rows.join(sums, [*by, "_span"], "left").withColumn(name, F.coalesce("_before", F.lit(0)) + F.coalesce(F.sum("_v").over(w), F.lit(0))).drop("_span", "_v", "_before")
+
+
+def trailing(df: DataFrame, by: list[str], order: list[str], value: Column, name: str, span: int, bucket: int = HOUR) -> DataFrame:
+    """df with name: the sum of value over the rows up to this one that are less than `span` older: running sums now and then."""
+    ts = order[0]
+    rows = settled(summed(df, by, order, value, "_upto", bucket))
+    ends = rows.groupBy(*by, ts).agg(F.max_by("_upto", F.struct(*order)).alias("_then"))
+    back = asof(rows.withColumn("_ts", F.col(ts)).withColumn(ts, F.col(ts) - span), ends, by, ts, "_then", bucket=bucket)
+    return back.select(*(F.col("_ts").alias(c) if c == ts else c for c in df.columns), (F.col("_upto") - F.coalesce("_then", F.lit(0))).alias(name))
 
 
 def rolling(df: DataFrame, by: list[str], order: list[str], value: str, n: int, scale: float) -> DataFrame:
     """df with mean, sd and Sharpe ratio of each full window of n rows; rows without a full window are left out."""
-    frame = W.partitionBy(*by).orderBy(*order).rowsBetween(-(n - 1), 0)
-    out = df.withColumns({"k": F.count("*").over(frame), "mean": F.avg(value).over(frame), "sd": F.stddev_samp(value).over(frame)}).where(F.col("k") == n)
+    out = framed(df, by, order, n, lambda f: {"k": F.count("*").over(f), "mean": F.avg(value).over(f), "sd": F.stddev_samp(value).over(f)}).where(F.col("k") == n)
     return out.withColumn("sharpe", S.sharpe(F.col("mean"), F.col("sd"), scale)).drop("k")
 
 
 def volatility(df: DataFrame, by: str, order: list[str], price: str) -> DataFrame:
     """by, volatility: sample deviation of log returns between neighbours that are both positive; 0 for fewer than 3 prices or 2 returns."""
-    last = F.lag(price).over(W.partitionBy(by).orderBy(*order))
-    r = df.withColumn("last", last).withColumn("r", F.when((F.col(price) > 0) & (F.col("last") > 0), F.log(F.col(price) / F.col("last"))))
+    r = lagged(df, [by], order, {"last": price}).withColumn("r", F.when((F.col(price) > 0) & (F.col("last") > 0), F.log(F.col(price) / F.col("last"))))
     return r.groupBy(by).agg(F.when((F.count("*") < 3) | (F.count("r") < 2), 0.0).otherwise(F.coalesce(F.stddev_samp("r"), F.lit(0.0))).alias("volatility"))
 
 
@@ -27,7 +105,7 @@ def autocorrelation(df: DataFrame, by: str, order: list[str], value: str, lag: i
     """by, autocorrelation around the mean of the whole series; 0 for a short or flat one."""
     mean = df.groupBy(by).agg(F.avg(value).alias("mu"))
     d = df.join(mean, by).withColumn("d", F.col(value) - F.col("mu"))
-    d = d.withColumn("e", F.lag("d", lag).over(W.partitionBy(by).orderBy(*order)))
+    d = lagged(d, [by], order, {"e": "d"}, lag)
     agg = d.groupBy(by).agg(F.sum(F.col("d") * F.col("e")).alias("c"), F.sum(F.col("d") * F.col("d")).alias("v"), F.count("*").alias("n"))
     return agg.select(by, F.when((F.col("n") <= lag + 1) | (F.col("v") == 0), 0.0).otherwise(F.col("c") / F.col("v")).alias("autocorrelation"))
 
@@ -49,7 +127,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, places: dict[str, tuple[
 
     Equal values are counted first, and a running sum over the different ones finds the place: no list of a key's values is made.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    counts = settled(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c")))
     upto = F.sum("_c").over(W.partitionBy(*by).orderBy(value))
     rows = counts.join(counts.groupBy(*by).agg(F.sum("_c").alias("_n")), by).withColumn("_upto", upto)
     at = {k: F.floor(F.col("_n") * a / b) for k, (a, b) in places.items()}
@@ -74,40 +152,66 @@ def adjusted(df: DataFrame, id_: str, p: str, parts: int = 64) -> DataFrame:
     return rows.withColumn("bonferroni", F.least(F.col(p) * F.col("_m"), F.lit(1.0))).select(*df.columns, "bonferroni", "bh")
 
 
-def percentile_rank(df: DataFrame, by: str, value: str) -> DataFrame:
-    """df with rank: the share of its group that is strictly less."""
-    w = W.partitionBy(by)
-    return df.withColumn("rank", (F.rank().over(w.orderBy(value)) - 1) / F.count("*").over(w))
-
+def percentile_rank(df: DataFrame, by: str, value: str, parts: int = 256) -> DataFrame:
+    """df with rank: the share of its group that is strictly less; a null value has no rank and does not count.
 
-def asof(left: DataFrame, right: DataFrame, by: str, ts: str, value: str, direction: str = "backward", tolerance: int | None = None, bucket: int = 60_000) -> DataFrame:
+    Equal values are counted first; ranges of hashes would not keep their order, so values are cut into `parts` of equal
+    width between the group's ends, and a part's rank starts where the parts before it end.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
+    ends = counts.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("_n"))
+    width = F.col("_hi") - F.col("_lo")
+    part = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width * parts), F.lit(parts - 1))).otherwise(0)
+    counts = counts.join(ends, by).withColumn("_part", part)
+    before = F.sum("_s").over(W.partitionBy(by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    sums = counts.groupBy(by, "_part").agg(F.sum("_c").alias("_s")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_s")
+    inside = F.sum("_c").over(W.partitionBy(by, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    ranks = counts.join(sums, [by, "_part"]).select(by, value, ((F.col("_before") + F.coalesce(inside, F.lit(0))) / F.col("_n")).alias("rank"))
+    return df.join(ranks, [by, value], "left")
+
+
+def asof(left: DataFrame, right: DataFrame, by: str | list[str], ts: str, value: str, direction: str = "backward", tolerance: int | None = None, bucket: int = 60_000) -> DataFrame:
     """left with value (of right) and value_ts at the latest time not after ts; with `forward` at the first not before it, with
     `nearest` at the closest one, ties to the later.
 
     Both sides are put on one time line per key and bucket; a look over one bucket's edge uses the last known value
     of earlier buckets, which is one row for each bucket. A key's line is thus never sorted in one task as a whole.
     """
+    by = [by] if isinstance(by, str) else by
+    key = [*by, "__span"]
     span = F.floor(F.col(ts) / bucket)
-    r = right.select(by, F.col(ts).cast("long").alias(ts), F.struct(F.col(ts).alias("ts"), F.col(value).alias("v")).alias("at")).groupBy(by, ts).agg(F.max("at").alias("at"))
-    r = r.withColumn("span", F.floor(F.col(ts) / bucket))
-    edges = r.groupBy(by, "span").agg(F.max_by("at", ts).alias("last"), F.min_by("at", ts).alias("first"))
-    line = left.withColumn("span", span).withColumn("_left", F.lit(1))
-    spans = line.select(by, "span").distinct().join(edges, [by, "span"], "full")
-    back, ahead = W.partitionBy(by).orderBy("span").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(by).orderBy("span").rowsBetween(1, W.unboundedFollowing)
-    spans = spans.select(by, "span", F.last("last", True).over(back).alias("before"), F.first("first", True).over(ahead).alias("after"))
-    both = line.join(spans, [by, "span"], "left").unionByName(r.select(by, ts, "span", "at"), allowMissingColumns=True)
-    order = W.partitionBy(by, "span").orderBy(F.col(ts), F.col("_left").asc_nulls_first())
-    down = W.partitionBy(by, "span").orderBy(F.col(ts).desc(), F.col("_left").asc_nulls_first())
-    found = both.withColumn("back", F.coalesce(F.last("at", True).over(order.rowsBetween(W.unboundedPreceding, 0)), "before"))
-    if direction == "forward":
-        found = found.withColumn("back", F.coalesce(F.last("at", True).over(down.rowsBetween(W.unboundedPreceding, 0)), "after"))
-    elif direction == "nearest":
-        found = found.withColumn("ahead", F.coalesce(F.last("at", True).over(down.rowsBetween(W.unboundedPreceding, 0)), "after"))
-        nearer = F.col("back").isNull() | ((F.col("ahead.ts") - F.col(ts)) <= (F.col(ts) - F.col("back.ts")))
-        found = found.withColumn("back", F.when(F.col("ahead").isNotNull() & nearer, F.col("ahead")).otherwise(F.col("back")))
+    left, right = settled(left), settled(right)
+    r = right.select(*by, F.col(ts).cast("long").alias(ts), F.struct(F.col(ts).alias("ts"), F.col(value).alias("v")).alias("__at")).groupBy(*by, ts).agg(F.max("__at").alias("__at"))
+    r = r.withColumn("__span", span)
+    edges = r.groupBy(*key).agg(F.max_by("__at", ts).alias("__last"), F.min_by("__at", ts).alias("__first"))
+    line = left.withColumn("__span", span).withColumn("__left", F.lit(1))
+    spans = line.select(*key).distinct().join(edges, key, "full")
+    earlier, later = W.partitionBy(*by).orderBy("__span").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*by).orderBy("__span").rowsBetween(1, W.unboundedFollowing)
+    spans = spans.select(*key, F.last("__last", True).over(earlier).alias("__before"), F.first("__first", True).over(later).alias("__after"))
+    both = line.join(spans, key, "left").unionByName(r.select(*by, ts, "__span", "__at"), allowMissingColumns=True)
+    up = W.partitionBy(*key).orderBy(F.col(ts), F.col("__left").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(*key).orderBy(F.col(ts).desc(), F.col("__left").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    back, ahead = F.coalesce(F.last("__at", True).over(up), "__before"), F.coalesce(F.last("__at", True).over(down), "__after")
+    if direction == "nearest":
+        found = both.withColumns({"__back": back, "__ahead": ahead})
+        nearer = F.col("__back").isNull() | ((F.col("__ahead.ts") - F.col(ts)) <= (F.col(ts) - F.col("__back.ts")))
+        found = found.withColumn("__found", F.when(F.col("__ahead").isNotNull() & nearer, F.col("__ahead")).otherwise(F.col("__back")))
+    else:
+        found = both.withColumn("__found", ahead if direction == "forward" else back)
     if tolerance is not None:
-        found = found.withColumn("back", F.when(F.abs(F.col(ts) - F.col("back.ts")) <= tolerance, F.col("back")))
-    return found.where("_left = 1").select(*left.columns, F.col("back.v").alias(value), F.col("back.ts").alias("value_ts"))
+        found = found.withColumn("__found", F.when(F.abs(F.col(ts) - F.col("__found.ts")) <= tolerance, F.col("__found")))
+    return found.where("__left = 1").select(*left.columns, F.col("__found.v").alias(value), F.col("__found.ts").alias("value_ts"))
+
+
+def price_at(asked: DataFrame, index: DataFrame, by: str, within: int, bucket: int = 60_000) -> DataFrame:
+    """asked with price: the last one of the index (by, ts, seq, price) that is not later; 0 where that is more than `within` older or there is
+    none at all, and the line's first price where all are later."""
+    index = settled(index)
+    points = index.groupBy(by, "ts").agg(F.max_by("price", "seq").alias("_price"))
+    first = index.groupBy(by).agg(F.min_by("price", F.struct("ts", "seq")).alias("_first"))
+    found = asof(asked, points, by, "ts", "_price", bucket=bucket).join(first, by, "left")
+    price = F.when(F.col("value_ts").isNull(), F.col("_first")).when(F.col("ts") - F.col("value_ts") <= within, F.col("_price"))
+    return found.select(*asked.columns, F.coalesce(price, F.lit(0.0)).alias("price"))
 
 
 def spans_of(events: DataFrame, ts: str, state: str, end: int, first: str = "normal") -> DataFrame:

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import checks, evaluators, markets, positions
+from ..operators import checks, evaluators, positions
 from ..sources import views
 from . import market_queries as M
 from . import sql
@@ -23,10 +22,13 @@ def _executions(spark, sf_dir) -> DataFrame:
     return t.select("event_id", "market", "token", F.concat(F.lit("s"), F.col("wallet") % 4).alias("strategy"), F.col("side").alias("direction"), "size", price.alias("price"), (0.02 * price * F.col("size")).alias("fee"), (F.col("ticks") / 1000).alias("ev"), "ts")
 
 
-def _lifecycle(spark, sf_dir) -> DataFrame:
+def _ends(spark, sf_dir) -> DataFrame:
     """Two of the markets are resolved half-way."""
-    ends = views.trades(spark, sf_dir).where("market < 2").groupBy("market").agg((F.min("ts") + F.floor((F.max("ts") - F.min("ts")) / 2)).cast("long").alias("ts"), F.max(F.col("market").cast("double")).alias("price"))
-    return positions.lifecycle(_executions(spark, sf_dir), ends)
+    return views.trades(spark, sf_dir).where("market < 2").groupBy("market").agg((F.min("ts") + F.floor((F.max("ts") - F.min("ts")) / 2)).cast("long").alias("ts"), F.max(F.col("market").cast("double")).alias("price"))
+
+
+def _lifecycle(spark, sf_dir) -> DataFrame:
+    return positions.lifecycle(_executions(spark, sf_dir), _ends(spark, sf_dir))
 
 
 def _held(spark, sf_dir) -> DataFrame:
@@ -47,6 +49,14 @@ def open_positions(spark, sf_dir):
     return _held(spark, sf_dir).orderBy(F.desc("unrealized")).select(*positions.KEY, "size", r("entry"), "mark", r("unrealized", 4), "age_ms", r("ev"))
 
 
+def position_excursions(spark, sf_dir):
+    """How far the token's price went for and against each position, open or closed, while it was held."""
+    t = views.trades(spark, sf_dir)
+    found = positions.excursions(_executions(spark, sf_dir), _ends(spark, sf_dir), t.select("token", "ts", "event_id", (F.col("ticks") / 100).alias("mark")))
+    rows = _lifecycle(spark, sf_dir).join(found, [*positions.KEY, "epoch"])
+    return rows.select(*positions.KEY, F.col("epoch").cast("long").alias("epoch"), F.col("closed_at").isNull().alias("open"), r("favorable"), r("adverse"))
+
+
 def pnl_by_strategy(spark, sf_dir):
     out = positions.profit_by_strategy(positions.closes(_lifecycle(spark, sf_dir)), _held(spark, sf_dir))
     return out.select("strategy", "trades", "wins", "losses", r("realized", 4), r("unrealized", 4), r("total", 4), r("mean", 4), r("win_rate"), r("t"), r("p"), "significant")
@@ -62,32 +72,7 @@ def _markets(spark, sf_dir) -> DataFrame:
     q = views.questions(spark, sf_dir).withColumn("name", F.col("question")).withColumn("question", F.concat("question", step, F.lit(" by "), month))
     k = (50 + 10 * (F.col("book") % 7)) / 100
     quotes = checks.quotes(views.books(spark, sf_dir)).select(F.col("book").alias("market"), *((F.col(c) * k).alias(c) for c in ("mid", "bid", "ask", "bid_fill", "ask_fill")), "bid_size", "ask_size")
-    return q.join(quotes, "market").withColumn("cluster", F.expr("market div 3"))
-
-
-def _edges(spark, sf_dir) -> DataFrame:
-    """Each market with the next three that share its name."""
-    rows = _markets(spark, sf_dir).withColumn("k", F.row_number().over(W.partitionBy("name").orderBy("market"))).select("name", "market", "k")
-    ahead = rows.select("name", F.col("market").alias("a"), F.explode(F.array(*(F.col("k") + d for d in (1, 2, 3)))).alias("k"))
-    return ahead.join(rows.withColumnRenamed("market", "b"), ["name", "k"]).select("a", "b")
-
-
-def _pair_checks(spark, sf_dir) -> DataFrame:
-    return checks.pair_checks(_markets(spark, sf_dir), _edges(spark, sf_dir))
-
-
-def consistency_pairs(spark, sf_dir):
-    return _pair_checks(spark, sf_dir).select("check_id", "kind", "high", "low", r("violation"), r("executable"), "tradeable", r("profit", 4))
-
-
-def consistency_partitions(spark, sf_dir):
-    return checks.partitions(_markets(spark, sf_dir)).select("check_id", r("violation"), r("executable"), "tradeable", r("profit", 4))
-
-
-def consistency_report(spark, sf_dir):
-    each = ["check_id", "kind", "tradeable", "profit"]
-    every = _pair_checks(spark, sf_dir).select(*each).unionByName(checks.partitions(_markets(spark, sf_dir)).select(*each))
-    return checks.report(every).select("kind", "n", "tradeable", r("profit", 4))
+    return q.join(quotes, "market")
 
 
 SILENCE = 2 * M.HOUR
@@ -151,13 +136,6 @@ def sensitivity(spark, sf_dir):
     return s.select("event_id", *(r(c, 9) for c in ("edge_less", "edge_more", "size_less", "size_more")), "robust")
 
 
-def impact_models(spark, sf_dir):
-    w = W.partitionBy("token").orderBy("ts", "event_id")
-    t = views.trades(spark, sf_dir).withColumns({"initial": (F.lead("ticks", 1).over(w) - F.col("ticks")) / 100, "later": (F.lead("ticks", 4).over(w) - F.col("ticks")) / 100})
-    large = markets.large_trades(views.trades(spark, sf_dir), sigma=1.0).select("event_id")
-    return evaluators.impact_models(t.join(large, "event_id"), "market").select("market", "n", r("initial"), r("later"), r("momentum"), r("reversion"), "model")
-
-
 def calendar(spark, sf_dir):
     """Days and ISO times of trades, and hours to the last of all."""
     t = views.trades(spark, sf_dir)
@@ -166,7 +144,7 @@ def calendar(spark, sf_dir):
     return t.join(F.broadcast(end)).select("event_id", F.date_format(at, "yyyy-MM-dd").alias("day"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("iso"), r_expr((F.col("end") - F.col("ts")) / 3_600_000, "hours_left"))
 
 
-QUERIES = {f.__name__: f for f in (position_lifecycle, position_closes, open_positions, pnl_by_strategy, consistency_pairs, consistency_partitions, consistency_report, violations, violation_persistence, complement_signals, microprice_signals, complement_gaps, book_features, spread_regimes, sensitivity, impact_models, calendar)}
+QUERIES = {f.__name__: f for f in (position_lifecycle, position_closes, open_positions, position_excursions, pnl_by_strategy, violations, violation_persistence, complement_signals, microprice_signals, complement_gaps, book_features, spread_regimes, sensitivity, calendar)}
 
 _POS = f"""{sql.TRADES}, ex AS (SELECT event_id, market, token, 's' || (wallet % 4) AS strategy, side AS direction, size, ticks / 100 AS price, 0.02 * ticks / 100 * size AS fee, ticks / 1000 AS ev, ts FROM v_trades),
 rs AS (SELECT market, min(ts) + (max(ts) - min(ts)) // 2 AS ts, CAST(market AS DOUBLE) AS price FROM v_trades WHERE market < 2 GROUP BY market),
@@ -186,20 +164,10 @@ def _lead() -> str:
     return "CASE " + " ".join(rules) + " END"
 
 
-_MK = f"""{sql.LEVELS}, lv AS (SELECT *, sum(size) OVER (PARTITION BY book, side ORDER BY level ROWS UNBOUNDED PRECEDING) AS cum FROM v_levels),
+_MQ = f"""{sql.LEVELS}, lv AS (SELECT *, sum(size) OVER (PARTITION BY book, side ORDER BY level ROWS UNBOUNDED PRECEDING) AS cum FROM v_levels),
 sd AS (SELECT book, side, max(CASE WHEN level = 1 THEN price END) AS p, max(CASE WHEN level = 1 THEN size END) AS z, CASE WHEN sum(size) >= 100 THEN sum(greatest(0, least(size, 100 - (cum - size))) * price) / 100 ELSE max(CASE WHEN level = 1 THEN price END) END AS f FROM lv GROUP BY ALL),
 qt AS (SELECT coalesce(b.book, a.book) AS book, b.p AS bid, b.z AS bid_size, b.f AS bid_fill, a.p AS ask, a.z AS ask_size, a.f AS ask_fill, coalesce((b.p + a.p) / 2, 0) AS mid FROM (SELECT * FROM sd WHERE side = 'bid') b FULL JOIN (SELECT * FROM sd WHERE side = 'ask') a ON a.book = b.book),
-mq AS (SELECT p_partkey AS market, p_name AS name, p_type AS category, p_name || [' primary', ' election', ''][p_partkey % 3 + 1] || ' by ' || {_LIST(X.MONTHS)}[p_partkey % 12 + 1] AS question, p_partkey // 3 AS cluster, (50 + 10 * (p_partkey % 7)) / 100 AS k, mid * k AS mid, bid * k AS bid, ask * k AS ask, bid_fill * k AS bid_fill, ask_fill * k AS ask_fill, bid_size, ask_size FROM part JOIN qt ON book = p_partkey),
-mx AS (SELECT *, {M._TOK.format("question")} AS w, lower(question) AS x FROM mq), mw AS (SELECT *, CAST({M._place()} AS BIGINT) AS place FROM mx),
-rk AS (SELECT name, market, row_number() OVER (PARTITION BY name ORDER BY market) AS rn FROM mq), eg AS (SELECT a.market AS a, b.market AS b FROM rk a JOIN rk b ON a.name = b.name AND b.rn - a.rn BETWEEN 1 AND 3),
-pr AS (SELECT e.a, e.b, a.place AS ap, b.place AS bp, list_distinct(a.w) AS aw, list_distinct(b.w) AS bw, a.category = b.category AS same, len(list_filter(b.w, lambda y: list_contains(a.w, y))) / greatest(len(a.w), len(b.w), 1) AS bags FROM eg e JOIN mw a ON a.market = e.a JOIN mw b ON b.market = e.b),
-ps AS (SELECT *, len(list_intersect(aw, bw)) / greatest(len(aw), len(bw), 1) AS sets, CASE WHEN ap <> bp THEN ap < bp END AS af, CASE WHEN len(list_intersect(aw, bw)) > 0 THEN {_lead()} END AS lead FROM pr),
-ks AS (SELECT 'subset_superset' AS kind, a, b, af AS ah FROM ps WHERE sets >= 0.4 AND af IS NOT NULL UNION ALL SELECT 'conditional', a, b, NOT lead FROM ps WHERE lead IS NOT NULL UNION ALL SELECT 'temporal', a, b, af FROM ps WHERE bags >= 0.4 AND af IS NOT NULL AND same),
-hl AS (SELECT kind, CASE WHEN ah THEN a ELSE b END AS high, CASE WHEN ah THEN b ELSE a END AS low FROM ks),
-pc AS (SELECT kind || ':' || array_to_string(list_sort([CAST(high AS VARCHAR), CAST(low AS VARCHAR)]), ',') AS check_id, kind, high, low, h.mid - l.mid AS violation, h.bid_fill - l.ask_fill - 0.04 AS raw, coalesce(raw > 0.005 AND h.bid_size >= 50 AND l.ask_size >= 50, false) AS tradeable
-  FROM hl JOIN mq h ON h.market = high JOIN mq l ON l.market = low WHERE h.mid > 0 AND l.mid > 0 AND h.mid > l.mid),
-pa AS (SELECT cluster, count(*) AS n, sum(mid) AS total, sum(coalesce(bid_fill, 0)) AS bf, sum(coalesce(ask_fill, 0)) AS kf, min(coalesce(bid_size, 0)) AS bz, min(coalesce(ask_size, 0)) AS kz FROM mq WHERE mid > 0 GROUP BY 1),
-pt AS (SELECT 'exhaustive_partition:' || cluster AS check_id, round(abs(total - 1), 9) AS violation, round(CASE WHEN total > 1 THEN bf - 1 ELSE 1 - kf END - 0.02 * n, 9) AS raw, raw > 0.005 AND CASE WHEN total > 1 THEN bz ELSE kz END >= 50 AS tradeable FROM pa WHERE n >= 2 AND round(abs(total - 1), 9) >= 0.001)"""
+mq AS (SELECT p_partkey AS market, p_name AS name, p_type AS category, p_name || [' primary', ' election', ''][p_partkey % 3 + 1] || ' by ' || {_LIST(X.MONTHS)}[p_partkey % 12 + 1] AS question, (50 + 10 * (p_partkey % 7)) / 100 AS k, mid * k AS mid, bid * k AS bid, ask * k AS ask, bid_fill * k AS bid_fill, ask_fill * k AS ask_fill, bid_size, ask_size FROM part JOIN qt ON book = p_partkey)"""
 _RES = "round(violation, 6) + 0.0 AS violation, round(greatest(coalesce(raw, 0), 0), 6) + 0.0 AS executable, tradeable, round(CASE WHEN tradeable THEN raw * 100 ELSE 0 END, 4) + 0.0 AS profit"
 _VIO = f"""{sql.TRADES}, o AS (SELECT token AS check_id, ts // 60000 * 60000 AS ts, max(ticks / 100) AS m, bool_or(size % 5 = 0) AS t FROM v_trades GROUP BY ALL),
 o1 AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY check_id ORDER BY ts) <= {SILENCE} THEN 0 ELSE 1 END AS nw FROM o), o2 AS (SELECT *, sum(nw) OVER (PARTITION BY check_id ORDER BY ts) AS k FROM o1),
@@ -219,12 +187,15 @@ ORACLE_SQL = {
     "position_lifecycle": f"WITH {_POS} SELECT market, token, strategy, direction, CAST(epoch AS BIGINT) AS epoch, fills, size, {_round('entry')}, {_round('fee', digits=4)}, {_round('ev')}, opened_at, exit, closed_at FROM po",
     "position_closes": f"WITH {_POS} SELECT market, token, strategy, direction, size, {_round('entry')}, exit, round(d * size, 4) + 0.0 AS gross, round(d * size - fee, 4) + 0.0 AS net, holding_ms, round(d, 6) + 0.0 AS realized_ev, round(ev - d, 6) + 0.0 AS ev_error FROM cl",
     "open_positions": f"WITH {_POS} SELECT market, token, strategy, direction, size, {_round('entry')}, mark, {_round('unrealized', digits=4)}, age_ms, {_round('ev')} FROM hd",
+    "position_excursions": f"""WITH {_POS}, fl AS (SELECT ex.*, ex.ts * 1000000 + event_id AS pos, CASE WHEN rs.ts <= ex.ts THEN 1 ELSE 0 END AS epoch, CASE WHEN rs.ts > ex.ts THEN rs.ts END AS fin FROM ex LEFT JOIN rs ON rs.market = ex.market),
+      f2 AS (SELECT *, sum(size * price) OVER w / sum(size) OVER w AS entry, lead(pos) OVER (PARTITION BY market, token, strategy, direction, epoch ORDER BY pos) AS nx FROM fl WINDOW w AS (PARTITION BY market, token, strategy, direction, epoch ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+      mm AS (SELECT token AS tk, ts AS mts, ts * 1000000 + event_id AS mp, ticks / 100 AS mark FROM v_trades),
+      xx AS (SELECT market, token, strategy, direction, epoch, bool_and(fin IS NULL) AS open, max(CASE WHEN direction = 'BUY' THEN mark - entry ELSE entry - mark END) AS f, max(CASE WHEN direction = 'BUY' THEN entry - mark ELSE mark - entry END) AS a
+        FROM f2 JOIN mm ON tk = token AND mp >= pos AND (nx IS NULL OR mp < nx) AND (fin IS NULL OR mts <= fin) GROUP BY ALL)
+      SELECT market, token, strategy, direction, CAST(epoch AS BIGINT) AS epoch, open, round(greatest(f, 0), 6) + 0.0 AS favorable, round(greatest(a, 0), 6) + 0.0 AS adverse FROM xx""",
     "pnl_by_strategy": f"""WITH {_POS}, n AS (SELECT *, d * size - fee AS net FROM cl), g AS (SELECT strategy, count(*) AS trades, count(*) FILTER (net > 0) AS wins, count(*) FILTER (net <= 0) AS losses, sum(net) AS realized, avg(net) AS mean, stddev_samp(net) AS sd FROM n GROUP BY 1),
       u AS (SELECT strategy, sum(unrealized) AS unrealized FROM hd GROUP BY 1), x AS (SELECT g.*, coalesce(unrealized, 0) AS unrealized, realized + coalesce(unrealized, 0) AS total, wins / trades AS win_rate, CASE WHEN trades < 2 THEN 0.0 ELSE mean / (sd / sqrt(trades)) END AS t FROM g LEFT JOIN u USING (strategy)),
       y AS (SELECT *, CASE WHEN trades < 2 THEN 1.0 ELSE {sql.p_value('t', '(trades - 1)')} END AS p FROM x) SELECT strategy, trades, wins, losses, {_round('realized', 'unrealized', 'total', 'mean', digits=4)}, {_round('win_rate', 't', 'p')}, p < 0.05 AS significant FROM y""",
-    "consistency_pairs": f"WITH {_MK} SELECT check_id, kind, high, low, {_RES} FROM pc",
-    "consistency_partitions": f"WITH {_MK} SELECT check_id, {_RES} FROM pt",
-    "consistency_report": f"WITH {_MK}, al AS (SELECT kind, tradeable, raw FROM pc UNION ALL SELECT 'exhaustive_partition', tradeable, raw FROM pt) SELECT kind, count(*) AS n, count(*) FILTER (tradeable) AS tradeable, round(sum(CASE WHEN tradeable THEN raw * 100 ELSE 0 END), 4) + 0.0 AS profit FROM al GROUP BY ROLLUP (kind)",
     "violations": f"WITH {_VIO} SELECT check_id, k, first_ts, last_ts, n, peak, tradeable, resolved_at FROM vi",
     "violation_persistence": f"""WITH {_VIO}, nw AS (SELECT max(ts) AS now FROM v_trades), w AS (SELECT vi.*, CASE WHEN resolved_at IS NULL THEN now - first_ts ELSE last_ts - first_ts END AS d FROM vi CROSS JOIN nw WHERE resolved_at IS NULL OR resolved_at > now - {48 * M.HOUR})
       SELECT count(*) FILTER (resolved_at IS NULL) AS active, count(resolved_at) AS resolved, coalesce(list_sort(list(d))[count(*) // 2 + 1], 0) AS median_ms, round(coalesce(avg(d), 0), 3) + 0.0 AS mean_ms, round(coalesce(avg(CASE WHEN tradeable THEN 1.0 ELSE 0.0 END), 0), 6) + 0.0 AS tradeable FROM w""",
@@ -241,10 +212,5 @@ ORACLE_SQL = {
     "spread_regimes": f"SELECT event_id, CAST(CASE WHEN z < -0.5 THEN 0 WHEN z > 0.5 THEN 2 ELSE 1 END AS BIGINT) AS regime FROM ({M.ORACLE_SQL['feature_z']})",
     "sensitivity": f"""WITH {sql.TRADES}, s AS (SELECT event_id, ticks / 1000 AS e, 0.02 + size * (0.00001 * 0.03 + 0.000005) AS c1, 0.02 + 0.5 * size * (0.00001 * 0.03 + 0.000005) AS c2, 0.02 + 1.5 * size * (0.00001 * 0.03 + 0.000005) AS c3 FROM v_trades),
       x AS (SELECT event_id, e * 0.9 - c1 AS edge_less, e * 1.1 - c1 AS edge_more, (e - c2) * 0.5 AS size_less, (e - c3) * 1.5 AS size_more FROM s) SELECT event_id, {_round('edge_less', 'edge_more', 'size_less', 'size_more', digits=9)}, edge_less > 0 AND edge_more > 0 AND size_less > 0 AND size_more > 0 AS robust FROM x""",
-    "impact_models": f"""WITH {M._LARGE}, nx AS (SELECT event_id, (lead(ticks, 1) OVER w - ticks) / 100 AS i, (lead(ticks, 4) OVER w - ticks) / 100 AS l FROM v_trades WINDOW w AS (PARTITION BY token ORDER BY ts, event_id)),
-      o AS (SELECT market, i, l, i IS NOT NULL AND l IS NOT NULL AS ok, CASE WHEN i <> 0 THEN abs(l) / abs(i) ELSE 0 END AS q FROM large JOIN nx USING (event_id) WHERE z >= 1.0),
-      g AS (SELECT market, count(*) AS n, avg(abs(i)) AS initial, avg(abs(l)) AS later, count(*) FILTER (ok) AS k, count(*) FILTER (ok AND sign(i) = sign(l) AND q > 0.5) AS m, count(*) FILTER (ok AND q < 0.5) AS r FROM o GROUP BY market),
-      f AS (SELECT *, CASE WHEN k >= 5 THEN m / k ELSE 0 END AS momentum, CASE WHEN k >= 5 THEN r / k ELSE 0 END AS reversion FROM g)
-      SELECT market, n, {_round('initial', 'later', 'momentum', 'reversion')}, CASE WHEN k < 5 THEN NULL WHEN reversion > momentum AND reversion > 0.5 THEN 'reversion' WHEN momentum > reversion AND momentum > 0.5 THEN 'momentum' ELSE 'inconclusive' END AS model FROM f""",
     "calendar": f"WITH {sql.TRADES} SELECT event_id, strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS day, strftime(make_timestamp(ts * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, round(((SELECT max(ts) FROM v_trades) - ts) / 3600000, 6) + 0.0 AS hours_left FROM v_trades",
 }

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions import text as X
-from ..operators import graph, markets, series
+from ..operators import chains, graph, markets, series
 from ..sources import views
+from ..sources.shared import written
+from . import message_queries as messages
 from . import sql
-from .wallet_queries import r
+from .wallet_queries import r, r_expr
 
 HOUR = 3_600_000
 
@@ -79,13 +79,8 @@ def forward_returns(spark, sf_dir):
     return found.where("later is not null").select("event_id", r_expr((F.col("later") - F.col("p0")) / F.col("p0"), "forward_return"))
 
 
-def r_expr(c: Column, name: str, digits: int = 6) -> Column:
-    return (F.round(c, digits) + 0.0).alias(name)
-
-
 def feature_z(spark, sf_dir):
-    frame = W.partitionBy("series").orderBy("ts", "event_id").rowsBetween(-119, 0)
-    p = views.prices(spark, sf_dir).withColumns({"k": F.count("*").over(frame), "z": S.z_score(F.col("price"), F.avg("price").over(frame), F.stddev_samp("price").over(frame))})
+    p = series.framed(views.prices(spark, sf_dir), ["series"], ["ts", "event_id"], 120, lambda f: {"k": F.count("*").over(f), "z": S.z_score(F.col("price"), F.avg("price").over(f), F.stddev_samp("price").over(f))})
     return p.select("event_id", r_expr(F.when(F.col("k") < 5, 0.0).otherwise(F.col("z")), "z"))
 
 
@@ -138,23 +133,25 @@ def large_trades(spark, sf_dir):
 
 def impact_cube(spark, sf_dir):
     t = views.trades(spark, sf_dir)
-    after = t.withColumn("next_ticks", F.lead("ticks").over(W.partitionBy("token").orderBy("ts", "event_id"))).select("event_id", "next_ticks")
+    after = series.lagged(t, ["token"], ["ts", "event_id"], {"next_ticks": "ticks"}, ahead=True).select("event_id", "next_ticks")
     cube = markets.impact_cube(markets.large_trades(t, sigma=1.0).join(after, "event_id"))
     return cube.select("market", "side", "n", r("rate"))
 
 
 def market_types(spark, sf_dir):
-    return _types(spark, sf_dir).select("market", r("rate"), r("dispersion", 3), r("hhi"), r("bots"), "dominant", r("score1"), r("score2"), r("score3"), "type", r("confidence"), r("efficiency"))
+    return _types(spark, sf_dir).select("market", r("rate"), r("dispersion", 3), r("hhi"), r("bots"), r("spread_bps", 4), r("update_ms", 3), "gap_half_life_ms", "gaps_1h", "dominant", r("score1"), r("score2"), r("score3"), "type", r("confidence"), r("efficiency"))
 
 
 def _types(spark, sf_dir) -> DataFrame:
-    f = markets.features(views.trades(spark, sf_dir))
-    f = f.withColumns({"spread_bps": F.lit(120.0) + 60.0 * F.col("market"), "gap_half_life_ms": F.lit(None).cast("double")})
-    return markets.classify(f)
+    t = views.trades(spark, sf_dir)
+    now = t.agg(F.max("ts")).first()[0] or 0
+    seen = markets.observed(messages.books_after(spark, sf_dir), now)
+    f = markets.features(t).join(seen, "market", "left").withColumns({"spread_bps": F.coalesce("spread_bps", F.lit(0.0)), "update_ms": F.coalesce("update_ms", F.lit(60_000.0)), "gaps_1h": F.coalesce("gaps_1h", F.lit(0))})
+    return written(markets.classify(f), "types")
 
 
 def edge_map(spark, sf_dir):
-    return markets.edge_map(markets.viable(_types(spark, sf_dir)), 10_000.0).select("market", r("edge"), r("allocation"))
+    return markets.edge_map(markets.viable(_types(spark, sf_dir)), 10_000.0).select("market", r("edge"), r("allocation"), "label")
 
 
 def viable_strategies(spark, sf_dir):
@@ -170,8 +167,21 @@ def viability_matrix(spark, sf_dir):
     return markets.viability(_signals(spark, sf_dir)).select("strategy", "delay_s", "signals", "viable")
 
 
+#: How long a signal makes others of its kind repeats.
+REPEAT = 6 * HOUR
+
+
+def _tested(spark, sf_dir) -> DataFrame:
+    """Signals with what they assume (the regime of the hour before), the regime that there is, and whether their market, two of which end half-way, is active."""
+    t = views.trades(spark, sf_dir)
+    hours = _regimes(spark, sf_dir).select("tick", "regime", F.coalesce(F.lag("regime").over(W.orderBy("tick")), F.lit("")).alias("assumed"))
+    ends = t.where("market < 2").groupBy("market").agg((F.min("ts") + F.floor((F.max("ts") - F.min("ts")) / 2)).cast("long").alias("end"))
+    rows = _signals(spark, sf_dir).withColumns({"tick": F.floor(F.col("ts") / HOUR), "max_price": F.col("target") + 0.03, "ci_low": F.col("ev") - F.col("size") / 500})
+    return rows.join(hours, "tick").join(ends, "market", "left").withColumn("active", F.coalesce(F.col("ts") < F.col("end"), F.lit(True)))
+
+
 def signal_filter(spark, sf_dir):
-    return markets.signal_filter(_signals(spark, sf_dir)).select("event_id", "filter")
+    return markets.signal_filter(_tested(spark, sf_dir), repeat_ms=REPEAT).select("event_id", "filter")
 
 
 def _executed(spark, sf_dir) -> DataFrame:
@@ -217,11 +227,8 @@ def similarity_pairs(spark, sf_dir):
 
 def _clusters(spark, sf_dir) -> DataFrame:
     """market, question, cluster of every market."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     rows = _class_rows(spark, sf_dir)
-    found = graph.clusters(rows.select(F.col("class").alias("id")), graph.similar_pairs(rows, "class", 0.34), f"{folder or 'file:///tmp/tidebook-shared'}/clusters-{uuid.uuid4().hex}")
+    found = graph.clusters(rows.select(F.col("class").alias("id")), graph.similar_pairs(rows, "class", 0.34))
     return _classes(spark, sf_dir).join(found.withColumnRenamed("id", "class"), "class").select("market", "question", "cluster")
 
 
@@ -238,29 +245,6 @@ def temporal_order(spark, sf_dir):
     return d.select("item_id", X.temporal_order(F.col("text")).alias("place"))
 
 
-def propagation_lags(spark, sf_dir):
-    return _propagated(spark, sf_dir).select("source", "target", "event_id", "lag", r("efficiency"))
-
-
-def _propagated(spark, sf_dir) -> DataFrame:
-    return graph.propagation(graph.moves(views.prices(spark, sf_dir)), HOUR)
-
-
-def pair_stats(spark, sf_dir):
-    return graph.pair_stats(_propagated(spark, sf_dir), 1_000_000).select("source", "target", "n", "p25", "median", "p75", r("efficiency"), "exploitable")
-
-
-def edge_at_lag(spark, sf_dir):
-    e = _propagated(spark, sf_dir)
-    return graph.edge_at_lag(e, graph.pair_stats(e, 1_000_000)).select("source", "target", r("edge"))
-
-
-def exploitable_pairs(spark, sf_dir):
-    """A report of the 20 slowest."""
-    p = graph.pair_stats(_propagated(spark, sf_dir), 1_000_000).where("exploitable")
-    return p.orderBy(F.desc("median"), "source", "target").limit(20).select("source", "target", "n", "median")
-
-
 def sessions(spark, sf_dir):
     e = views.read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     s = e.groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("n"), F.max("value").alias("peak"))
@@ -275,10 +259,13 @@ def source_health(spark, sf_dir):
     return h.select("series", "n", age.alias("age_ms"), F.when(age > 600_000, "stale").otherwise("ok").alias("status"))
 
 
+DEDUP = 12 * HOUR
+
+
 def dedup(spark, sf_dir):
-    e = views.trades(spark, sf_dir)
-    last = F.lag("ts").over(W.partitionBy("wallet", "token").orderBy("ts", "event_id"))
-    return e.withColumn("last", last).where((F.col("last").isNull()) | (F.col("ts") - F.col("last") > 12 * HOUR)).select("event_id", "wallet", "token")
+    """Trades of a wallet and token that are no repeats: the last one kept lies half a day or more before."""
+    e = chains.suppressed(views.trades(spark, sf_dir), ["wallet", "token"], "ts", "event_id", DEDUP)
+    return e.where("kept").select("event_id", "wallet", "token")
 
 
 _F = "FROM v_levels"
@@ -296,40 +283,44 @@ _CONFIRMED = f"""{_REG}, c0 AS (SELECT *, CASE WHEN regime = lag(regime) OVER (O
 c2 AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY tick) AS k FROM c1), conf AS (SELECT tick, regime, coalesce(last_value(CASE WHEN k >= 2 THEN regime END IGNORE NULLS) OVER (ORDER BY tick ROWS UNBOUNDED PRECEDING), 'normal') AS current FROM c2)"""
 _LARGE = f"""{sql.TRADES}, lz AS (SELECT *, count(*) OVER w AS k, avg(size) OVER w AS m, stddev_samp(size) OVER w AS sd FROM v_trades WINDOW w AS (PARTITION BY market ORDER BY ts, event_id ROWS 499 PRECEDING)),
 large AS (SELECT *, CASE WHEN sd = 0 THEN 0.0 ELSE (size - m) / sd END AS z FROM lz WHERE k >= 10)"""
-_TYPES = f"""{sql.TRADES}, g0 AS (SELECT *, ts - lag(ts) OVER (PARTITION BY market ORDER BY ts, event_id) AS d, max(ts) OVER () AS now FROM v_trades), g AS (SELECT *, CASE WHEN d > 0 THEN d END AS gap FROM g0),
-b AS (SELECT market, count(*) AS n, count(*) FILTER (ts > now - 3600000) / 60 AS rate, coalesce(var_pop(gap) / avg(gap), 0) AS dispersion, coalesce(avg(gap), 60000) AS update_ms,
+_TYPES = f"""{messages._OBSERVED}, g0 AS (SELECT *, ts - lag(ts) OVER (PARTITION BY market ORDER BY ts, event_id) AS d, max(ts) OVER () AS now FROM v_trades), g AS (SELECT *, CASE WHEN d > 0 THEN d END AS gap FROM g0),
+b AS (SELECT market, count(*) AS n, count(*) FILTER (ts > now - 3600000) / 60 AS rate, coalesce(var_pop(gap) / avg(gap), 0) AS dispersion,
   avg(CASE WHEN gap < 1000 THEN 1.0 WHEN gap IS NOT NULL THEN 0.0 END) AS quick, avg(CASE WHEN abs(size - round(size)) < 0.01 THEN 1.0 ELSE 0.0 END) AS rnd, count(gap) AS gaps, 1 - coalesce(stddev_samp(gap) / avg(gap), 0) AS regular, CAST(max(now) - max(ts) AS DOUBLE) AS stale_ms FROM g GROUP BY market),
 v AS (SELECT market, wallet, sum(ticks * size) AS v FROM v_trades GROUP BY ALL),
 sh AS (SELECT *, v / sum(v) OVER (PARTITION BY market) AS share FROM v),
 wh AS (SELECT market, sum(share * share) AS hhi, CASE WHEN max(share) > 0.2 THEN arg_max(wallet, share) END AS dominant FROM sh GROUP BY market),
-f AS (SELECT b.*, hhi, dominant, CASE WHEN n < 5 THEN 0.0 ELSE list_avg(list_filter([CASE WHEN gaps > 0 THEN quick END, rnd, CASE WHEN gaps >= 5 THEN least(greatest(regular, 0), 1) END, CASE WHEN rate > 10 THEN least(greatest((rate - 10) / 50, 0), 1) END], lambda x: x IS NOT NULL)) END AS bots, 120.0 + 60.0 * market AS spread_bps FROM b JOIN wh USING (market)),
+f AS (SELECT b.*, hhi, dominant, CASE WHEN n < 5 THEN 0.0 ELSE list_avg(list_filter([CASE WHEN gaps > 0 THEN quick END, rnd, CASE WHEN gaps >= 5 THEN least(greatest(regular, 0), 1) END, CASE WHEN rate > 10 THEN least(greatest((rate - 10) / 50, 0), 1) END], lambda x: x IS NOT NULL)) END AS bots, coalesce(ob.spread_bps, 0) AS spread_bps, coalesce(ob.update_ms, 60000) AS update_ms, gap_half_life_ms, coalesce(gaps_1h, 0) AS gaps_1h FROM b JOIN wh USING (market) LEFT JOIN ob ON ob.market = b.market),
 sc AS (SELECT *, (CASE WHEN update_ms > 10000 THEN 1.0 WHEN update_ms > 5000 THEN 0.5 ELSE 0 END + CASE WHEN stale_ms > 15000 THEN 1.0 WHEN stale_ms > 8000 THEN 0.5 ELSE 0 END + CASE WHEN spread_bps > 300 THEN 1.0 WHEN spread_bps > 150 THEN 0.5 ELSE 0 END
     + CASE WHEN rate < 2 THEN 1.0 WHEN rate < 5 THEN 0.5 ELSE 0 END + CASE WHEN hhi < 0.10 THEN 1.0 WHEN hhi < 0.15 THEN 0.5 ELSE 0 END + CASE WHEN bots < 0.3 THEN 1.0 WHEN bots < 0.5 THEN 0.5 ELSE 0 END) / 6 AS score1,
   (CASE WHEN update_ms BETWEEN 2000 AND 10000 THEN 1.0 WHEN update_ms > 1000 AND update_ms < 15000 THEN 0.5 ELSE 0 END + CASE WHEN rate BETWEEN 2 AND 15 THEN 1.0 WHEN rate > 1 AND rate < 20 THEN 0.5 ELSE 0 END
     + CASE WHEN dispersion > 2.0 THEN 1.0 WHEN dispersion > 1.2 THEN 0.5 ELSE 0 END + CASE WHEN hhi BETWEEN 0.10 AND 0.25 THEN 1.0 WHEN hhi BETWEEN 0.05 AND 0.35 THEN 0.5 ELSE 0 END) / 4 AS score2,
   (CASE WHEN update_ms < 2000 THEN 1.0 WHEN update_ms < 3000 THEN 0.5 ELSE 0 END + CASE WHEN spread_bps < 100 THEN 1.0 WHEN spread_bps < 200 THEN 0.5 ELSE 0 END + CASE WHEN stale_ms < 3000 THEN 1.0 WHEN stale_ms < 5000 THEN 0.5 ELSE 0 END
-    + CASE WHEN hhi > 0.25 THEN 1.0 WHEN hhi > 0.15 THEN 0.5 ELSE 0 END + CASE WHEN bots > 0.7 THEN 1.0 WHEN bots > 0.5 THEN 0.5 ELSE 0 END) / 6 AS score3 FROM f),
+    + CASE WHEN hhi > 0.25 THEN 1.0 WHEN hhi > 0.15 THEN 0.5 ELSE 0 END + CASE WHEN bots > 0.7 THEN 1.0 WHEN bots > 0.5 THEN 0.5 ELSE 0 END + CASE WHEN gap_half_life_ms < 3000 THEN 1.0 WHEN gap_half_life_ms < 5000 THEN 0.5 ELSE 0 END) / 6 AS score3 FROM f),
 ty AS (SELECT *, CASE WHEN greatest(score1, score2, score3) = 0 THEN 2 WHEN score1 = greatest(score1, score2, score3) THEN 1 WHEN score3 = greatest(score1, score2, score3) THEN 3 ELSE 2 END AS type,
   CASE WHEN greatest(score1, score2, score3) = 0 THEN 0.3 ELSE least(greatest(greatest(score1, score2, score3) / (score1 + score2 + score3), 0.1), 1) END AS confidence,
-  least(greatest(0.25 / (1 + spread_bps / 100) + CASE WHEN update_ms > 0 THEN 0.20 / (1 + update_ms / 1000) ELSE 0 END + 0.20 / 16 + 0.15 * hhi + CASE WHEN stale_ms > 0 THEN 0.10 / (1 + stale_ms / 2000) ELSE 0 END + 0.10 * bots, 0), 1) AS efficiency FROM sc),
+  least(greatest(CASE WHEN spread_bps > 0 THEN 0.25 / (1 + spread_bps / 100) ELSE 0 END + CASE WHEN update_ms > 0 THEN 0.20 / (1 + update_ms / 1000) ELSE 0 END + CASE WHEN coalesce(gap_half_life_ms, 30000) > 0 THEN 0.20 / (1 + coalesce(gap_half_life_ms, 30000) / 2000) ELSE 0 END + 0.15 * hhi + CASE WHEN stale_ms > 0 THEN 0.10 / (1 + stale_ms / 2000) ELSE 0 END + 0.10 * bots, 0), 1) AS efficiency FROM sc),
 vs AS (SELECT *, list_filter([CASE WHEN (type = 2 AND rate >= 5 OR type = 3) AND rate > 5 AND update_ms < 5000 AND spread_bps < 500 THEN 'book_imbalance' END, CASE WHEN type = 2 AND rate > 10 AND spread_bps < 200 AND update_ms < 2000 THEN 'microprice_dislocation' END,
-  CASE WHEN type IN (1, 2) THEN 'wallet_follow' END, CASE WHEN type = 2 OR type = 3 AND rate > 3 THEN 'large_trade_reaction' END, CASE WHEN type IN (1, 2) AND rate > 0.5 THEN 'complement_arb' END, CASE WHEN type IN (1, 2) THEN 'cross_market_consistency' END,
-  CASE WHEN type IN (1, 2) THEN 'stale_book' END, CASE WHEN type IN (1, 2) AND bots < 0.7 THEN 'cascade_detection' END], lambda x: x IS NOT NULL) AS strategies FROM ty)"""
+  CASE WHEN type IN (1, 2) THEN 'wallet_follow' END, CASE WHEN type = 2 OR type = 3 AND rate > 3 THEN 'large_trade_reaction' END, CASE WHEN gaps_1h > 0.5 AND coalesce(gap_half_life_ms > 2000, type <> 3) THEN 'complement_arb' END, CASE WHEN type IN (1, 2) THEN 'cross_market_consistency' END,
+  CASE WHEN type IN (1, 2) THEN 'stale_book' END, CASE WHEN type = 1 THEN 'resolution_convergence' END, CASE WHEN type = 1 THEN 'new_market_listing' END, CASE WHEN type IN (1, 2) AND bots < 0.7 THEN 'cascade_detection' END], lambda x: x IS NOT NULL) AS strategies FROM ty)"""
 _SIG = f"{sql.TRADES}, sig AS (SELECT 's' || token AS strategy, market, side, ts, event_id, ticks / 1000 AS ev, size / 50 AS strength, size, ticks / 100 AS target, token + 1 AS h FROM v_trades)"
+_TESTED = f"""{_REG}, hr AS (SELECT tick, regime, coalesce(lag(regime) OVER (ORDER BY tick), '') AS assumed FROM reg), en AS (SELECT market, min(ts) + (max(ts) - min(ts)) // 2 AS fin FROM v_trades WHERE market < 2 GROUP BY market),
+sg AS (SELECT 's' || token AS strategy, v.market, side, ts, event_id, ts * 1000000 + event_id AS pos, CASE WHEN ticks / 1000 < 0.02 THEN 'min_ev' WHEN size <= 0 OR size / 50 > 1 THEN 'strength' WHEN size > 40 THEN 'max_size' END AS bf,
+  CASE WHEN assumed <> '' AND assumed <> regime THEN 'regime' WHEN ticks / 1000 - size / 500 < -0.10 THEN 'ci_low' WHEN ts >= fin THEN 'inactive' WHEN ticks / 100 <= 0 OR ticks / 100 >= 1 THEN 'target' WHEN ticks / 100 + 0.03 >= 1 THEN 'target' END AS af
+  FROM v_trades v JOIN hr ON hr.tick = v.ts // 3600000 LEFT JOIN en ON en.market = v.market),
+nd AS (SELECT strategy, market, side, ts, min(event_id) AS event_id FROM sg WHERE bf IS NULL AND af IS NULL GROUP BY ALL),
+nx AS (SELECT *, min(ts) OVER (PARTITION BY strategy, market, side ORDER BY ts RANGE BETWEEN {REPEAT} FOLLOWING AND UNBOUNDED FOLLOWING) AS nt FROM nd),
+kp AS (SELECT strategy, market, side, min(ts) AS ts FROM nd GROUP BY ALL UNION ALL SELECT nx.strategy, nx.market, nx.side, nx.nt FROM kp JOIN nx ON kp.strategy = nx.strategy AND kp.market = nx.market AND kp.side = nx.side AND kp.ts = nx.ts WHERE nx.nt IS NOT NULL),
+kq AS (SELECT nd.*, nd.ts * 1000000 + nd.event_id AS kpos FROM kp JOIN nd ON kp.strategy = nd.strategy AND kp.market = nd.market AND kp.side = nd.side AND kp.ts = nd.ts),
+tested AS (SELECT sg.*, kq.ts AS lk FROM sg ASOF LEFT JOIN kq ON sg.strategy = kq.strategy AND sg.market = kq.market AND sg.side = kq.side AND sg.pos > kq.kpos)"""
 _EXE = f"""{sql.TRADES}, {sql.LEVELS}, asks AS (SELECT *, sum(size) OVER (PARTITION BY book ORDER BY level ROWS UNBOUNDED PRECEDING) AS cum, min(price) OVER (PARTITION BY book) AS first FROM v_levels WHERE side = 'ask'),
 o AS (SELECT event_id, market, event_id % 200 + 1 AS book, size * 3 AS want FROM v_trades WHERE side = 'BUY'), bks AS (SELECT DISTINCT book FROM v_levels),
 x AS (SELECT o.event_id, o.market, o.book, o.want, coalesce(sum(greatest(0, least(a.size, want - (cum - a.size)))), 0) AS filled, coalesce(sum(greatest(0, least(a.size, want - (cum - a.size))) * a.price), 0) AS cost, any_value(first) AS first
   FROM o JOIN bks USING (book) LEFT JOIN asks a ON a.book = o.book GROUP BY ALL),
 ex AS (SELECT event_id, market, book, CAST(filled AS DOUBLE) AS filled, CASE WHEN filled > 0 THEN cost / filled END AS vwap, cost * 0.02 AS fee, CASE WHEN filled > 0 THEN cost / filled - first END AS slippage, filled < want AS partial FROM x)"""
-_MV = f"""{sql.PRICES}, m0 AS (SELECT *, price - lag(price) OVER (PARTITION BY series ORDER BY ts, event_id) AS move FROM v_prices),
-m1 AS (SELECT *, stddev_samp(move) OVER w AS sd, count(*) OVER w AS k FROM m0 WINDOW w AS (PARTITION BY series ORDER BY ts, event_id ROWS 498 PRECEDING)),
-mv AS (SELECT series, event_id, ts, move FROM m1 WHERE k >= 11 AND sd > 0 AND abs(move) >= sd AND abs(move) >= 0.005),
-pg AS (SELECT s.series AS source, d.series AS target, s.event_id, d.ts - s.ts AS lag, least(abs(d.move / s.move), 5.0) AS efficiency, d.move AS target_move, row_number() OVER (PARTITION BY s.series, d.series, s.event_id ORDER BY d.ts, d.event_id) AS rk
-  FROM mv s JOIN mv d ON s.series <> d.series AND d.ts > s.ts AND d.ts - s.ts <= 3600000 AND sign(d.move) = sign(s.move) AND abs(d.move) >= 0.1 * abs(s.move)),
-prop AS (SELECT source, target, event_id, lag, efficiency, target_move FROM pg WHERE rk = 1),
-ps AS (SELECT source, target, count(*) AS n, list_sort(list(lag)) AS x, avg(efficiency) AS efficiency FROM prop GROUP BY ALL)"""
 _QD = "q AS (SELECT p_name AS question, p_type AS category, min(p_partkey) AS market FROM part GROUP BY 1, 2)"
-_SIM = f"""{_QD}, t AS (SELECT market, category, {_TOK.format('question')} AS w FROM q), tt AS (SELECT * FROM t WHERE len(w) > 0),
+def similar(q: str) -> str:
+    """pairs of the questions in q (market, category, question) that share a word."""
+    return f"""{q}, t AS (SELECT market, category, {_TOK.format('question')} AS w FROM q), tt AS (SELECT * FROM t WHERE len(w) > 0),
 u AS (SELECT market, len(w) AS n, unnest(w) AS term FROM tt), c AS (SELECT market, n, term, count(*) / n AS tf FROM u GROUP BY market, n, term),
 pr AS (SELECT DISTINCT x.market AS a, y.market AS b FROM c x JOIN c y ON x.term = y.term AND x.market < y.market),
 sh AS (SELECT pr.a, pr.b, sum(x.tf * y.tf) * ln(5.0 / 3) * ln(5.0 / 3) AS dot, count(*) AS k, sum(x.tf * x.tf) AS sa, sum(y.tf * y.tf) AS sb, sum(x.tf) AS share FROM pr JOIN c x ON x.market = pr.a JOIN c y ON y.market = pr.b AND y.term = x.term GROUP BY ALL),
@@ -339,6 +330,8 @@ sm AS (SELECT sh.a, sh.b, sh.share AS shared, 0.4 * sh.k / (p.k + q.k - sh.k) +
 pairs AS (SELECT a, b, shared, similarity, CASE WHEN similarity >= 0.65 AND x.category = y.category THEN 'same_event' WHEN similarity >= 0.5 AND x.category = y.category AND shared >= 0.4 THEN 'complementary' WHEN similarity >= 0.45 AND x.category <> y.category THEN 'causal' ELSE 'semantic' END AS kind
   FROM sm JOIN t x ON x.market = a JOIN t y ON y.market = b)"""
 
+
+_SIM = similar(_QD)
 _REACH = f"""{_SIM}, ed AS (SELECT a, b FROM pairs WHERE similarity >= 0.34 UNION SELECT b, a FROM pairs WHERE similarity >= 0.34),
 reach AS (SELECT market AS id, market AS node FROM q UNION SELECT reach.id, ed.b FROM reach JOIN ed ON ed.a = reach.node), cl AS (SELECT id, min(node) AS cluster FROM reach GROUP BY id),
 members AS (SELECT p_partkey AS id, p_name AS question, cluster FROM part JOIN q ON p_name = q.question AND p_type = q.category JOIN cl ON cl.id = q.market)"""
@@ -351,7 +344,7 @@ def _place() -> str:
     return "CASE " + " ".join(rules) + " END"
 
 
-QUERIES = {f.__name__: f for f in (book_metrics, vwap_sweep, rolling_stats, volatility, autocorrelation, linreg, bh_adjust, percentile_rank, asof_backward, forward_returns, feature_z, regime_ticks, transition_matrix, regime_spans, regime_confirmed, regime_durations, large_trades, impact_cube, market_types, edge_map, viable_strategies, viability_matrix, signal_filter, paper_execute, attribution_rollup, token_df, tfidf, question_classes, similarity_pairs, question_clusters, cluster_descriptions, temporal_order, propagation_lags, pair_stats, edge_at_lag, exploitable_pairs, sessions, source_health, dedup)}
+QUERIES = {f.__name__: f for f in (book_metrics, vwap_sweep, rolling_stats, volatility, autocorrelation, linreg, bh_adjust, percentile_rank, asof_backward, forward_returns, feature_z, regime_ticks, transition_matrix, regime_spans, regime_confirmed, regime_durations, large_trades, impact_cube, market_types, edge_map, viable_strategies, viability_matrix, signal_filter, paper_execute, attribution_rollup, token_df, tfidf, question_classes, similarity_pairs, question_clusters, cluster_descriptions, temporal_order, sessions, source_health, dedup)}
 
 
 def _r(*names: str, digits: int = 6) -> str:
@@ -403,14 +396,13 @@ ORACLE_SQL = {
     "large_trades": f"WITH {_LARGE} SELECT event_id, market, round(z, 6) + 0.0 AS z FROM large WHERE z >= 2.0",
     "impact_cube": f"""WITH {_LARGE}, nx AS (SELECT event_id, lead(ticks) OVER (PARTITION BY token ORDER BY ts, event_id) AS nt FROM v_trades), b AS (SELECT market, side, CASE WHEN side = 'BUY' THEN nt < ticks ELSE nt > ticks END AS back FROM large JOIN nx USING (event_id) WHERE z >= 1.0 AND nt IS NOT NULL)
       SELECT market, side, count(*) AS n, round(CASE WHEN count(*) >= 5 THEN avg(CASE WHEN back THEN 1.0 ELSE 0.0 END) END, 6) + 0.0 AS rate FROM b GROUP BY CUBE (market, side)""",
-    "market_types": f"WITH {_TYPES} SELECT market, {_r('rate')}, round(dispersion, 3) + 0.0 AS dispersion, {_r('hhi', 'bots')}, dominant, {_r('score1', 'score2', 'score3')}, CAST(type AS BIGINT) AS type, {_r('confidence', 'efficiency')} FROM ty",
+    "market_types": f"WITH {_TYPES} SELECT market, {_r('rate')}, round(dispersion, 3) + 0.0 AS dispersion, {_r('hhi', 'bots')}, {_r('spread_bps', digits=4)}, {_r('update_ms', digits=3)}, gap_half_life_ms, gaps_1h, dominant, {_r('score1', 'score2', 'score3')}, CAST(type AS BIGINT) AS type, {_r('confidence', 'efficiency')} FROM ty",
     "edge_map": f"""WITH {_TYPES}, w AS (SELECT *, (1 - efficiency) * (1 - efficiency) * least(greatest(len(strategies) / 2, 0.1), 1.0) AS weight FROM vs WHERE len(strategies) > 0)
-      SELECT market, round((1 - efficiency) * 0.05, 6) + 0.0 AS edge, round(least(weight / sum(weight) OVER () * 9000.0, 1000.0), 6) + 0.0 AS allocation FROM w""",
+      SELECT market, round((1 - efficiency) * 0.05, 6) + 0.0 AS edge, round(least(weight / sum(weight) OVER () * 9000.0, 1000.0), 6) + 0.0 AS allocation, CASE WHEN bool_or(confidence > 0.5) OVER () THEN 'trade_actively' ELSE 'trade_selectively' END AS label FROM w""",
     "viable_strategies": f"WITH {_TYPES} SELECT market, CAST(type AS BIGINT) AS type, array_to_string(strategies, ',') AS strategies FROM vs",
     "viability_matrix": f"""WITH {_SIG}, d AS (SELECT CAST(unnest([1, 2, 3, 5, 10, 15, 20, 30]) AS BIGINT) AS delay_s)
       SELECT strategy, delay_s, count(*) AS signals, count(*) FILTER (ev * exp(-0.693147 * delay_s / h) > 0.02 + 0.001 * size / 100 * 0.03 + 0.0005 * size / 100) AS viable FROM sig CROSS JOIN d GROUP BY ALL""",
-    "signal_filter": f"""WITH {_SIG}, l AS (SELECT *, lag(ts) OVER (PARTITION BY strategy, market, side ORDER BY ts, event_id) AS p FROM sig)
-      SELECT event_id, CASE WHEN ev < 0.02 THEN 'min_ev' WHEN strength <= 0 OR strength > 1 THEN 'strength' WHEN size <= 0 THEN 'size' WHEN size > 40 THEN 'max_size' WHEN ts - p < 5000 THEN 'duplicate' WHEN target <= 0 OR target >= 1 THEN 'target' END AS filter FROM l""",
+    "signal_filter": f"""WITH RECURSIVE {_TESTED} SELECT event_id, CASE WHEN bf IS NOT NULL THEN bf WHEN ts - lk < {REPEAT} THEN 'duplicate' ELSE af END AS filter FROM tested""",
     "paper_execute": f"WITH {_EXE} SELECT event_id, book, filled, {_r('vwap', 'fee', 'slippage', digits=9)}, partial FROM ex",
     "attribution_rollup": f"WITH {_EXE} SELECT market, count(*) AS n, sum(filled) AS filled, round(sum(fee), 4) + 0.0 AS fees, round(avg(slippage), 6) + 0.0 AS slippage FROM ex GROUP BY ROLLUP (market)",
     "token_df": f"WITH t AS (SELECT unnest(list_distinct({_TOK.format('p_name')})) AS term FROM part) SELECT term, count(*) AS df FROM t GROUP BY 1",
@@ -426,12 +418,11 @@ ORACLE_SQL = {
     "regime_durations": f"""WITH {_CONFIRMED}, ch AS (SELECT tick * 3600000 AS ts, current FROM (SELECT *, lag(current) OVER (ORDER BY tick) AS o FROM conf) WHERE o IS NULL OR o <> current), sp AS (SELECT current, lead(ts) OVER (ORDER BY ts) - ts AS d FROM ch),
       dm AS (SELECT unnest([{', '.join(f"'{x}'" for x in REGIMES)}]) AS state) SELECT state, count(d) AS n, round(coalesce(avg(d), 0), 3) + 0.0 AS mean_ms FROM dm LEFT JOIN sp ON current = state AND d IS NOT NULL GROUP BY state""",
     "temporal_order": f"WITH d AS (SELECT item_id, lower(text) AS x FROM benchmark) SELECT item_id, CAST({_place()} AS BIGINT) AS place FROM d",
-    "propagation_lags": f"WITH {_MV} SELECT source, target, event_id, lag, {_r('efficiency')} FROM prop",
-    "pair_stats": f"WITH {_MV} SELECT source, target, n, x[n // 4 + 1] AS p25, x[n // 2 + 1] AS median, x[3 * n // 4 + 1] AS p75, {_r('efficiency')}, x[n // 2 + 1] > 1000000 AS exploitable FROM ps WHERE n >= 3",
-    "edge_at_lag": f"WITH {_MV} SELECT prop.source, prop.target, round(avg(abs(target_move) - 0.02), 6) + 0.0 AS edge FROM prop JOIN ps USING (source, target) WHERE n >= 3 AND lag BETWEEN x[n // 4 + 1] AND x[3 * n // 4 + 1] GROUP BY ALL",
-    "exploitable_pairs": f"WITH {_MV} SELECT source, target, n, x[n // 2 + 1] AS median FROM ps WHERE n >= 3 AND x[n // 2 + 1] > 1000000 ORDER BY median DESC, source, target LIMIT 20",
     "sessions": """WITH a AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM a)
       SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n, max(value) AS peak FROM b GROUP BY user_id, k""",
     "source_health": f"WITH {sql.PRICES}, h AS (SELECT series, count(*) AS n, max(ts) AS last FROM v_prices GROUP BY 1), m AS (SELECT max(ts) AS now FROM v_prices) SELECT series, n, now - last AS age_ms, CASE WHEN now - last > 600000 THEN 'stale' ELSE 'ok' END AS status FROM h CROSS JOIN m",
-    "dedup": f"WITH {sql.TRADES}, l AS (SELECT *, lag(ts) OVER (PARTITION BY wallet, token ORDER BY ts, event_id) AS p FROM v_trades) SELECT event_id, wallet, token FROM l WHERE p IS NULL OR ts - p > 43200000",
+    "dedup": f"""WITH RECURSIVE {sql.TRADES}, nd AS (SELECT wallet, token, ts, min(event_id) AS event_id FROM v_trades GROUP BY ALL),
+      nx AS (SELECT *, min(ts) OVER (PARTITION BY wallet, token ORDER BY ts RANGE BETWEEN {DEDUP} FOLLOWING AND UNBOUNDED FOLLOWING) AS nt FROM nd),
+      kp AS (SELECT wallet, token, min(ts) AS ts FROM nd GROUP BY ALL UNION ALL SELECT nx.wallet, nx.token, nx.nt FROM kp JOIN nx ON kp.wallet = nx.wallet AND kp.token = nx.token AND kp.ts = nx.ts WHERE nx.nt IS NOT NULL)
+      SELECT event_id, nd.wallet, nd.token FROM kp JOIN nd ON kp.wallet = nd.wallet AND kp.token = nd.token AND kp.ts = nd.ts""",
 }

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import execution_queries, market_queries, message_queries, research_queries, strategy_queries, wallet_queries
+from . import execution_queries, graph_queries, market_queries, message_queries, reaction_queries, research_queries, strategy_queries, wallet_queries
 
-QUERIES: dict = wallet_queries.QUERIES | market_queries.QUERIES | research_queries.QUERIES | strategy_queries.QUERIES | execution_queries.QUERIES | message_queries.QUERIES
-ORACLE_SQL: dict[str, str] = wallet_queries.ORACLE_SQL | market_queries.ORACLE_SQL | research_queries.ORACLE_SQL | strategy_queries.ORACLE_SQL | execution_queries.ORACLE_SQL | message_queries.ORACLE_SQL
+MODULES = (wallet_queries, market_queries, research_queries, strategy_queries, execution_queries, message_queries, graph_queries, reaction_queries)
+QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: query for m in MODULES for name, query in m.ORACLE_SQL.items()}
 FLAGSHIP = "top_wallets"

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import evaluators, research, wallets
+from ..operators import evaluators, research, series, wallets
 from ..sources import views
 from . import market_queries as M
 from . import sql
@@ -70,14 +69,18 @@ def follow_parameters(spark, sf_dir):
     return wallets.follow_parameters(views.trades(spark, sf_dir), advice, curve, 10_000.0, LATENCY).select("wallet", "delay_ms", r("least_size"), r("allocation"))
 
 
-def wallet_gate(spark, sf_dir):
-    """Whether a wallet's trades are followed, faded or left, and how strong a signal of theirs would be."""
+def _gated(spark, sf_dir) -> DataFrame:
+    """wallet, gate, class, confidence, n, t, win_rate, advice, halflife_ms."""
     advice, curve = _advice(spark, sf_dir)
     half = wallets.half_life(curve).select("wallet", "halflife_ms")
     rows = _class(spark, sf_dir).join(advice, "wallet").join(half, "wallet", "left")
-    gate = evaluators.follow_gate(F.col("class"), F.col("halflife_ms"), F.col("advice") == "follow", LATENCY)
+    return rows.withColumn("gate", evaluators.follow_gate(F.col("class"), F.col("halflife_ms"), F.col("advice") == "follow", LATENCY))
+
+
+def wallet_gate(spark, sf_dir):
+    """Whether a wallet's trades are followed, faded or left, and how strong a signal of theirs would be."""
     strength = evaluators.follow_strength(F.coalesce("t", F.lit(0.0)), F.coalesce("win_rate", F.lit(0.0)), F.lit(0.05), F.col("confidence"))
-    return rows.select("wallet", gate.alias("gate"), r_expr(strength, "strength"))
+    return _gated(spark, sf_dir).select("wallet", "gate", r_expr(strength, "strength"))
 
 
 def market_heat(spark, sf_dir):
@@ -99,8 +102,9 @@ def _members(spark, sf_dir) -> DataFrame:
 
 
 def return_correlation(spark, sf_dir):
-    w = W.partitionBy("series").orderBy("ts", "event_id")
-    p = views.prices(spark, sf_dir).withColumn("a", F.col("price") - F.lag("price").over(w)).withColumn("b", F.lag("a").over(w)).where("a is not null and b is not null")
+    order = ["ts", "event_id"]
+    p = series.lagged(views.prices(spark, sf_dir), ["series"], order, {"a": "price"}).withColumn("a", F.col("price") - F.col("a"))
+    p = series.lagged(p, ["series"], order, {"b": "a"}).where("a is not null and b is not null")
     return research.return_correlation(p, "series", "a", "b").select("series", "n", r("correlation"))
 
 

@@ -58,3 +58,9 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """market, question, category: one market for each part."""
     p = read(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("market"), F.col("p_name").alias("question"), F.col("p_type").alias("category"))
+
+
+def mids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """series (a market: the part that the user's number points to), event_id, ts (ms), price in hundredths from 0.01 to 0.99."""
+    t = trades(spark, sf_dir)
+    return t.select((F.col("wallet") + 1).alias("series"), "event_id", "ts", (F.col("ticks") / 100).alias("price"))
