@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -486,6 +487,26 @@ def test_pii_of_other_scripts_and_null_ids(spark):
     assert new[6] == new[7] != f"Dr {taken}"
 
 
+def test_names_agree_word_by_word(spark):
+    """A surname alone, in full, in capitals and in an address has one surrogate; a person's domain goes as well."""
+    texts = ["Frau Anna Schmidt and Frau Schmidt wrote to anna.schmidt@annaschmidt.de", "ANNA SCHMIDT, b@annaschmidt.de", "My name is Quentin Zorro. Mit freundlichen Grüßen Odo Blix", "x@shop.example.co.uk", "Frau Anna"]
+    docs = frame(spark, [(i, t, "en", f"s{i}", 1) for i, t in enumerate(texts)])
+    new = {r.source: r.text for r in pii.anonymize(docs, KEY).collect()}
+    first, last = new["s0"].split(" and ")[0].split()[1:]
+    assert first in pii.GIVEN[0] and last != "Schmidt"
+    assert new["s0"].split(" and ")[1].startswith(f"Frau {last} wrote to {first.lower()}.{last.lower()}@")
+    domain = new["s0"].rpartition("@")[2]
+    assert domain != "annaschmidt.de" and domain.endswith(".de") and new["s1"].startswith(f"{first.upper()} {last.upper()}, ") and new["s1"].endswith(f"@{domain}")
+    assert "Quentin" not in new["s2"] and "Zorro" not in new["s2"] and "Blix" not in new["s2"]
+    assert new["s3"].endswith(".co.uk") and "shop" not in new["s3"] and "example" not in new["s3"]
+    # Given names stand for one another, whatever else there is.
+    people = spark.createDataFrame([("name", n.lower()) for n in pii.GIVEN[1]] + [("name", "qwert"), ("name", "zuiop")], "kind string, who string")
+    changed = pii.redrawn(people, KEY)
+    again = {} if changed is None else {(r.kind, r.who): r.attempt for r in changed.collect()}
+    shown = {r.who: pii.stands_for("name", r.who, again, KEY) for r in people.collect()}
+    assert len(set(shown.values())) == len(shown) and not {shown["qwert"], shown["zuiop"]} & set(pii.GIVEN_OF)
+
+
 # -- classifiers
 
 
@@ -560,6 +581,23 @@ def test_long_texts_go_piece_by_piece():
 
 
 
+def test_ranking_minimises_the_pairs_loss():
+    """The weights are where the logistic loss on pairs is least, and the cut leaves the share of poor rows below."""
+    rng = np.random.default_rng(5)
+    x, good = rng.normal(0, 1, (200, 4)), rng.random(200) < 0.7
+    x[:, 0] += good * 1.5
+    ranking = quality.train(x, good, pairs=20_000)
+    z = np.clip((x - ranking.mean) / ranking.scale, -8, 8)
+    every = (z[good][:, None] - z[~good][None]).reshape(-1, 4)
+    loss = lambda w: np.log1p(np.exp(-every @ w)).mean() + 0.5e-4 * w @ w
+    best = loss(ranking.weights)
+    for k in range(4):
+        for step in (-0.15, 0.15):
+            assert loss(ranking.weights + step * np.eye(4)[k]) > best
+    assert abs((ranking.strength(x) < ranking.threshold).mean() - (~good).mean()) <= 0.02
+    assert quality.train(x, good, quantile=0.2).threshold < ranking.threshold
+
+
 def test_training_takes_no_more_than_its_bounds(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(i, prose(rng, 10 + i % 7 * 30), "en", "s", 0) for i in range(200)] + [(7, prose(rng, 5), "en", "s", 0)] * 300
@@ -823,3 +861,76 @@ def test_pipeline_is_the_plain_one(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_packing_plan_as_a_table_is_the_plan_that_is_sent(spark, monkeypatch):
+    configure(spark)
+    rng = random.Random(3)
+    rows = [(i, 0, 0, rng.choice([1, 5, 700, 900, 1300, 2047, 2048]), i) for i in range(400)]
+    pieces = spark.createDataFrame(rows, packing.PIECES)
+    sent = sorted(map(tuple, packing.pack(pieces).collect()))
+    monkeypatch.setattr(packing, "SENT", 0)
+    monkeypatch.setattr(packing, "BUCKET", 16)
+    assert sorted(map(tuple, packing.pack(pieces).collect())) == sent
+
+
+def fewest(lengths, capacity):
+    """The least number of bins, by trying every way."""
+    best = [len(lengths)]
+
+    def put(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(rooms)
+            return
+        for i, room in enumerate(rooms):
+            if room >= lengths[k] and room not in rooms[:i]:
+                put(k + 1, [*rooms[:i], room - lengths[k], *rooms[i + 1 :]])
+        put(k + 1, [*rooms, capacity - lengths[k]])
+
+    lengths = sorted(lengths, reverse=True)
+    put(0, [])
+    return best[0]
+
+
+def test_packing_is_the_best_or_one_off():
+    rng = random.Random(2)
+    off = []
+    for _ in range(40):
+        lengths = [rng.randint(1, 20) for _ in range(rng.randint(1, 11))]
+        bins = packing.plan(dict(Counter(lengths)), 20)
+        off.append(sum(b.n for b in bins) - fewest(lengths, 20))
+    assert min(off) == 0 and max(off) <= 1 and off.count(0) >= 36
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    configure(spark)
+    rng = random.Random(12)
+    items = [(i, prose(rng, rng.choice([4, 13, 30]))) for i in range(30)] + [(3, prose(rng, 20)), (None, prose(rng, 20)), (40, None)]
+    texts = [f"{prose(rng, 9)} {rng.choice(items)[1] or ''} {prose(rng, 5)}" for _ in range(60)] + [None, "", items[1][1]]
+    docs = frame(spark, [(i % 50, t, "en", f"s{i}", 1) for i, t in enumerate(texts)], extra=True)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    shown = lambda rows: sorted((r.doc_id, r.n_words, r.n_hit, sorted(r.items), sorted(map(str, r.matches))) for r in rows)
+    whole, kept = shown(decontaminate.search(docs, bench).collect()), sorted(map(str, decontaminate.clean(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 600)
+    assert len(decontaminate._counted(bench, 13)) > 3
+    assert shown(decontaminate.search(docs, bench).collect()) == whole and sorted(map(str, decontaminate.clean(docs, bench).collect())) == kept
+    assert decontaminate.clean(docs, bench).columns == docs.columns
+
+
+def test_a_very_long_path_is_no_chain_of_jobs(spark):
+    import time
+
+    pages = [(1, "http://a.com/" + "/".join(f"s{k}x{k % 7}" for k in range(5000))), (2, "http://b.com/" + "/".join(f"s{k}" for k in range(3000))), (3, "http://c.com/b"), (4, None)]
+    began = time.time()
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(pages * 2, "page_id long, url string"), []).collect()}
+    assert time.time() - began < 60 and len(got) == 4
+    assert got[1].template == "/" + "/".join(f"s{k}x{k % 7}" for k in range(5000)) and got[3].template == "/b"
+
+
+def test_copies_of_one_document_are_deduplicated_in_line(spark):
+    text = prose(random.Random(4), 60)
+    docs = frame(spark, [(1, text, "en", "s", 1)] * 1000 + [(2, text + " end", "en", "s", 1)])
+    got = substrings.dedup(docs)
+    assert got.count() == 1001 and {r.n_removed for r in got.where("doc_id = 2").collect()} == {60}

@@ -20,7 +20,7 @@ every column of its input, whatever its name.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .tables import free_name, materialize, numbered
 
 WIDTH = 13
-#: Bytes of benchmark text that are sent to all executors at once; a larger benchmark takes one pass over the documents a block.
+#: Bytes of benchmark text that are sent to all executors at once; a larger benchmark takes one pass over the documents for each such block.
 BLOCK_BYTES = 32 << 20
 #: Words that the sort key of a suffix holds, 16 bits of each word's hash.
 KEY_WORDS = 4
@@ -158,49 +159,84 @@ def covered(runs: list[dict]) -> int:
     return total
 
 
-def blocks(benchmark: DataFrame, width: int, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[Suffixes, bool]]:
-    """The benchmark's suffixes in blocks of a bounded size, one at a time, and whether it is the last."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull())
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / block_bytes))
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")]).combine_chunks()
-        yield suffixes(rows["item_id"].to_pylist(), pa.concat_arrays(rows["text"].chunks) if rows.num_rows else pa.array([], pa.string()), width), k == n - 1
-
-
 def scan(documents: DataFrame, benchmark: DataFrame, width: int, keep_text: bool) -> DataFrame:
-    """row: the document's columns (without its text if so told), n_words, n_hit, items and matches."""
+    """row: the document's columns (without its text if so told), n_words, n_hit, items and matches.
+
+    A benchmark of one block takes one pass. With more, each block is one pass that writes what it finds, and only
+    that block is held while it runs; what was found is put together by row at last.
+    """
     if not keep_text:
         documents = documents.select("doc_id", "text")
-    row = documents.drop("text").schema if not keep_text else documents.schema
-    out = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast(MATCHES).alias("matches"))
-    for tests, last in blocks(benchmark, width):
-        shared = documents.sparkSession.sparkContext.broadcast(tests)
-
-        def run(batches, shared=shared, last=last):
-            kinds = None
-            for batch in batches:
-                row = batch.column("row")
-                fields = {row.type[i].name: row.field(i) for i in range(row.type.num_fields)}
-                texts = pa.RecordBatch.from_arrays([fields["text"], pa.array(np.arange(batch.num_rows))], names=["text", "n"])
-                kinds = kinds or (batch.schema.field("items").type, batch.schema.field("matches").type)
-                for part in W.chunks(iter([texts])):
-                    here = batch.slice(part["n"][0].as_py(), part.num_rows)
-                    hashes, others, first = word_hashes(*W.buffer(part.column("text")))
+    first, *more = _counted(benchmark, width)
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")
+    none = [F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast(MATCHES).alias("matches")]
+    if not more:
+        return _passed(documents.select(whole, *none), first(), keep_text)
+    row = free_name(documents, "_row")
+    rows = numbered(documents, row)
+    found = None
+    for block in (first, *more):
+        own = _found(rows.select(F.col(row).alias("row"), "text"), block())
+        found = materialize(own, "found") if found is None else found.unionAll(materialize(own, "found"))
+    items, runs = free_name(rows, "_items"), free_name(rows, "_matches")
+    each = found.groupBy(F.col("row").alias(row)).agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias(items), F.flatten(F.collect_list("matches")).alias(runs))
+    return _passed(rows.join(each, row, "left").select(whole, F.col(items).alias("items"), F.col(runs).alias("matches")), None, keep_text)
+
+
+def _counted(benchmark: DataFrame, width: int) -> list[Callable[[], Suffixes]]:
+    """For each block of the benchmark a function that makes its suffixes."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull())
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, math.ceil(size / BLOCK_BYTES))
+
+    def make(k: int) -> Suffixes:
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")]).combine_chunks()
+        return suffixes(rows["item_id"].to_pylist(), pa.concat_arrays(rows["text"].chunks) if rows.num_rows else pa.array([], pa.string()), width)
+
+    return [lambda k=k: make(k) for k in range(n)]
+
+
+def _found(rows: DataFrame, tests: Suffixes) -> DataFrame:
+    """row, items and matches of the rows (row, text) with a match."""
+    shared = rows.sparkSession.sparkContext.broadcast(tests)
+
+    def run(batches):
+        kind = pa.list_(pa.struct([("word", pa.int64()), ("n_words", pa.int64()), ("item_id", pa.string()), ("item_word", pa.int64())]))
+        for part in W.chunks(batches):
+            items, runs = matches(*word_hashes(*W.buffer(part.column("text"))), shared.value)
+            hit = [k for k, r in enumerate(runs) if r]
+            yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(hit, pa.int64())), pa.array([sorted(items[k]) for k in hit], pa.list_(pa.string())), pa.array([runs[k] for k in hit], kind)], names=["row", "items", "matches"])
+
+    return rows.mapInArrow(run, f"row long, items array<string>, matches {MATCHES}")
+
+
+def _passed(rows: DataFrame, tests: Suffixes | None, keep_text: bool) -> DataFrame:
+    """rows (row, items, matches) with what `tests`, if any, has of them, counted."""
+    shared = rows.sparkSession.sparkContext.broadcast(tests)
+    row = rows.schema["row"].dataType
+    kept = T.StructType([f for f in row.fields if keep_text or f.name != "text"])
+
+    def run(batches):
+        kinds = None
+        for batch in batches:
+            row = batch.column("row")
+            fields = {row.type[i].name: row.field(i) for i in range(row.type.num_fields)}
+            texts = pa.RecordBatch.from_arrays([fields["text"], pa.array(np.arange(batch.num_rows))], names=["text", "n"])
+            kinds = kinds or (batch.schema.field("items").type, batch.schema.field("matches").type)
+            for part in W.chunks(iter([texts])):
+                here = batch.slice(part["n"][0].as_py(), part.num_rows)
+                hashes, others, first = word_hashes(*W.buffer(part.column("text")))
+                if shared.value is None:
+                    items, runs = ([v or [] for v in here[c].to_pylist()] for c in ("items", "matches"))
+                else:
                     items, runs = matches(hashes, others, first, shared.value)
-                    items = [sorted(a | set(b or ())) for a, b in zip(items, here["items"].to_pylist(), strict=True)]
-                    runs = [a + (b or []) for a, b in zip(runs, here["matches"].to_pylist(), strict=True)]
-                    left = here.column("row")
-                    if last and not keep_text:
-                        left = pa.StructArray.from_arrays([left.field(i) for i in range(left.type.num_fields) if left.type[i].name != "text"], names=[f.name for f in left.type if f.name != "text"])
-                    arrays = [left, pa.array(items, kinds[0]), pa.array(runs, kinds[1])]
-                    if last:
-                        arrays += [pa.array(np.diff(first)), pa.array([covered(r) for r in runs], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["row", "items", "matches", "n_words", "n_hit"][: len(arrays)])
-
-        schema = T.StructType([T.StructField("row", row if last else documents.schema), *(f for f in out.schema.fields if f.name in ("items", "matches"))])
-        out = out.mapInArrow(run, schema.add("n_words", "long").add("n_hit", "long") if last else schema)
-    return out
+                left = here.column("row")
+                if not keep_text:
+                    left = pa.StructArray.from_arrays([left.field(i) for i in range(left.type.num_fields) if left.type[i].name != "text"], names=[f.name for f in left.type if f.name != "text"])
+                arrays = [left, pa.array([sorted(i) for i in items], kinds[0]), pa.array(runs, kinds[1]), pa.array(np.diff(first)), pa.array([covered(r) for r in runs], pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", "items", "matches", "n_words", "n_hit"])
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("row", kept), rows.schema["items"], rows.schema["matches"]]).add("n_words", "long").add("n_hit", "long"))
 
 
 def search(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:

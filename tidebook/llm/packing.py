@@ -37,6 +37,10 @@ CAPACITY = 2048
 END = 0
 #: Schemes to choose from: pieces over this share of the capacity are grouped and rounded, in so many groups.
 SCHEMES = ((1 / 3, 20), (1 / 4, 30), (1 / 16, 60))
+#: Runs of places that are sent to all executors (40 bytes each); a plan of more is a table that pieces are joined with.
+SENT = 1_000_000
+#: Numbers of pieces in a bucket of that table.
+BUCKET = 1 << 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _encoders: dict = {}
@@ -276,10 +280,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Win.partitionBy("length").orderBy("salt").rowsBetween(Win.unboundedPreceding, -1)), F.lit(0)))
     before = materialize(before, "counts")
     histogram = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    shared = spark.sparkContext.broadcast(places(plan(histogram, capacity)))
+    planned = places(plan(histogram, capacity))
     order = Win.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     numbered = salted.withColumn("row", F.row_number().over(order)).join(before.drop("n"), ["length", "salt"]).withColumn("number", F.col("before") + F.col("row") - 1)
 
+    if sum(map(len, planned.values())) > SENT:
+        return joined(numbered, planned)
+    shared = spark.sparkContext.broadcast(planned)
+
     def run(batches):
         for batch in batches:
             length, number = batch.column("length").to_numpy(), batch.column("number").to_numpy()
@@ -296,3 +304,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "number"]
     return numbered.select(*columns).mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
+
+
+def joined(numbered: DataFrame, planned: dict[int, np.ndarray]) -> DataFrame:
+    """The numbered pieces with sequence_id and offset, by a join with the plan's runs on length and bucket of numbers.
+
+    A run stands in every bucket that it reaches, so there are as many rows as runs and, beyond that, one for each bucket.
+    """
+    spark = numbered.sparkSession
+    names = ["first", "end", "share", "sequence", "place"]
+    rows = pa.concat_tables([pa.table({"length": np.full(len(r), s), **{c: r[:, k] for k, c in enumerate(names)}}) for s, r in planned.items()])
+    runs = materialize(spark.createDataFrame(rows), "runs")
+    runs = runs.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / BUCKET), F.floor((F.col("end") - 1) / BUCKET))))
+    met = numbered.withColumn("bucket", F.floor(F.col("number") / BUCKET)).join(runs, ["length", "bucket"]).where("number >= first and number < end")
+    turn = F.col("number") - F.col("first")
+    sequence, within = F.col("sequence") + F.floor(turn / F.col("share")), F.col("place") + turn % F.col("share") * F.col("length")
+    return met.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.cast("long").alias("sequence_id"), within.cast("long").alias("offset"))

@@ -8,15 +8,17 @@ every document (coreference) and different entities have different ones
 their script, case and class of vowels or consonants (or, in other scripts, in
 their category and block of Unicode); card numbers keep their checksum's validity.
 A given name of the lists below becomes another one of the same gender, other names
-keep a gendered ending; title, punctuation and spacing are those found.
+keep a gendered ending; title, punctuation and spacing are those found. A name is replaced word by word, so a
+surname alone and in full agree, as do the words of an address before its @; a domain's labels are replaced as well, all
+but the last and a general one before it, the same domain always by the same.
 
 What a permutation cannot promise is checked over all entities of the corpus: a
 surrogate that is its own entity, another entity's surrogate or an entity that
 occurs somewhere is drawn again, until no such case is left. Where a format has too
 few strings, later draws are one character longer, so there always is one.
 
-Names are those after a title, and a given name of the lists with what follows it;
-a name with neither is not found.
+Names are those after a title or a phrase that introduces one, and a given name of the lists, in capitals or
+not, with what follows it; a name with neither is not found.
 
 Defined cases: null stays null and has no entities; repeated rows get equal texts;
 digits of any script are digits, and a surrogate has those of the mention's script;
@@ -72,6 +74,8 @@ GIVEN = [
     "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(),
     "Иван Пётр Сергей Андрей Дмитрий Алексей Николай Владимир".split(),
 ]
+#: Phrases that a name follows.
+CUES = ["my name is", "My name is", "ask for", "Best regards,", "Kind regards,", "Sincerely,", "mein Name ist", "Mein Name ist", "Mit freundlichen Grüßen", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo", "меня зовут", "Меня зовут"]
 GIVEN_OF = {name.lower(): names for names in ([n.lower() for n in g] for g in GIVEN) for name in names}
 
 _NAME = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]+"
@@ -85,13 +89,13 @@ PATTERNS = {
     "phone": r"(?P<phone>(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}(?![\d-]))",
     "ssn": r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
     "card": r"(?P<card>(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d))",
-    "name": rf"\b(?:(?:{'|'.join(TITLES)})\.?\s+|(?=(?:{'|'.join(n for g in GIVEN for n in g)})[ -]{_NAME}))(?P<name>{_NAME}(?:[ -]{_NAME}){{0,2}})",
+    "name": rf"\b(?:(?:{'|'.join(TITLES)})\.?\s+|(?:{'|'.join(map(re.escape, CUES))})\s+(?={_NAME}[ -]{_NAME})|(?=(?:{'|'.join(f for g in GIVEN for n in g for f in (n, n.upper()))})[ -]{_NAME}))(?P<name>{_NAME}(?:[ -]{_NAME}){{0,2}})",
 }
 ANY = re.compile("|".join(PATTERNS.values()))
 
 
 #: What every match has: a digit of any script or @ (email and all numbers), or one of these words (key, name).
-SIGN, WORDS = re.compile(r"[\d@]"), ("AKIA", "ASIA", *TITLES, *(n for g in GIVEN for n in g))
+SIGN, WORDS = re.compile(r"[\d@]"), ("AKIA", "ASIA", *TITLES, *CUES, *(f for g in GIVEN for n in g for f in (n, n.upper())))
 SECRET = re.compile(_SECRET)
 
 
@@ -195,16 +199,26 @@ def _given(names: tuple[str, ...], key: bytes, tweak: str) -> dict[str, str]:
 
 
 WORD = re.compile(r"[^ -]+")
+#: The words of an address before its @.
+LOCAL = re.compile(r"[^._%+-]+")
+#: Labels of a domain that stand for a kind of owner, before a country's.
+GENERAL = ("co", "com", "org", "net", "ac", "gov", "edu", "gob", "gouv")
+
+
+def units(kind: str, who: str) -> list[str]:
+    """What of an entity is drawn for by itself: the words of a name that are no listed given names, or else all of it."""
+    own = [w for w in WORD.findall(who) if w not in GIVEN_OF] if kind == "name" else []
+    return list(dict.fromkeys(own)) or [who]
 
 
 def _person(who: str, key: bytes, tweak: str) -> str:
-    """Given names of the lists from their list; the other letters permuted, but for the last one if it tells the gender."""
-    listed = [m for m in WORD.finditer(who) if m.group() in GIVEN_OF]
-    kept = {i for m in listed for i in range(*m.span())} | {m.end() - 1 for m in WORD.finditer(who) if m.group()[-1] in "ao" and m.end() - m.start() > 1}
-    out = permute(who, [None if i in kept else a for i, a in enumerate(_letters(who))], key, tweak)
-    for m in reversed(listed):
-        out = out[: m.start()] + _given(tuple(GIVEN_OF[m.group()]), key, tweak)[m.group()] + out[m.end() :]
-    return out
+    """Given names of the lists from their list; the letters of other words permuted, but for the last one if it tells the gender."""
+    return WORD.sub(lambda m: _given(tuple(GIVEN_OF[m.group()]), key, tweak)[m.group()] if m.group() in GIVEN_OF else _word(m.group(), key, tweak), who)
+
+
+def _word(word: str, key: bytes, tweak: str) -> str:
+    kept = {len(word) - 1} if word[-1] in "ao" and len(word) > 1 else set()
+    return permute(word, [None if i in kept else a for i, a in enumerate(_letters(word))], key, tweak)
 
 
 def luhn(digits: str) -> int:
@@ -230,8 +244,11 @@ def _surrogate(kind: str, who: str, key: bytes, attempt: int) -> str:
     if kind == "email":
         local, _, domain = who.rpartition("@")
         labels = domain.split(".")
-        own = [permute(x, _letters(x), key, f"domain|{attempt}") for x in labels[:-2]]
-        return permute(local, _letters(local), key, tweak) + "@" + ".".join([*own, *labels[-2:]])
+        kept = 2 if len(labels) > 2 and labels[-2] in GENERAL else 1
+        own = [permute(x, _letters(x), key, "domain") for x in labels[:-kept]]
+        # As the words of names, at first; a later draw permutes the address as a whole.
+        new = permute(local, _letters(local), key, tweak) if attempt else LOCAL.sub(lambda m: _person(m.group(), key, "name|0"), local)
+        return new + "@" + ".".join([*own, *labels[-kept:]])
     if kind == "ip":
         bits = "".join(f"{int(x):08b}" for x in who.split("."))
         new = permute(bits, ["01"] * 32, key, tweak)
@@ -291,12 +308,18 @@ def _title(found: str, new: str) -> str:
     return first + new[1:]
 
 
+def stands_for(kind: str, who: str, again: dict[tuple[str, str], int], key: bytes) -> str:
+    """The surrogate identity, of the draws that `again` has for its units."""
+    if units(kind, who) == [who]:
+        return surrogate(kind, who, key, again.get((kind, who), 0))
+    return WORD.sub(lambda m: _person(m.group(), key, "name|0") if m.group() in GIVEN_OF else surrogate(kind, m.group(), key, again.get((kind, m.group()), 0)), who)
+
+
 def replace(text: str, again: dict[tuple[str, str], int], key: bytes) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with surrogates, and (type, start, length, surrogate) in the new text."""
     out, spans, last, size = [], [], 0, 0
     for kind, a, b in detect(text):
-        who = identity(kind, text[a:b])
-        new = dress(kind, text[a:b], surrogate(kind, who, key, again.get((kind, who), 0)))
+        new = dress(kind, text[a:b], stands_for(kind, identity(kind, text[a:b]), again, key))
         out += [text[last:a], new]
         size += a - last
         spans.append((kind, size, len(new), new))
@@ -323,11 +346,11 @@ def _id(doc_id: str, text: str) -> Column:
 
 
 def entities(documents: DataFrame) -> DataFrame:
-    """doc_id (or what stands for it), kind, who: each entity once a document."""
+    """doc_id (or what stands for it), kind, who: each unit of an entity once a document."""
 
     def run(batches):
         for part in W.chunks(batches):
-            rows = sorted({(doc, kind, identity(kind, text[a:b])) for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True) if text for kind, a, b in detect(text)}, key=str)
+            rows = sorted({(doc, kind, who) for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True) if text for kind, a, b in detect(text) for who in units(kind, identity(kind, text[a:b]))}, key=str)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "kind", "who"])
 
     return documents.select(_id("doc_id", "text").alias("doc_id"), "text").mapInArrow(run, "doc_id long, kind string, who string")
@@ -347,17 +370,18 @@ def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
 def redrawn(found: DataFrame, key: bytes) -> DataFrame | None:
     """kind, who, attempt of the entities whose first surrogate will not do; None if all do.
 
-    A surrogate may not be an entity of the corpus nor the surrogate of another; of several entities with one
+    A surrogate may not be an entity of the corpus, a listed given name (unless it stands for one) nor the surrogate of another; of several entities with one
     surrogate the first keeps it. Rounds go on until none is left; each draws only for those left by the one before,
     and each DRAWS rounds their surrogates are a character longer, so there are more of them than entities.
     """
     every = materialize(found.select("kind", "who").distinct(), "all")
+    listed = F.array(*(F.lit(n) for n in sorted(GIVEN_OF)))
     real = every.select("kind", F.col("who").alias("new"))
     drawn = materialize(_drawn(every.withColumn("attempt", F.lit(0)), key), "drawn")
     settled: DataFrame | None = None
     while True:
         first = drawn.groupBy("kind", "new").agg(F.min("who").alias("who"))
-        good = first.join(real, ["kind", "new"], "left_anti")
+        good = first.join(real, ["kind", "new"], "left_anti").where((F.col("kind") != "name") | F.array_contains(listed, F.col("who")) | ~F.array_contains(listed, F.col("new")))
         if settled is not None:
             good = good.join(settled, ["kind", "new"], "left_anti")
         good = materialize(drawn.join(good, ["kind", "new", "who"]).select("kind", "who", "attempt", "new"), "settled")

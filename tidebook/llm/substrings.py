@@ -199,7 +199,8 @@ def settle(ids: np.ndarray, column: pa.Array, known: list, window: int = WINDOW)
 
 def found(documents: DataFrame, known: DataFrame, window: int = WINDOW) -> DataFrame:
     """h1, h2, doc_id, low, high: open windows with their hash, and covered passages without."""
-    each = known.groupBy("doc_id").agg(F.collect_list(F.struct("low", "from_doc", "from_low")).alias("known"))
+    # Rows with one doc_id know the same, so it is a set: what is known of copies is no list as long as they are many.
+    each = known.groupBy("doc_id").agg(F.collect_set(F.struct("low", "from_doc", "from_low")).alias("known"))
 
     def run(batches):
         for part in W.chunks(batches):
@@ -234,7 +235,7 @@ def dedup(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space)."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     gone = materialize(passages(rows, window), "passages")
-    each = gone.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("gone"))
+    each = gone.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("gone"))
 
     def run(batches):
         for part in W.chunks(batches):

@@ -5,7 +5,8 @@ before, a segment that holds a small share of its parent's urls is variable and
 becomes a wildcard of its shape (number, hexadecimal, word, other). Of branches that
 stay apart, in the order of their share of block labels, each joins the group before it
 unless a test of two proportions, on the counts of both, tells their labels or what
-follows below them apart. The tree grows a segment at a time until no path goes on. A template's
+follows below them apart. The tree grows a segment at a time until no path goes on; a template that a single path has is
+grown to that path's end at once. A template's
 purity is its share of block labels, smoothed towards half as if by a few labels
 of each kind; templates over the limit are rejected, and so are the urls that
 fit them.
@@ -21,13 +22,14 @@ looked at.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
-from .tables import join_hot, materialize
+from .tables import join_hot, materialize, shared_dir
 
 
 @dataclass(frozen=True)
@@ -115,14 +117,15 @@ def templates(pages: DataFrame, tree: Tree) -> tuple[DataFrame, DataFrame]:
 
     paths: each different (host, segments), with its urls and template. templates: host, template, urls, blocked,
     allowed, purity, rejected, paths. The work on the tree is on counts of different paths; a level looks only at the
-    paths that reach it, and a node that very many of them have is sent to them (`join_hot`).
+    paths that reach it, and a node that very many of them have is sent to them (`join_hot`). A path alone in its template
+    has one node at every level below, so its rest is known: a long path costs no level for each of its segments.
     """
     paths = pages.groupBy("host", "segments").agg(F.count("*").alias("urls"), F.count_if(F.col("verdict") == "block").alias("blocked"), F.count_if(F.col("verdict") == "allow").alias("allowed"))
     live = materialize(paths.withColumn("template", F.lit("")), "paths")
-    columns, done, level = live.columns, None, 0
+    columns, level = live.columns, 0
+    folder = f"{shared_dir(pages.sparkSession)}/grown-{uuid.uuid4().hex}"
     while True:
-        ended = live.where(F.size("segments") <= level)
-        done = ended if done is None else done.unionByName(ended)
+        live.where(F.size("segments") <= level).write.mode("append").parquet(folder)
         live = live.where(F.size("segments") > level)
         if live.isEmpty():
             break
@@ -136,7 +139,13 @@ def templates(pages: DataFrame, tree: Tree) -> tuple[DataFrame, DataFrame]:
         step = F.concat(F.col("parent"), F.lit("/"), F.coalesce("branch", shape(F.col("segment"))))
         live = join_hot(live, named, ["host", "parent", "segment"], "paths", "left").withColumn("template", step).select(*columns)
         live, level = materialize(live, "paths"), level + 1
-    done = materialize(done, "paths")
+        shared = live.groupBy("host", "template").agg(F.count("*").alias("n"))
+        live = materialize(join_hot(live, shared.withColumn("alone", F.col("n") == 1), ["host", "template"], "n"), "paths")
+        rest = F.transform(F.slice("segments", F.lit(level + 1), F.greatest(F.size("segments") - level, F.lit(0))), lambda x: F.concat(F.lit("/"), F.when(F.col("urls") > 1, x).otherwise(shape(x))))
+        ended = live.where("alone").withColumn("template", F.concat("template", F.array_join(rest, "")))
+        ended.select(*columns).write.mode("append").parquet(folder)
+        live = live.where("not alone").select(*columns)
+    done = pages.sparkSession.read.schema(live.schema).parquet(folder)
     judged = done.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("urls", "blocked", "allowed")), F.count("*").alias("paths"))
     purity = (F.col("blocked") + tree.prior) / (F.col("blocked") + F.col("allowed") + 2 * tree.prior)
     return done, materialize(judged.withColumn("purity", purity).withColumn("rejected", F.col("purity") >= tree.reject), "templates")
