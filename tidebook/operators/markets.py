@@ -107,6 +107,7 @@ def _steps(*rules: tuple[Column, Column]) -> Column:
 def classify(f: DataFrame) -> DataFrame:
     """f with score1 to score3, type (1 slow, 2 event-driven, 3 automated; ties 1, 3, 2), confidence and efficiency.
 
+    Fixed values: the limits of all steps and the weights.
     f: market, rate, dispersion, hhi, bots, update_ms, stale_ms, spread_bps, gap_half_life_ms (may be NULL).
     """
     u, st, sp, rt, h, b, d, g = (F.col(c) for c in ("update_ms", "stale_ms", "spread_bps", "rate", "hhi", "bots", "dispersion", "gap_half_life_ms"))
@@ -125,6 +126,7 @@ def classify(f: DataFrame) -> DataFrame:
 def viable(rows: DataFrame, latency_ms: float = 1_000.0) -> DataFrame:
     """rows with strategies: the names that fit the market's type and figures, in one order for all.
 
+    Fixed values: the limits.
     rows: as `classify`, with gaps_1h, the outcomes' gaps of the last hour (see `observed`).
     """
     rt, sp, u, b, k, g = F.col("rate"), F.col("spread_bps"), F.col("update_ms"), F.col("bots"), F.col("type"), F.col("gap_half_life_ms")
@@ -171,7 +173,7 @@ def regime_ticks(events: DataFrame, tick_ms: int = 3_600_000, window: int = 120,
 
 
 def regime(volume_z: Column, wallet_z: Column, spread_z: Column, resolutions: Column, new_markets: Column, high: float = 1.5, low: float = -1.0, wallet: float = 1.5, wide: float = 1.5, rate: float = 5.0) -> tuple[Column, Column]:
-    """Name and confidence of the regime with the highest score; of equals the first in the order of the tests."""
+    """Name and confidence of the regime with the highest score; of equals the first in the order of the tests. Limits and scores."""
     spike, loud = wallet_z >= wallet, volume_z >= high
     res = F.when(resolutions >= rate, 1.0).otherwise(0.0)
     event = F.when(spike & loud, 1.0).when(spike | (new_markets >= rate), 0.6).when(loud & (wallet_z >= 1.0), 0.5).otherwise(0.0)

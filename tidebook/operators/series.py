@@ -18,11 +18,11 @@ def numbered(df: DataFrame, by: list[str], order: list[str], bucket: int, name:
     Rows are numbered within a bucket; what precedes a bucket is a sum over its key's buckets, one row each. So no key is
     sorted as a whole.
     """
-    rows = settled(df).withColumn("_span", F.floor(F.col(order[0]) / bucket))
-    before = F.sum("_n").over(W.partitionBy(*by).orderBy("_span").rowsBetween(W.unboundedPreceding, -1))
-    sizes = rows.groupBy(*by, "_span").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
-    rows = rows.join(sizes, [*by, "_span"]).withColumn(name, F.col("_before") + F.row_number().over(W.partitionBy(*by, "_span").orderBy(*order)) - 1)
-    return rows.drop("_span", "_before")
+    rows = settled(df).withColumn("__span", F.floor(F.col(order[0]) / bucket))
+    before = F.sum("__n").over(W.partitionBy(*by).orderBy("__span").rowsBetween(W.unboundedPreceding, -1))
+    sizes = rows.groupBy(*by, "__span").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    rows = rows.join(sizes, [*by, "__span"]).withColumn(name, F.col("__before") + F.row_number().over(W.partitionBy(*by, "__span").orderBy(*order)) - 1)
+    return rows.drop("__span", "__before")
 
 
 def blocks(df: DataFrame, by: list[str], order: list[str], reach: int, bucket: int = HOUR, rows: int = 100_000) -> DataFrame:
@@ -31,10 +31,10 @@ def blocks(df: DataFrame, by: list[str], order: list[str], reach: int, bucket: i
     A block is so many rows of a key; the last `reach` of a block stand before the next one's again, with _own false.
     """
     rows = max(rows, reach)
-    each = numbered(df, by, order, bucket, "_at").withColumn("_block", F.floor(F.col("_at") / rows))
-    tail = (F.col("_at") % rows >= rows - reach).cast("boolean")
+    each = numbered(df, by, order, bucket, "__at").withColumn("_block", F.floor(F.col("__at") / rows))
+    tail = (F.col("__at") % rows >= rows - reach).cast("boolean")
     again = F.explode(F.when(tail, F.array(F.struct(F.col("_block").alias("b"), F.lit(True).alias("own")), F.struct((F.col("_block") + 1).alias("b"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("_block").alias("b"), F.lit(True).alias("own")))))
-    return each.withColumn("_x", again).withColumns({"_block": F.col("_x.b"), "_own": F.col("_x.own")}).drop("_x", "_at")
+    return each.withColumn("__x", again).withColumns({"_block": F.col("__x.b"), "_own": F.col("__x.own")}).drop("__x", "__at")
 
 
 def lagged(df: DataFrame, by: list[str], order: list[str], values: dict[str, str], n: int = 1, bucket: int = HOUR, ahead: bool = False) -> DataFrame:
@@ -48,8 +48,8 @@ def lagged(df: DataFrame, by: list[str], order: list[str], values: dict[str, str
 
 def buffered(df: DataFrame, by: list[str], order: list[str], last: int, bucket: int = HOUR) -> DataFrame:
     """The last so many rows of each key: a buffer of bounded length."""
-    rows = numbered(df.withColumns({f"_o{k}": -F.col(c) for k, c in enumerate(order)}), by, [f"_o{k}" for k in range(len(order))], bucket, "_at")
-    return rows.where(F.col("_at") < last).drop("_at", *(f"_o{k}" for k in range(len(order))))
+    rows = numbered(df.withColumns({f"_o{k}": -F.col(c) for k, c in enumerate(order)}), by, [f"_o{k}" for k in range(len(order))], bucket, "__at")
+    return rows.where(F.col("__at") < last).drop("__at", *(f"_o{k}" for k in range(len(order))))
 
 
 def framed(df: DataFrame, by: list[str], order: list[str], n: int, make, bucket: int = HOUR) -> DataFrame:
@@ -63,21 +63,21 @@ def carried(df: DataFrame, by: list[str], order: list[str], value: Column, name:
 
     Within a bucket that is a window's; one row a bucket carries what came earlier.
     """
-    rows = settled(df).withColumns({"_span": F.floor(F.col(order[0]) / bucket), "_v": value})
-    last = rows.groupBy(*by, "_span").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_last"))
-    earlier = F.last("_last", True).over(W.partitionBy(*by).orderBy("_span").rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.join(last.withColumn("_earlier", earlier).drop("_last"), [*by, "_span"], "left")
-    w = W.partitionBy(*by, "_span").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    return rows.withColumn(name, F.coalesce(F.last("_v", True).over(w), "_earlier")).drop("_span", "_v", "_earlier")
+    rows = settled(df).withColumns({"__span": F.floor(F.col(order[0]) / bucket), "__v": value})
+    last = rows.groupBy(*by, "__span").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__last"))
+    earlier = F.last("__last", True).over(W.partitionBy(*by).orderBy("__span").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.join(last.withColumn("__earlier", earlier).drop("__last"), [*by, "__span"], "left")
+    w = W.partitionBy(*by, "__span").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    return rows.withColumn(name, F.coalesce(F.last("__v", True).over(w), "__earlier")).drop("__span", "__v", "__earlier")
 
 
 def summed(df: DataFrame, by: list[str], order: list[str], value: Column, name: str, bucket: int = HOUR) -> DataFrame:
     """df with name: the sum of value up to and with this row."""
-    rows = settled(df).withColumns({"_span": F.floor(F.col(order[0]) / bucket), "_v": value})
-    before = F.sum("_s").over(W.partitionBy(*by).orderBy("_span").rowsBetween(W.unboundedPreceding, -1))
-    sums = rows.groupBy(*by, "_span").agg(F.sum("_v").alias("_s")).withColumn("_before", before).drop("_s")
-    w = W.partitionBy(*by, "_span").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.join(sums, [*by, "_span"], "left").withColumn(name, F.coalesce("_before", F.lit(0)) + F.coalesce(F.sum("_v").over(w), F.lit(0))).drop("_span", "_v", "_before")
+    rows = settled(df).withColumns({"__span": F.floor(F.col(order[0]) / bucket), "__v": value})
+    before = F.sum("__s").over(W.partitionBy(*by).orderBy("__span").rowsBetween(W.unboundedPreceding, -1))
+    sums = rows.groupBy(*by, "__span").agg(F.sum("__v").alias("__s")).withColumn("__before", before).drop("__s")
+    w = W.partitionBy(*by, "__span").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return rows.join(sums, [*by, "__span"], "left").withColumn(name, F.coalesce("__before", F.lit(0)) + F.coalesce(F.sum("__v").over(w), F.lit(0))).drop("__span", "__v", "__before")
 
 
 def trailing(df: DataFrame, by: list[str], order: list[str], value: Column, name: str, span: int, bucket: int = HOUR) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import folder
+
 
 def deduplicated(stream: DataFrame, keys: list[str], ttl: str = "60 seconds") -> DataFrame:
     """The first of the rows that share keys within ttl; state is dropped behind the watermark."""
@@ -38,19 +41,27 @@ def book_state(deltas: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         sides, prices, sizes, shot = state.get if state.exists else ([], [], [], 0)
-        book = dict(zip(zip(sides, prices, strict=True), sizes, strict=True))
-        last = None
-        for pdf in batches:
-            for r in pdf.sort_values("ts", kind="stable").itertuples():
-                if r.full and r.full != shot:
-                    book, shot = {}, int(r.full)
-                if r.size == 0:
-                    book.pop((r.side, r.price), None)
-                else:
-                    book[r.side, r.price] = r.size
-                last = r.ts
-        state.update(([k[0] for k in book], [k[1] for k in book], list(book.values()), shot))
-        bids, asks = [p for s, p in book if s == "bid"], [p for s, p in book if s == "ask"]
-        yield pd.DataFrame({"token": [key[0]], "ts": [last], "best_bid": [max(bids, default=0.0)], "best_ask": [min(asks, default=1.0)], "levels": [len(book)]})
+        book = pd.DataFrame({"side": pd.Series(sides, dtype=object), "price": pd.Series(prices, dtype=float), "size": pd.Series(sizes, dtype=float)})
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable").reset_index(drop=True)
+        last = rows["ts"].iloc[-1]
+        number = rows["full"].where(rows["full"] > 0)
+        fresh = number.notna() & (number != number.ffill().shift().fillna(shot))
+        if fresh.any():
+            start = int(fresh.to_numpy().nonzero()[0][-1])
+            book, rows, shot = book.iloc[:0], rows.iloc[start:], int(rows["full"].iloc[start])
+        book = pd.concat([book, rows[["side", "price", "size"]]]).drop_duplicates(["side", "price"], keep="last")
+        book = book[book["size"] != 0]
+        state.update((book["side"].tolist(), book["price"].tolist(), book["size"].tolist(), shot))
+        bids, asks = book["price"][book["side"] == "bid"], book["price"][book["side"] == "ask"]
+        yield pd.DataFrame({"token": [key[0]], "ts": [last], "best_bid": [bids.max() if len(bids) else 0.0], "best_ask": [asks.min() if len(asks) else 1.0], "levels": [len(book)]})
 
     return deltas.groupBy("token").applyInPandasWithState(step, BOOK, "sides array<string>, prices array<double>, sizes array<double>, shot long", "update", GroupStateTimeout.NoTimeout)
+
+
+def gathered(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream has appended once all that is there has been read: its files and its state are in the folder that executors share."""
+    spark = stream.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).outputMode("append").start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
