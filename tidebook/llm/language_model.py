@@ -39,7 +39,7 @@ from .tables import fold, materialize
 
 DEPTH = 5
 #: Bytes of text in a block.
-BLOCK = 6 << 20
+BLOCK = 13 << 19
 #: Bytes of text for each part, while there are no more than MOST parts; beyond, parts grow as the root of the text.
 PART, MOST = 8 << 20, 4096
 #: Bytes of text of which the sample is taken that tells how contexts are dealt; it bears on no result.
