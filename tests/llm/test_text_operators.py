@@ -598,6 +598,49 @@ def test_ranking_minimises_the_pairs_loss():
     assert quality.train(x, good, quantile=0.2).threshold < ranking.threshold
 
 
+def test_sums_over_cells_are_those_over_pairs():
+    rng = np.random.default_rng(3)
+    z, good = np.clip(rng.normal(0, 1, (400, 5)), -8, 8), rng.random(400) < 0.8
+    for size in (0, 0.3, 3, 20):
+        w = rng.normal(0, 1, 5) * size
+        cells: dict = {}
+        for part in np.array_split(np.arange(400), 7):
+            for key, values in quality.cell_sums(z[part], good[part], w):
+                cells[key] = cells.get(key, 0) + values
+        got, want = quality.pairs_of_cells(cells, 5), quality.formed_pairs(z, good, w, pairs=1000)
+        for a, b in zip(got[:3], want[:3], strict=True):
+            assert np.abs(np.asarray(a) - b).max() < 1e-8 * want[0]
+        assert np.linalg.eigvalsh(got[3]).min() > -1e-6 * want[0]
+
+
+def test_ranking_learns_from_every_labelled_row(spark):
+    """Far more good rows than 4,000, repeated ids, held-out rows and rows without a document."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 3 + i % 29) if i % 90 else " ".join([prose(rng, 1 + i % 3)] * 9) + " " + prose(rng, 4), "en", "s", 0) for i in range(7000)]
+    docs = frame(spark, rows + rows[:50] + [(None, "odd", "en", "s", 0)])
+    good = [(i, int(i % 90 > 0 or i % 450 == 0)) for i in range(7020)]
+    labels = spark.createDataFrame(good + good[:30] + [(None, 1), (7, None), (8, 5)], "doc_id long, quality int")
+    ranking = quality.fit(docs, labels)
+    used = [(t, good[i][1]) for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert sum(g for _, g in used) > 4000
+    x = quality.features(*W.buffer(pa.array([t for t, _ in used])))
+    want = quality.train(x, np.array([g for _, g in used]))
+    assert ranking.mean == pytest.approx(want.mean, abs=1e-9) and ranking.scale == pytest.approx(want.scale, abs=1e-9)
+    assert ranking.weights == pytest.approx(want.weights, abs=2e-3)
+    assert ranking.threshold == pytest.approx(want.threshold, abs=2e-2)
+    assert (quality.fit(docs, labels).weights == ranking.weights).all()
+
+
+def test_steps_between_strengths(spark):
+    rng = np.random.default_rng(6)
+    for s in (rng.normal(0, 1, 500), np.round(rng.normal(0, 1, 300), 1), np.full(5, 2.5), np.array([0.0, 1e-12, 5e9, 1.0, 1.0])):
+        values, near = spark.createDataFrame([(float(v),) for v in s], "s double"), np.sort(s)
+        lo, hi = len(s) // 3, len(s) // 3 * 2
+        assert [quality.value_at(values, k, cells=8) for k in (0, lo, len(s) - 1)] == [near[0], near[lo], near[-1]]
+        j = lo + int(np.argmax(np.diff(near[lo : hi + 1])))
+        assert quality.widest_step(values, float(near[lo]), float(near[hi]), cells=16) == (near[j] + near[j + 1]) / 2
+
+
 def test_training_takes_no_more_than_its_bounds(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(i, prose(rng, 10 + i % 7 * 30), "en", "s", 0) for i in range(200)] + [(7, prose(rng, 5), "en", "s", 0)] * 300
