@@ -631,6 +631,20 @@ def test_ranking_learns_from_every_labelled_row(spark):
     assert (quality.fit(docs, labels).weights == ranking.weights).all()
 
 
+def test_pipeline_learns_quality_from_every_labelled_row(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    rows = [(i, prose(rng, 3 + i % 29) if i % 90 else "on and on " * (3 + i % 4), "en", "s", 0) for i in range(6000)]
+    docs = frame(spark, rows)
+    spark.createDataFrame([(i, int(i % 90 > 0), 0) for i in range(6000)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    taken = []
+    monkeypatch.setattr(quality, "keep_good", lambda documents, ranking, cut: taken.append(ranking) or documents)
+    corpus_pipeline.quality_filter(spark, docs, str(tmp_path))
+    x = quality.features(*W.buffer(pa.array([t for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 5])))
+    assert taken[0].mean == pytest.approx(x.mean(0), abs=1e-9)
+
+
 def test_steps_between_strengths(spark):
     rng = np.random.default_rng(6)
     for s in (rng.normal(0, 1, 500), np.round(rng.normal(0, 1, 300), 1), np.full(5, 2.5), np.array([0.0, 1e-12, 5e9, 1.0, 1.0])):
