@@ -49,7 +49,7 @@ sh AS (SELECT *, CASE WHEN ideal > 0 THEN 'good' ELSE 'bad' END || '_signal_' ||
 _NAMES = [f"{a}_signal_{b}_exec" for a in ("good", "bad") for b in ("good", "bad")]
 
 ORACLE_SQL = {
-    "imbalance_signals": f"""WITH {sql.LEVELS}, a AS (SELECT book, max(price) FILTER (side = 'bid') AS b, min(price) FILTER (side = 'ask') AS k, coalesce(sum(size / (level - 1)) FILTER (side = 'bid' AND level BETWEEN 2 AND 5), 0) AS bd, coalesce(sum(size / (level - 1)) FILTER (side = 'ask' AND level BETWEEN 2 AND 5), 0) AS kd,
+    "imbalance_signals": f"""WITH {sql.LEVELS}, a AS (SELECT book, max(price) FILTER (side = 'bid') AS b, min(price) FILTER (side = 'ask') AS k, coalesce(sum(size * [12, 6, 4, 3][level - 1]) FILTER (side = 'bid' AND level BETWEEN 2 AND 5), 0) AS bd, coalesce(sum(size * [12, 6, 4, 3][level - 1]) FILTER (side = 'ask' AND level BETWEEN 2 AND 5), 0) AS kd,
         CAST(sum(size) FILTER (side = 'bid' AND level <= 5) AS DOUBLE) AS b5, CAST(sum(size) FILTER (side = 'ask' AND level <= 5) AS DOUBLE) AS k5 FROM v_levels GROUP BY book),
       i AS (SELECT *, k - b AS spread, CASE WHEN bd + kd = 0 THEN 0.0 ELSE (bd - kd) / (bd + kd) END AS imb FROM a WHERE b IS NOT NULL AND k IS NOT NULL),
       e AS (SELECT *, abs(imb) * spread * 5 - spread / 2 - 0.02 AS ev, CASE WHEN imb > 0 THEN b5 ELSE k5 END AS depth FROM i WHERE abs(imb) >= 0.2)
