@@ -1,13 +1,16 @@
 """Cases that lie exactly on a limit or a tie, against the SQL and by hand."""
 
+from itertools import permutations
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from tidebook.operators import strategies
+from tidebook.operators import research, strategies
 from tidebook.plans import registry
 
+TRADES = "event_id long, wallet long, token long, market long, side string, ticks long, size long, ts long"
 LEVEL = "array<struct<price: double, size: double>>"
 
 
@@ -37,3 +40,26 @@ def test_imbalance_on_the_limit(spark, tmp_path):
     got, want = both(spark, tmp_path, "imbalance_signals", lineitem=lines)
     assert len(got) == len(cases) and [r[0] for r in got] == [r[0] for r in want]
     assert [x for r in got for x in r[1:] if isinstance(x, float)] == pytest.approx([x for r in want for x in r[1:] if isinstance(x, float)])
+
+
+#: Profits in hundredths that add up to nothing, which doubles do in some orders only.
+NOTHING = sorted(set(permutations((10, 20, -30, 70, -70))))
+
+
+def trades(gains, size=1):
+    """event_id, wallet, token, market, side, ticks, size, ts: a buy and a sale half a minute later for each gain, one wallet for each list."""
+    rows = []
+    for w, line in enumerate(gains):
+        for k, g in enumerate(line):
+            low = 50 - g // 2
+            rows += [(len(rows), w, 0, 0, "BUY", low, size, 60_000 * k), (len(rows) + 1, w, 0, 0, "SELL", low + g, size, 60_000 * k + 30_000)]
+    return rows
+
+
+def test_profits_of_nothing_are_no_gain_in_a_regime(spark):
+    t = spark.createDataFrame(trades(NOTHING), TRADES)
+    spans = spark.createDataFrame([(0, 1 << 42, "normal")], "start long, end long, state string")
+    got = research.regime_profile(t, spans).collect()
+    assert len(got) == len(NOTHING) and {(r.n, r.sharpe, r.robustness, r.sensitive) for r in got} == {(5, 0.0, 0.0, False)}
+    flat = research.regime_profile(spark.createDataFrame(trades([[7] * 9]), TRADES), spans).first()
+    assert flat.sharpe == float("inf") and flat.robustness == 1.0

@@ -131,7 +131,7 @@ _HEAD, _TAIL = _SPANS.split("\n      SELECT ts AS start")
 
 _PROFILE = f"""{_HEAD}, sp AS (SELECT ts AS start{_TAIL}), tr AS (SELECT v.*, coalesce(sp.state, 'normal') AS regime FROM v_trades v LEFT JOIN sp ON v.ts >= sp.start AND v.ts < sp."end"),
 {sql.pairs("tr", ("wallet", "regime", "market", "token"))},
-pe AS (SELECT wallet, regime, count(*) AS n, avg(pnl_ticks / 100) AS m, stddev_samp(pnl_ticks / 100) AS sd FROM pairs GROUP BY ALL),
+pe AS (SELECT wallet, regime, count(*) AS n, sum(pnl_ticks) / count(*) / 100 AS m, CASE WHEN min(pnl_ticks) = max(pnl_ticks) THEN 0.0 ELSE stddev_samp(pnl_ticks / 100) END AS sd FROM pairs GROUP BY wallet, regime),
 pf AS (SELECT *, CASE WHEN n < 2 THEN 0.0 WHEN sd = 0 THEN CASE WHEN m = 0 THEN 0.0 WHEN m > 0 THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END ELSE m / sd END AS sharpe, CASE WHEN n >= 5 THEN least(1.0, n / 30) ELSE 0.0 END AS w FROM pe),
 pg AS (SELECT *, sum(w) OVER p AS tw, sum(CASE WHEN sharpe > 0 THEN w ELSE 0 END) OVER p AS pw, max(CASE WHEN n >= 10 THEN sharpe END) OVER p AS hi, min(CASE WHEN n >= 10 THEN sharpe END) OVER p AS lo, count(*) FILTER (n >= 10) OVER p AS k FROM pf WINDOW p AS (PARTITION BY wallet)),
 prof AS (SELECT wallet, regime, n, sharpe, CASE WHEN tw > 0 THEN pw / tw ELSE 0 END AS robustness, coalesce(k >= 2 AND (hi - lo > 1 OR (hi > 0.3 AND lo < -0.3)), false) AS sensitive FROM pg),
