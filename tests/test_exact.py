@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from tidebook.operators import research, strategies
+from tidebook.operators import research, strategies, wallets
 from tidebook.plans import registry
 
 TRADES = "event_id long, wallet long, token long, market long, side string, ticks long, size long, ts long"
@@ -63,3 +63,28 @@ def test_profits_of_nothing_are_no_gain_in_a_regime(spark):
     assert len(got) == len(NOTHING) and {(r.n, r.sharpe, r.robustness, r.sensitive) for r in got} == {(5, 0.0, 0.0, False)}
     flat = research.regime_profile(spark.createDataFrame(trades([[7] * 9]), TRADES), spans).first()
     assert flat.sharpe == float("inf") and flat.robustness == 1.0
+
+
+def curve(spark, gains):
+    """The delay curve at one and two hours of pairs that leave hours later with these gains over the price of 50."""
+    hour = 3_600_000
+    rows = [(w, 0, 0, hour * w, hour * (w + 9), 50 + g, 1) for w, line in enumerate(gains) for g in line]
+    pairs = spark.createDataFrame(rows, "wallet long, market long, token long, entry_ts long, exit_ts long, exit_ticks long, size long")
+    prices = spark.createDataFrame([(0, hour * k, 50) for k in range(len(gains) + 9)], "token long, ts long, ticks long")
+    return wallets.delay_curve(pairs, prices, [hour, 2 * hour])
+
+
+def test_gains_of_nothing_are_ignored(spark):
+    """A mean of exactly zero is neither a gain to be watched nor has it a half-life; it breaks even at once."""
+    c = curve(spark, NOTHING).cache()
+    assert {r.mean_pnl for r in c.collect()} == {0.0}
+    ids = c.select("wallet").distinct()
+    assert {(r.n, r.advice, r.best_ms) for r in wallets.delay_advice(ids, c, 3_600_000, [3_600_000, 7_200_000]).collect()} == {(5, "ignore", None)}
+    assert {(r.halflife_ms, r.breakeven_ms) for r in wallets.half_life(c).collect()} == {(None, 0.0)}
+
+
+def test_of_equal_means_the_first_delay_is_best(spark):
+    lines = sorted(set(permutations((10, 20, 40, 30, 13))))
+    c = curve(spark, lines).cache()
+    best = wallets.delay_advice(c.select("wallet").distinct(), c, 3_600_000, [3_600_000, 7_200_000]).collect()
+    assert len(best) == len(lines) and {(r.advice, r.best_ms) for r in best} == {("follow", 3_600_000)}
