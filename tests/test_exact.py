@@ -1,5 +1,6 @@
 """Cases that lie exactly on a limit or a tie, against the SQL and by hand."""
 
+import random
 from itertools import permutations
 
 import duckdb
@@ -88,3 +89,20 @@ def test_of_equal_means_the_first_delay_is_best(spark):
     c = curve(spark, lines).cache()
     best = wallets.delay_advice(c.select("wallet").distinct(), c, 3_600_000, [3_600_000, 7_200_000]).collect()
     assert len(best) == len(lines) and {(r.advice, r.best_ms) for r in best} == {("follow", 3_600_000)}
+
+
+def test_prices_of_the_nearest_trades(spark):
+    """Also at equal times, and without a row for each pair of trades."""
+    rng = random.Random(11)
+    rows = [(i, rng.randrange(2), rng.choice([rng.randrange(400_000), 1_000 * rng.randrange(40)]), rng.randrange(1, 60), rng.randrange(1, 99)) for i in range(300)]
+    t = spark.createDataFrame(rows, "event_id long, token long, ts long, size long, ticks long")
+    out = strategies.enriched(t.drop("ticks"), t, 30_000)
+    got = {r.event_id: (r.ticks, r.price_id) for r in out.collect()}
+
+    def best(row):
+        i, token, ts, size, _ = row
+        near = [(abs(u - ts) + 10_000 * (abs(s - size) / max(s, size) > 0.2), u, j, ticks) for j, k, u, s, ticks in rows if k == token and j != i and abs(u - ts) <= 30_000]
+        return (min(near)[3], min(near)[2]) if near else (None, None)
+
+    assert got == {r[0]: best(r) for r in rows}
+    assert "min_by" not in out._jdf.queryExecution().optimizedPlan().toString()
